@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from twinweave.llm import chat, packing
+from twinweave.llm import chat, decontaminate, html_text, packing, pii, sharding, simhash, sketch, toxicity
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_chat": chat.query,
+    "op3_toxicity": toxicity.query,
+    "op4_decontamination": decontaminate.query,
+    "op5_simhash": simhash.query,
+    "op7_html_text": html_text.query,
     "op8_packing": packing.query,
+    "op9_sharding": sharding.query,
+    "op10_sketch": sketch.query,
 }
 
 #: Those that SQL can express; the others are tested against brute force in tests/llm.
