@@ -26,6 +26,8 @@ WIDTH = 16
 FRACTION = 16
 #: Bytes of text in one range of doc_ids.
 RANGE_BYTES = 16_000_000
+#: Ranges whose table may be broadcast.
+BROADCAST_RANGES = 100_000
 #: Hex digits of a kept hash.
 DIGITS = 10
 
@@ -164,7 +166,9 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], COMPARED)
     before = [(own, top, tops[k - 1][0]) for k, (own, top) in enumerate(tops)]
     targets = spark.createDataFrame(before, "part int, top long, target int")
-    met = placed.join(targets, "part").withColumn(
+    # a row of 16 bytes for each range; beyond BROADCAST_RANGES of them the planner chooses
+    small = F.broadcast(targets) if len(tops) <= BROADCAST_RANGES else targets
+    met = placed.join(small, "part").withColumn(
         "target", F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.col("target"))
     )
     # (range, whether a copy): its own, and for a range's first rows the one before
