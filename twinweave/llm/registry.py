@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from twinweave.llm import chat, decontaminate, html_text, packing, pii, sharding, simhash, sketch, toxicity
+from twinweave.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    lattice_lm,
+    packing,
+    pii,
+    sharding,
+    simhash,
+    sketch,
+    toxicity,
+)
 
 QUERIES = {
     "op1_pii": pii.query,
@@ -10,6 +21,7 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_decontamination": decontaminate.query,
     "op5_simhash": simhash.query,
+    "op6_lattice_lm": lattice_lm.query,
     "op7_html_text": html_text.query,
     "op8_packing": packing.query,
     "op9_sharding": sharding.query,
