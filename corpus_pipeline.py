@@ -1,18 +1,55 @@
-"""From raw documents to packed training sequences: the stages, each over all that the one before it kept."""
+"""From raw documents to packed training sequences: the stages, each over all that the one before it kept.
+
+Every stage returns the columns of documents (the last one its pieces), whatever further columns the
+table has; a null text passes each stage as an empty one. An empty table passes all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinweave.llm import packing
+from twinweave.llm import decontaminate, packing, pii, simhash, toxicity
 from twinweave.llm.common import table, written
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold stay."""
+    scored = toxicity.scored(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return simhash.deduplicate(docs.select(*COLUMNS))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage stay."""
+    return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers and dates become pseudonyms; n_chars follows the text."""
+    replaced = pii.pseudonymized(docs.select(*COLUMNS))
+    length = F.when(F.col("n_pseudonyms") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return replaced.withColumn("n_chars", length).select(*COLUMNS)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("pii", replace_pii),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
