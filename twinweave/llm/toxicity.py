@@ -5,8 +5,8 @@ each present or not. Every coordinate has its own rate, and the L1 term sets rar
 zero, so what is left is a small sparse vector that goes to the tasks with their code.
 
 Learning is bounded: of all labelled rows of the learning folds about TRAINING_ROWS, by a hash of the id.
-Their features are written once and dealt to SHARDS tasks; in each of ROUNDS rounds every task goes over
-its rows from the current state, and the tasks' states are averaged. Rows with the same text count each.
+Many tasks compute their features; one task, which thus gets some hundred MB at most, goes over them in
+ROUNDS passes, in an order that the ids' hashes give. Rows with the same text count each.
 
 Defined cases: a null text is empty and gets the score of the bias alone, as has any text without known
 words; rows with a null label aren't learned from; without any labelled row all scores are 0.5; a null
@@ -17,7 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +25,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import fold, small_batches, table, written
+from twinweave.llm.common import fold, small_batches, table
 
 TRAINING_ROWS = 12_000
-SHARDS = 4
 ROUNDS = 10
 #: Coordinates: 2 ** BITS, the last one the bias.
 BITS = 20
@@ -87,17 +86,18 @@ def learn(rows: Iterator[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray)
         n[at] += g * g
 
 
-def _shard(start_z: np.ndarray, start_n: np.ndarray) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One pass of one task from the given state."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        z, n = start_z.astype(np.float64), start_n.astype(np.float64)
-        frame = frame.sort_values(["place", "doc_id", "features"])
+def _learn_all(frame: pd.DataFrame) -> pd.DataFrame:
+    """All passes: the coordinates that aren't zero, their weights, and the bias."""
+    z, n = np.zeros(_SIZE + 1), np.zeros(_SIZE + 1)
+    frame = frame.sort_values(["place", "doc_id", "features"])
+    labels = frame.toxic.astype(int).tolist()
+    for _ in range(ROUNDS):
         rows = (np.frombuffer(x, dtype="<i4") for x in frame.features)
-        learn(zip(rows, frame.toxic.astype(int), strict=True), z, n)
-        return pd.DataFrame({"z": [z.astype("<f4").tobytes()], "n": [n.astype("<f4").tobytes()]})
-
-    return run
+        learn(zip(rows, labels, strict=True), z, n)
+    w = weights_of(z, n)
+    at = np.flatnonzero(w[:_SIZE])
+    bias = -z[_SIZE] / ((BETA + np.sqrt(n[_SIZE])) / ALPHA + L2)
+    return pd.DataFrame({"at": [at.astype("<i4").tobytes()], "w": [w[at].astype("<f4").tobytes()], "bias": [bias]})
 
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -111,27 +111,19 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         features = Features()
         for frame in frames:
             frame["features"] = [features(x).astype("<i4").tobytes() for x in frame.text]
-            yield frame[["doc_id", "features", "toxic", "place", "shard"]]
+            yield frame[["doc_id", "features", "toxic", "place"]]
 
     dealt = sample.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
         "text",
         F.col("toxic").cast("int").alias("toxic"),
         F.xxhash64("doc_id", F.lit(1)).alias("place"),
-        F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(SHARDS)).alias("shard"),
     )
-    rows = written(dealt.mapInPandas(featured, "doc_id long, features binary, toxic int, place long, shard long"), "features")
-    z, n = np.zeros(_SIZE + 1, dtype=np.float32), np.zeros(_SIZE + 1, dtype=np.float32)
-    for _ in range(ROUNDS):
-        # SHARDS rows of 8 bytes for each coordinate
-        got = rows.groupBy("shard").applyInPandas(_shard(z, n), "z binary, n binary").collect()
-        if not got:
-            break
-        z, n = (np.mean([np.frombuffer(r[k], dtype="<f4") for r in got], axis=0, dtype=np.float64) for k in (0, 1))
-    w = weights_of(z, n)
-    bias = float(-z[_SIZE] / ((BETA + np.sqrt(n[_SIZE])) / ALPHA + L2))
-    at = np.flatnonzero(w[:_SIZE])
-    return at.astype(np.int32), w[at].astype(np.float32), bias
+    rows = dealt.mapInPandas(featured, "doc_id long, features binary, toxic int, place long")
+    got = rows.groupBy(F.lit(0)).applyInPandas(_learn_all, "at binary, w binary, bias double").collect()
+    if not got:
+        return np.array([], dtype=np.int32), np.array([], dtype=np.float32), 0.0
+    return np.frombuffer(got[0].at, dtype="<i4"), np.frombuffer(got[0].w, dtype="<f4"), got[0].bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Column:
