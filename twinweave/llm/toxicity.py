@@ -120,7 +120,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         F.xxhash64("doc_id", F.lit(1)).alias("place"),
     )
     rows = dealt.mapInPandas(featured, "doc_id long, features binary, toxic int, place long")
-    got = rows.groupBy(F.lit(0)).applyInPandas(_learn_all, "at binary, w binary, bias double").collect()
+    got = rows.withColumn("one", F.lit(True)).groupBy("one").applyInPandas(_learn_all, "at binary, w binary, bias double").collect()
     if not got:
         return np.array([], dtype=np.int32), np.array([], dtype=np.float32), 0.0
     return np.frombuffer(got[0].at, dtype="<i4"), np.frombuffer(got[0].w, dtype="<f4"), got[0].bias
