@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from twinweave.plans import kernel_queries, log_queries, match_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **kernel_queries.QUERIES,
+    **match_queries.QUERIES,
+    **log_queries.QUERIES,
+}
+ORACLES: dict[str, str] = {**kernel_queries.ORACLES, **match_queries.ORACLES, **log_queries.ORACLES}
