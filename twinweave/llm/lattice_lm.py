@@ -214,7 +214,8 @@ def block_words(docs: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pd.DataFrame]:
             for (block, class_), counts in held.items():
-                yield pd.DataFrame({"block": block, "word": list(counts), "class": class_, "c": list(counts.values())})
+                if counts:
+                    yield pd.DataFrame({"block": block, "word": list(counts), "class": class_, "c": list(counts.values())})
             held.clear()
 
         for frame in frames:
@@ -257,7 +258,8 @@ def _learned(counts: DataFrame, path: str, start: dict[str, float] | None) -> di
             else:
                 for pieces in vocabulary.pieces(words):
                     uses.update(pieces)
-        yield pd.DataFrame({"piece": list(uses), "uses": [float(x) for x in uses.values()]}).astype({"uses": "float64"})
+        if uses:
+            yield pd.DataFrame({"piece": list(uses), "uses": [float(x) for x in uses.values()]}).astype({"uses": "float64"})
 
     found = counts.filter("c > 0").select("word").mapInPandas(run, "piece string, uses double")
     # a row for each piece of the vocabulary at most
