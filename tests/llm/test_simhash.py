@@ -44,6 +44,7 @@ def test_odd_rows(spark, odd, docs):
     assert {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
     assert simhash.classes(docs([])).count() == 0
     assert simhash.deduplicate(docs([(5, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "x")])).count() == 2
+    assert simhash.deduplicate(odd).count() == 4 and simhash.deduplicate(odd).columns == odd.columns
 
 
 def test_tries_find_all_links():

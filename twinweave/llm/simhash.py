@@ -215,10 +215,14 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Of each class only the document with the smallest doc_id (of its repeated rows one); all columns stay."""
-    kept = classes(docs, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    only = docs.join(kept, docs.doc_id == kept["_kept"], "left_semi")
-    return only.dropDuplicates(["doc_id"])
+    """Of each class only the document with the smallest doc_id (of its repeated rows one); all columns stay.
+
+    Documents without a doc_id can't be named as anyone's copy; all of them stay.
+    """
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = classes(named, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    only = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return only.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
