@@ -167,3 +167,40 @@ def ngrams(text: Column, n: int = 2) -> Column:
     many = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
     none = F.array().cast("array<string>")
     return F.when(size <= n, F.when(size > 0, F.array(text)).otherwise(none)).otherwise(F.coalesce(many, none))
+
+
+def string_hash(text: Column) -> Column:
+    """The whole 32-bit polynomial (base 31) over the UTF-16 units, as a signed 64-bit number; null gives 0."""
+
+    def of(raw: Column) -> Column:
+        units = F.floor(F.octet_length(raw) / 2).cast("int")
+
+        def add(acc: Column, k: Column) -> Column:
+            unit = F.conv(F.hex(F.substr(raw, k * 2 - 1, F.lit(2))), 16, 10).cast("long")
+            return (acc * 31 + unit) % (1 << 32)
+
+        zero = F.lit(0).cast("long")
+        whole = F.when(units == 0, zero).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(units, F.lit(1))), zero, add))
+        return let(whole, lambda h: F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h))
+
+    return F.coalesce(let(F.encode(text, "UTF-16BE"), of), F.lit(0).cast("long"))
+
+
+def pyramid(code: Column, depth: int) -> Column:
+    """Patterns from the finest to the whole, one after the other: each is the finer one's pairwise sums."""
+    return F.concat(*[pattern(code, d) for d in range(depth, -1, -1)])
+
+
+def array_pattern(values: Column, depth: int) -> Column:
+    """Sums of the 2 ** depth runs of equal length of an array of numbers; what is left over goes to the last one."""
+    parts = 1 << depth
+    step = F.floor(F.size(values) / parts).cast("int")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    runs = [F.slice(values, step * k + 1, step) for k in range(parts - 1)]
+    last = F.slice(values, step * (parts - 1) + 1, F.greatest(F.size(values) - step * (parts - 1), F.lit(0)))
+    return F.array(*[total(r) for r in (*runs, last)])
+
+
+def tree_radius(bits: Column, least: Column, most: int = 13) -> Column:
+    """The Hamming radius of a weight-tree search for a code with so many bits and a least similarity."""
+    return F.least(F.ceil(bits * (1 + 1 / least - F.sqrt(least)) / 2), F.lit(most)).cast("int")

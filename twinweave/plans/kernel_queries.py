@@ -297,3 +297,42 @@ def word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = totals.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("head").orderBy("p_name"))
     return names.withColumn("own", own).join(starts, "head").select("p_name", (F.col("start") + F.col("own")).alias("word_id"))
+
+
+_STRING_HASH = (
+    "(SELECT CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END FROM (SELECT list_reduce(list_prepend(0::BIGINT, "
+    "list_transform(range(1, length(c_name) + 1), lambda i: ascii(c_name[i])::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296) AS h))"
+)
+
+
+@query(f"SELECT c_custkey, {_STRING_HASH}::BIGINT AS hash FROM customer")
+def string_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", K.string_hash(F.col("c_name")).alias("hash"))
+
+
+_PYRAMID = " || ',' || ".join(
+    f"bit_count((code >> {64 // n * k}) & {(1 << 64 // n) - 1})" for n in (8, 4, 2) for k in range(n)
+) + " || ',' || bit_count(code)"
+
+
+@query(f"WITH c AS (SELECT DISTINCT p_name, {sql.string_code('p_name')} AS code FROM part) SELECT p_name, {_PYRAMID} AS pyramid FROM c")
+def pattern_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "part").select("p_name").distinct().withColumn("code", K.string_code(F.col("p_name")))
+    return codes.select("p_name", F.array_join(K.pyramid(F.col("code"), 3).cast("array<string>"), ",").alias("pyramid"))
+
+
+_MUTATED = """SELECT s_suppkey,
+  CASE WHEN s_suppkey % 10 < 4 THEN substr(s_name, 1, 4) || 'x' || substr(s_name, 5) WHEN s_suppkey % 10 < 6 THEN substr(s_name, 1, 3) || substr(s_name, 5) ELSE s_name END AS s_name,
+  round(s_acctbal + (s_suppkey * 37 % 21 - 10), 2) AS s_acctbal, s_suppkey % 2 = 0 AS flag FROM supplier"""
+
+
+@query(_MUTATED)
+def mutate_element(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of single values: a letter put in or taken out of a name, a number moved a little, a flag turned."""
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    longer = F.concat(F.substring(name, 1, 4), F.lit("x"), F.substr(name, F.lit(5)))
+    shorter = F.concat(F.substring(name, 1, 3), F.substr(name, F.lit(5)))
+    edited = F.when(key % 10 < 4, longer).when(key % 10 < 6, shorter).otherwise(name)
+    moved = F.round(F.col("s_acctbal") + (key * 37 % 21 - 10), 2)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return rows.select("s_suppkey", edited.alias("s_name"), moved.alias("s_acctbal"), (~(key % 2 == 1)).alias("flag"))

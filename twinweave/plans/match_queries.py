@@ -477,3 +477,36 @@ def weighted_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = counts.withColumn("upto", upto).withColumn("total", total)
     share = lambda c: F.round(c.cast("double") / F.col("total"), 6)
     return run.select("p_type", "n", share(F.col("upto") - F.col("n")).alias("from_"), share(F.col("upto")).alias("to_"))
+
+
+_RADIUS = "least(ceil(bit_count(lc.code) * (1 + 1 / 0.7::DOUBLE - sqrt(0.7::DOUBLE)) / 2), 13)"
+
+
+@query(f"WITH {sql.CODED}, d AS (SELECT lc.type, lc.code AS left_code, rc.code AS right_code, {_KNN} AS distance, {_RADIUS} AS radius FROM lc JOIN rc USING (type)) SELECT type, left_code, right_code, distance, radius::BIGINT AS radius FROM d WHERE distance <= radius")
+def tree_radius_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes within the radius that a code's own weight and its least similarity ask for."""
+    found = _near(spark, sf_dir, 13)
+    radius = K.tree_radius(F.bit_count("left_code"), F.lit(0.7)).cast("long")
+    return found.withColumn("radius", radius).filter(F.col("distance") <= F.col("radius")).select(
+        "type", "left_code", "right_code", "distance", "radius"
+    )
+
+
+@query(f"WITH {_CONFUSION}, {_METRICS}, f AS (SELECT category, threshold, round(5 * prec * tpr / nullif(4 * prec + tpr, 0), 9) AS f2 FROM s) SELECT category, max(f2) AS best_f2, min(f2) AS worst_f2, count(f2) AS n FROM f GROUP BY 1")
+def f2_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = evaluation.metrics(evaluation.confusion(labelled(spark, sf_dir)))
+    f2 = scores.withColumn("f2", F.round(evaluation.f_beta(F.col("prec"), F.col("tpr")), 9)).groupBy("category")
+    return f2.agg(F.max("f2").alias("best_f2"), F.min("f2").alias("worst_f2"), F.count("f2").alias("n"))
+
+
+@query(f"WITH {_MUTUAL}, d AS (SELECT coalesce(x.left_id, m.left_id) AS id, (x.right_id IS DISTINCT FROM m.right_id) AS differs FROM (SELECT left_id, min(right_id) AS right_id FROM c GROUP BY 1) x FULL JOIN m ON x.left_id = m.left_id) SELECT type, count(*) AS total, count(*) FILTER (differs) AS diffs, round(count(*) FILTER (differs)::DOUBLE / count(*), 6) AS rate FROM d JOIN l USING (id) GROUP BY 1")
+def diff_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two ways of matching differ, by type."""
+    l, r = sides(spark, sf_dir)
+    c = candidates(l, r)
+    first = c.groupBy("left_id").agg(F.min("right_id").alias("right_id"))
+    both = matching.agreement(first, matching.mutual_best(c)).select(F.col("left_id").alias("id"), "differs")
+    diffs = F.count_if("differs")
+    return both.join(l.select("id", "type"), "id").groupBy("type").agg(
+        F.count("*").alias("total"), diffs.alias("diffs"), F.round(diffs.cast("double") / F.count("*"), 6).alias("rate")
+    )
