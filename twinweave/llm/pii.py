@@ -41,12 +41,12 @@ PATTERN = "|".join(
         # IBAN
         r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
         # secret
-        r"(?<=(?i:token|secret|key|password) {0,2}[=:] {0,2}[\"'])[0-9A-Fa-f]{16,64}(?=[\"'])",
+        r"(?=[0-9A-Fa-f]{16})(?<=(?i:token|secret|key|password) {0,2}[=:] {0,2}[\"'])[0-9A-Fa-f]{16,64}(?=[\"'])",
         # dates
         r"(?<![\d.-])\d{4}([-/])\d{2}\1\d{2}(?![\d-])",
         r"(?<![\d./-])\d{1,2}([./])\d{1,2}\2\d{4}(?!\d)",
         rf"(?<!\d)\d{{1,2}} (?:{_MONTHS}) \d{{4}}(?!\d)",
-        rf"(?<![\p{{L}}])(?:{_MONTHS}) \d{{1,2}}, \d{{4}}(?!\d)",
+        rf"(?=[JFMASOND][a-z]{{2}})(?<![\p{{L}}])(?:{_MONTHS}) \d{{1,2}}, \d{{4}}(?!\d)",
         # social security number
         r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
         # address
@@ -246,43 +246,40 @@ _DAYS = (189, 773)
 
 
 def date(value: Column, key: str) -> Column:
-    def when(shape: str, *formats: str) -> tuple[Column, list[str]]:
-        return value.rlike(shape), list(formats)
+    def parsed(fmt: Column) -> Column:
+        return F.try_to_timestamp(value, fmt).cast("date")
+
+    def first_that_exists(a: str, b: str) -> Column:
+        return F.when(parsed(F.lit(a)).isNotNull(), a).otherwise(b)
 
     shapes = [
-        when(r"^\d{4}-", "yyyy-MM-dd"),
-        when(r"^\d{4}/", "yyyy/MM/dd"),
-        when(r"^\d{2}\.\d{2}\.", "dd.MM.yyyy"),
-        when(r"^\d{1,2}\.\d{1,2}\.", "d.M.yyyy"),
-        when(r"^\d{2}/\d{2}/", "MM/dd/yyyy", "dd/MM/yyyy"),
-        when(r"^\d{1,2}/\d{1,2}/", "M/d/yyyy", "d/M/yyyy"),
-        when(r"^\d{1,2} [A-Z][a-z]{2} ", "d MMM yyyy"),
-        when(r"^\d{1,2} [A-Z]", "d MMMM yyyy"),
-        when(r"^[A-Z][a-z]{2} ", "MMM d, yyyy"),
-        when(r"^[A-Z]", "MMMM d, yyyy"),
+        (r"^\d{4}-", F.lit("yyyy-MM-dd")),
+        (r"^\d{4}/", F.lit("yyyy/MM/dd")),
+        (r"^\d{2}\.\d{2}\.", F.lit("dd.MM.yyyy")),
+        (r"^\d{1,2}\.\d{1,2}\.", F.lit("d.M.yyyy")),
+        (r"^\d{2}/\d{2}/", first_that_exists("MM/dd/yyyy", "dd/MM/yyyy")),
+        (r"^\d{1,2}/\d{1,2}/", first_that_exists("M/d/yyyy", "d/M/yyyy")),
+        (r"^\d{1,2} [A-Z][a-z]{2} ", F.lit("d MMM yyyy")),
+        (r"^\d{1,2} [A-Z]", F.lit("d MMMM yyyy")),
+        (r"^[A-Z][a-z]{2} ", F.lit("MMM d, yyyy")),
     ]
+    form = F.lit("MMMM d, yyyy")
+    for shape, fmt in reversed(shapes):
+        form = F.when(value.rlike(shape), fmt).otherwise(form)
     start = F.unix_date(F.lit("1800-01-01").cast("date"))
 
-    def shown(fmt: str, otherwise: Column) -> Column:
+    def of(fmt: Column) -> Column:
+        def shown(s: Column) -> Column:
+            day = F.date_from_unix_date((s["left"] * _DAYS[1] + s["right"] + start).cast("int"))
+            return F.call_function("date_format", day, fmt)
+
         def moved(n: Column) -> Column:
             pair = permuted_pair(F.floor(n / _DAYS[1]), n % _DAYS[1], _DAYS, key, "date")
-            return let(
-                pair,
-                lambda s: F.date_format(F.date_from_unix_date((s["left"] * _DAYS[1] + s["right"] + start).cast("int")), fmt),
-            )
-
-        def within(n: Column) -> Column:
-            return F.when(n.between(0, _DAYS[0] * _DAYS[1] - 1), moved(n)).otherwise(otherwise)
-
-        return let(F.unix_date(F.try_to_timestamp(value, F.lit(fmt)).cast("date")) - start, within)
-
-    out = value
-    for shape, formats in reversed(shapes):
-        new = value
-        for fmt in reversed(formats):
-            new = shown(fmt, new)
-        out = F.when(shape, new).otherwise(out)
-    return out
+            return F.when(n.between(0, _DAYS[0] * _DAYS[1] - 1), let(pair, shown)).otherwise(value)
+
+        return let(F.unix_date(parsed(fmt)) - start, moved)
+
+    return let(form, of)
 
 
 def mail(value: Column, key: str) -> Column:
