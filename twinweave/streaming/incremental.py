@@ -18,7 +18,8 @@ def coded_stream(stream: DataFrame, text: str) -> DataFrame:
 
 def codes_per_window(stream: DataFrame, time: str, by: str, late: str = "1 hour", every: str = "1 day") -> DataFrame:
     """For each window and type the OR of all codes, and how many objects came; late ones beyond the watermark go."""
-    windowed = stream.withWatermark(time, late).groupBy(F.window(time, every).alias("w"), by)
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    windowed = timed.withWatermark(time, late).groupBy(F.window(time, every).alias("w"), by)
     return windowed.agg(F.bit_or("code").alias("code"), F.count("*").alias("n")).select(
         F.col("w.start").alias("start"), by, "code", "n"
     )
