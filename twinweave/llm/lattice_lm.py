@@ -311,10 +311,11 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def likelihood(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Vocabulary(path).lattice(uses)
         for frame in _lots(frames):
-            yield frame.assign(by_pieces=lattice.log_probabilities([as_text(w) for w in frame.word]))
+            found = lattice.log_probabilities([as_text(w) for w in frame.word])
+            yield frame[["word", *columns]].assign(by_pieces=found)
 
     cells = ", ".join(f"{c} long" for c in columns)
-    known = counts.mapInPandas(likelihood, f"word binary, c long, {cells}, by_pieces double")
+    known = counts.mapInPandas(likelihood, f"word binary, {cells}, by_pieces double")
     needed = gathered.select("block", "word").join(known, "word")
     base_norm = math.log10(total + 0.1 * (distinct + 1))
     base_end = math.log10(ends + 0.1) - base_norm
@@ -331,7 +332,7 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def of_block(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         place = {w: k for k, w in enumerate(words.word)}
-        c, by_pieces = words.c.to_numpy(np.int64), words.by_pieces.to_numpy(np.float64)
+        c, by_pieces = words[columns].to_numpy(np.int64).sum(axis=1), words.by_pieces.to_numpy(np.float64)
         base = np.log10(c + 0.1) - base_norm
         logs = []
         for k, (_, stop, n, taken) in enumerate(classed):
