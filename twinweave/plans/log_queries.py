@@ -49,23 +49,24 @@ def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_F2 = """shown AS (SELECT category, threshold, round(tpr, 4) AS tpr, round(fpr, 4) AS fpr, round(prec, 4) AS prec, round(acc, 4) AS acc FROM s)"""
+_PARTS = ", ".join(f"sum(floor({c} * 10000 + 1e-6)::BIGINT)::BIGINT AS {c}" for c in ("tpr", "fpr", "prec", "acc"))
 
 
-@query(f"""WITH {match_queries._CONFUSION}, {match_queries._METRICS}, {_F2}
-SELECT category AS type, count(*) AS n, round(avg(threshold / 100.0::DOUBLE), 4) AS mean_threshold, round(avg(tpr), 3) AS mean_tpr, round(avg(prec), 3) AS mean_prec FROM shown GROUP BY 1""")
+@query(f"""WITH {match_queries._CONFUSION}, {match_queries._METRICS}
+SELECT category AS type, count(*) AS n, sum(threshold)::BIGINT AS thresholds, {_PARTS} FROM s GROUP BY 1""")
 def estimation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An estimation log of the thresholds' scores, read back: mean configuration of each type."""
+    """An estimation log of the thresholds' scores, to four places, read back: each type's sums in ten thousandths."""
+    names = ("tpr", "fpr", "prec", "acc")
     scores = evaluation.metrics(evaluation.confusion(match_queries.labelled(spark, sf_dir)))
-    shown = [F.format_string("%.4f", F.round(c, 4)) for c in ("tpr", "fpr", "prec", "acc")]
+    shown = [F.format_string("%.4f", F.floor(F.col(c) * 10000 + 1e-6) / 10000.0) for c in names]
     line = F.concat(
         F.lit("["), "category", F.lit("] cos t="), F.format_string("%.2f", F.col("threshold") / 100.0), F.lit(" TPR="), shown[0],
         F.lit(" FPR="), shown[1], F.lit(" Prec="), shown[2], F.lit(" Acc="), shown[3], F.lit(" F2=0.0"),
     )
     rows = readers.estimations(scores.select(line.alias("value")))
-    mean = lambda c, d: F.round(F.avg(c), d)
+    whole = lambda c, by: F.sum(F.round(F.col(c) * by).cast("long"))
     return rows.groupBy("type").agg(
-        F.count("*").alias("n"), mean("threshold", 4).alias("mean_threshold"), mean("tpr", 3).alias("mean_tpr"), mean("prec", 3).alias("mean_prec")
+        F.count("*").alias("n"), whole("threshold", 100).alias("thresholds"), *[whole(c, 10000).alias(c) for c in names]
     )
 
 
