@@ -1,4 +1,4 @@
-"""Similarities and distances of codes, sets and vectors. Where the reference divides 0 by 0, 0 is returned."""
+"""Similarities and distances of codes, sets and vectors. Where a formula divides 0 by 0, 0 is returned."""
 
 from __future__ import annotations
 
