@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm import decontaminate, packing, pii, simhash, toxicity
+from twinweave.llm import decontaminate, likeness, packing, pii, toxicity
 from twinweave.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.deduplicate(docs.select(*COLUMNS))
+    """Of each group of near copies (5-word shingles, likeness 0.8 and more) the document with the smallest doc_id stays."""
+    return likeness.deduplicate(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
