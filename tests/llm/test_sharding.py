@@ -42,3 +42,10 @@ def test_odd_rows(spark, odd, docs):
     assert {r.size for r in rows if r.doc_id in (1, 2)} == {1}
     assert sharding.partition(docs([]), 4).count() == 0
     assert sharding.partition(docs([(1, "a"), (2, "b")]), target_bytes=2).select("shard").distinct().count() == 2
+
+
+def test_nodes_lighter_than_their_shards(docs):
+    for texts in ([(1, None)], [(1, "long " * 2000), (2, "")]):
+        rows = sharding.partition(docs(texts), 16).collect()
+        assert sorted(r.doc_id for r in rows) == [k for k, _ in texts]
+        assert all(0 <= r.shard < 16 and r.slot == 0 for r in rows)

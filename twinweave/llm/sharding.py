@@ -94,7 +94,7 @@ def tree_shards(points: DataFrame, shards: int) -> DataFrame:
             d = max(range(dimensions), key=lambda k: width[k] / whole[k])
             n = open_[r.node]
             plan.append((r.node, d, float(r[f"min{d}"]), float(r[f"max{d}"])))
-            asked[r.node] = r.total * (n // 2) // n
+            asked[r.node] = max(1, r.total * (n // 2) // n)  # a cut at 0 bytes is never reached
         if not plan:
             break
         splits = spark.createDataFrame(plan, "node int, dimension int, low double, high double")
