@@ -2,52 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; with texts of up to about 100 kB a batch stays under 50 MB.
-ARROW_ROWS = 500
-#: Folders made for sessions that name none, by application.
-_OWN: dict[str, str | None] = {}
+from twinweave.storage import removed, shared_folder, table, written
 
+__all__ = ["batches_of", "fold", "lots", "removed", "shared_folder", "table", "text_or_empty", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows and characters that a task works on at once. (Spark bounds Arrow batches by rows and bytes.)
+LOT_ROWS, LOT_CHARS = 500, 16_000_000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir.
-
-    Only where a session names none (tests on one machine) a temporary folder is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    return _OWN.setdefault(spark.sparkContext.applicationId, None) or _own_folder(spark)
-
-
-def _own_folder(spark: SparkSession) -> str:
-    folder = tempfile.mkdtemp(prefix="twinweave-")
-    _OWN[spark.sparkContext.applicationId] = folder
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def lots(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
+    """The frames' rows in lots of at most LOT_ROWS rows, and of LOT_CHARS characters unless a single text has more."""
+    for frame in frames:
+        first, chars = 0, 0
+        for k, size in enumerate(frame[column].str.len()):
+            if k > first and (k - first >= LOT_ROWS or chars + size > LOT_CHARS):
+                yield frame.iloc[first:k]
+                first, chars = k, 0
+            chars += size
+        if first < len(frame):
+            yield frame.iloc[first:]
 
 
 def fold(doc_id: Column, modulus: int) -> Column:

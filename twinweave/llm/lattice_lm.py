@@ -4,17 +4,22 @@ A word, with the vocabulary's mark for a word's start before it, is a lattice wh
 the vocabulary; the forward recursion in log space sums the probabilities of all paths, so a word's
 probability is the marginal over its segmentations. A text is its words in turn and an end. A character
 outside the vocabulary goes by its bytes. A word of the learning fold is also an edge of its own, over the
-whole word: it has its count less DISCOUNT, and what is taken off all words is the share of the pieces.
-These counts are kept for each of the learning fold's languages (the CLASSES - 1 most common ones, and the
-others together); a text's probability is the sum over the languages, whatever its own lang says.
+whole word: it has its count less a discount, and what is taken off all words is the share of the pieces.
+The discount is what leaving one out of the learned words' counts asks for: n1 / (n1 + 2 n2), with n1 and
+n2 the words that occur once and twice.
+
+Pieces and words are weighted for each of the learning fold's languages (the CLASSES - 1 most common ones,
+and the others together); a text's probability is the sum over the languages, whatever its own lang says.
 
 The vocabulary comes from a file and isn't changed. Its own scores are merge ranks, not probabilities, so
 the pieces' probabilities are learned: how often the vocabulary's own segmentation uses each piece in the
 distinct words of the learning fold, then ROUNDS of expectation-maximisation over all segmentations.
 
-Counts of words are sums over the whole corpus and grow with it, so they aren't broadcast: each block of
-documents (DOCS_PER_BLOCK neighbouring ids) gathers its own distinct words, these are joined with the
-words' counts and probabilities, and each block is scored with the words it needs.
+Counts of words are sums over the whole corpus and grow with it, so they aren't broadcast. Texts are read
+once, in chunks of some CHUNK_BYTES: a chunk becomes a row for each of its distinct words, with the word's
+count in each of its documents, and a row for each document. Words are counted, learned from and weighted
+as a table of their own; their weights are joined to the chunks' words, and each chunk's documents are
+summed up from them. The texts themselves are never moved.
 
 Defined cases: a null text is empty and is just an end; a null doc_id counts as empty text for the folds;
 without any learning text each base term is 0 and pieces are equally likely; very long words are scored
@@ -26,26 +31,30 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
+from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import fold, small_batches, table, written
+from twinweave.llm.common import fold, table, written
 
-DOCS_PER_BLOCK = 2048
-ROUNDS = 1
-DISCOUNT = 0.5
+#: Text whose words are gathered together.
+CHUNK_BYTES = 8_000_000
+ROUNDS = 2
 CLASSES = 6
-#: Added to each piece's count.
-SMOOTHING = 0.1
-#: Words that a task gathers before it passes them on.
-GATHERED = 400_000
+#: Added to each piece's count, and the weight of all languages' uses of a piece in each one's.
+SMOOTHING, SHARED = 0.1, 200.0
 #: Words whose lattices are computed together.
 LOT = 20_000
+#: Rows in one output batch.
+BATCH = 50_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -53,217 +62,267 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
-    both = np.stack(terms)
-    top = both.max(axis=0)
-    return top + np.log(np.exp(both - top).sum(axis=0))
+def as_text(word: bytes) -> str:
+    return word.decode("utf-8", "surrogatepass")
 
 
-class Lattice:
-    """Pieces with natural log probabilities; words of one length are taken together, array by array."""
+class Pieces:
+    """Finds pieces in many words at once: a hash table of all beginnings of pieces, one probe after the other."""
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
-    SLOT_BITS = np.uint64(42)
-
-    def __init__(self, pieces: dict[str, float], byte: list[float], mark: str):
-        self.byte, self.mark = byte, mark
-        self.longest = max(map(len, pieces), default=1)
-        self.names = list(pieces)
-        self.logs = np.array([*pieces.values(), -np.inf])
-        self.chars = {p: k for k, p in enumerate(self.names) if len(p) == 1}
-        # a table from the upper bits of a piece's number to the piece; those whose place is taken go to a second one
-        self.numbers = np.zeros(len(self.names) + 1, dtype=np.uint64)
-        self.first = np.full(1 << 22, len(self.names), dtype=np.int32)
-        self.second = self.first.copy()
-        with np.errstate(over="ignore"):
-            for k, piece in enumerate(self.names):
-                number = np.uint64(0)
-                for c in map(ord, piece):
-                    number = number * self.BASE + np.uint64(c + 1)
-                self.numbers[k] = number
-                at = int((number * self.BASE) >> self.SLOT_BITS)
-                if self.first[at] == len(self.names):
-                    self.first[at] = k
-                else:
-                    at = int((number * self.BASE * self.BASE) >> self.SLOT_BITS)
-                    if self.second[at] != len(self.names):
-                        raise ValueError("two pieces have the same places")
-                    self.second[at] = k
-
-    def _find(self, number: np.ndarray) -> np.ndarray:
-        """The pieces with these numbers, or one past the last."""
-        mixed = number * self.BASE
-        one = self.first[mixed >> self.SLOT_BITS]
-        two = self.second[(mixed * self.BASE) >> self.SLOT_BITS]
-        none = np.int32(len(self.names))
-        return np.where(self.numbers[one] == number, one, np.where(self.numbers[two] == number, two, none))
-
-    def _edges(self, codes: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """For each (start, end): each word's piece there and its log probability; a character that is no piece
-        has the one of its bytes."""
-        n = codes.shape[1]
-        upto = [np.zeros(len(codes), dtype=np.uint64)]
-        for k in range(n):
-            upto.append(upto[-1] * self.BASE + codes[:, k] + np.uint64(1))
-        power = np.uint64(1)
-        powers = [power]
-        with np.errstate(over="ignore"):
-            for _ in range(self.longest):
-                power = power * self.BASE
-                powers.append(power)
-        out = {}
-        distinct, place = np.unique(codes, return_inverse=True)
-        place = place.reshape(codes.shape)
-        known = [(self.chars.get(chr(int(c))), c) for c in distinct]
-        piece = np.array([len(self.names) if k is None else k for k, _ in known], dtype=np.int32)
-        logs = np.array([
-            sum(self.byte[b] for b in chr(int(c)).encode("utf-8", "surrogatepass")) if k is None else self.logs[k]
-            for k, c in known
-        ])
-        for end in range(1, n + 1):
-            out[end - 1, end] = piece[place[:, end - 1]], logs[place[:, end - 1]]
-            for start in range(max(0, end - self.longest), end - 1):
-                found = self._find(upto[end] - upto[start] * powers[end - start])
-                if (found < len(self.names)).any():
-                    out[start, end] = found, self.logs[found]
+    BITS = 20
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        beginnings: dict[str, int] = {}
+        for k, name in enumerate(names):
+            for n in range(1, len(name)):
+                beginnings.setdefault(name[:n], -1)
+            beginnings[name] = k
+        self.numbers = np.zeros(1 << self.BITS, dtype=np.uint64)
+        self.piece = np.full(1 << self.BITS, -2, dtype=np.int32)  # -2: empty, -1: only a beginning
+        for text, k in beginnings.items():
+            number = 0
+            for c in map(ord, text):
+                number = (number * int(self.BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+            at = self._first(np.array([number], dtype=np.uint64))[0]
+            while self.piece[at] != -2:
+                if self.numbers[at] == number:
+                    raise ValueError("two beginnings have the same number")
+                at = (at + 1) & ((1 << self.BITS) - 1)
+            self.numbers[at], self.piece[at] = number, k
+
+    def _first(self, numbers: np.ndarray) -> np.ndarray:
+        return ((numbers * self.BASE) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """Of each number the piece, -1 if it is only a beginning, -2 if it is neither."""
+        at = self._first(numbers)
+        out = self.piece[at]
+        left = np.flatnonzero((out != -2) & (self.numbers[at] != numbers))
+        while len(left):
+            at[left] = (at[left] + 1) & ((1 << self.BITS) - 1)
+            out[left] = self.piece[at[left]]
+            left = left[(out[left] != -2) & (self.numbers[at[left]] != numbers[left])]
+        return out
+
+
+class Edges:
+    """The lattices of some words as flat arrays, with a place before each character and after the last one."""
+
+    def __init__(self, pieces: Pieces, words: list[str], mark: str):
+        sizes = np.array([len(w) + len(mark) for w in words], dtype=np.int64)
+        joined = "".join([mark + w for w in words]).encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(joined, dtype="<u4").astype(np.uint64)
+        ends = np.cumsum(sizes)
+        offset = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+        room = np.repeat(sizes, sizes) - offset
+        place = np.arange(len(codes)) + np.repeat(np.arange(len(words)), sizes)
+        self.first, self.last, self.places = ends - sizes + np.arange(len(words)), ends + np.arange(len(words)), len(codes) + len(words)
+        starts, lengths, found = [], [], []
+        at, numbers = np.arange(len(codes)), codes + np.uint64(1)
+        piece = pieces.find(numbers)
+        # characters that are no piece: numbered from the last piece on
+        none = piece < 0
+        self.unknown, which = np.unique(codes[none], return_inverse=True)
+        single = piece.copy()
+        single[none] = len(pieces.names) + which
+        starts.append(at), lengths.append(np.ones(len(at), dtype=np.int64)), found.append(single)
+        n = 1
+        while len(at):
+            n += 1
+            going = (piece != -2) & (room[at] >= n)
+            at, numbers = at[going], numbers[going] * pieces.BASE + codes[at[going] + n - 1] + np.uint64(1)
+            piece = pieces.find(numbers)
+            hit = piece >= 0
+            starts.append(at[hit]), lengths.append(np.full(int(hit.sum()), n)), found.append(piece[hit])
+        begin, length = np.concatenate(starts), np.concatenate(lengths)
+        self.piece = np.concatenate(found).astype(np.int64)
+        self.start = place[begin]
+        self.end = self.start + length
+        self.start_offset, self.end_offset = offset[begin], offset[begin] + length
+        self.word = np.repeat(np.arange(len(words)), sizes)[begin]
+        self.longest = int(sizes.max(initial=0))
+
+    def sums(self, logs: np.ndarray, back: bool = False) -> np.ndarray:
+        """For each place and column of logs (a row for each edge) the log sum over all paths from the word's
+        start to it, or from it to the word's end."""
+        here, there, offset = (self.start, self.end, self.start_offset) if back else (self.end, self.start, self.end_offset)
+        order = np.lexsort((here, offset))
+        here, there, offset, logs = here[order], there[order], offset[order], logs[order]
+        group = np.flatnonzero(np.r_[True, here[1:] != here[:-1]]) if len(here) else np.array([], dtype=np.int64)
+        steps = np.searchsorted(offset, np.arange(self.longest + 2))
+        of_group = np.searchsorted(group, steps)
+        out = np.full((self.places, logs.shape[1]), -np.inf)
+        out[self.last if back else self.first] = 0.0
+        for k in range(self.longest, -1, -1) if back else range(self.longest + 1):
+            a, b = steps[k], steps[k + 1]
+            if a == b:
+                continue
+            own = group[of_group[k] : of_group[k + 1]]
+            terms = out[there[a:b]] + logs[a:b]
+            top = np.maximum.reduceat(terms, own - a, axis=0)
+            terms -= np.repeat(top, np.diff(np.r_[own, b]), axis=0)
+            out[here[own]] = top + np.log(np.add.reduceat(np.exp(terms), own - a, axis=0))
         return out
 
-    def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, code points) of words of the same length."""
-        by: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(words):
-            by[len(w)].append(k)
-        for n, own in by.items():
-            step = max(1, 40_000 // (n + 1))
-            for k in range(0, len(own), step):
-                part = own[k : k + step]
-                joined = "".join(self.mark + words[i] for i in part).encode("utf-32-le", "surrogatepass")
-                yield np.array(part), np.frombuffer(joined, dtype="<u4").astype(np.uint64).reshape(len(part), -1)
+
+class Lattice:
+    """Pieces and bytes with natural log probabilities, a column for each class."""
+
+    def __init__(self, pieces: Pieces, logs: np.ndarray, byte: np.ndarray, mark: str):
+        self.pieces, self.logs, self.byte, self.mark = pieces, logs, byte, mark
+
+    def _logs(self, edges: Edges) -> np.ndarray:
+        spelled = [self.byte[list(chr(int(c)).encode("utf-8", "surrogatepass"))].sum(axis=0) for c in edges.unknown]
+        known = np.concatenate((self.logs, np.array(spelled))) if spelled else self.logs
+        return known[edges.piece]
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
-        """Of each word the sum over all its segmentations, by the forward recursion."""
-        out = np.zeros(len(words))
-        for at, codes in self._groups(words):
-            out[at] = self._forward(self._edges(codes), codes.shape[1])[-1]
+        """Of each word and class the sum over all segmentations, by the forward recursion."""
+        out = np.zeros((len(words), self.logs.shape[1]))
+        for k in range(0, len(words), LOT):
+            edges = Edges(self.pieces, words[k : k + LOT], self.mark)
+            out[k : k + LOT] = edges.sums(self._logs(edges))[edges.last]
         return out
 
-    def _forward(self, edges: dict, n: int) -> list[np.ndarray]:
-        alpha = [np.zeros(len(edges[0, 1][1]))]
-        for end in range(1, n + 1):
-            starts = (s for s in range(max(0, end - self.longest), end) if (s, end) in edges)
-            alpha.append(_log_sum([alpha[s] + edges[s, end][1] for s in starts]))
-        return alpha
-
-    def expected(self, words: list[str]) -> dict[str, float]:
-        """How often the pieces are used in the words, on average over all segmentations."""
-        uses = np.zeros(len(self.names) + 1)
-        bytes_ = np.zeros(256)
-        for _, codes in self._groups(words):
-            n = codes.shape[1]
-            edges = self._edges(codes)
-            alpha = self._forward(edges, n)
-            beta = [np.zeros(len(codes))] * (n + 1)
-            for start in range(n - 1, -1, -1):
-                ends = [e for e in range(start + 1, min(n, start + self.longest) + 1) if (start, e) in edges]
-                sums = [edges[start, e][1] + beta[e] for e in ends]
-                beta[start] = _log_sum(sums)
-                for e, s in zip(ends, sums, strict=True):
-                    piece, share = edges[start, e][0], np.exp(alpha[start] + s - alpha[-1])
-                    uses += np.bincount(piece, share, len(uses))
-                    if e == start + 1:
-                        for k in np.flatnonzero(piece == len(self.names)):
-                            for b in chr(int(codes[k, start])).encode("utf-8", "surrogatepass"):
-                                bytes_[b] += share[k]
-        found = {p: float(x) for p, x in zip(self.names, uses[:-1], strict=True) if x}
-        return found | {f"<0x{b:02X}>": float(x) for b, x in enumerate(bytes_) if x}
+    def expected(self, words: list[str], class_: int = 0) -> np.ndarray:
+        """How often the pieces, then the 256 bytes, are used in the words, on average over all segmentations."""
+        uses = np.zeros(len(self.pieces.names) + 256)
+        for k in range(0, len(words), LOT):
+            edges = Edges(self.pieces, words[k : k + LOT], self.mark)
+            logs = self._logs(edges)[:, class_ : class_ + 1]
+            before, after = edges.sums(logs)[:, 0], edges.sums(logs, back=True)[:, 0]
+            share = np.exp(before[edges.start] + logs[:, 0] + after[edges.end] - before[edges.last][edges.word])
+            own = np.bincount(edges.piece, share, len(self.pieces.names) + len(edges.unknown))
+            uses[: len(self.pieces.names)] += own[: len(self.pieces.names)]
+            for c, x in zip(edges.unknown, own[len(self.pieces.names) :], strict=True):
+                for b in chr(int(c)).encode("utf-8", "surrogatepass"):
+                    uses[len(self.pieces.names) + b] += x
+        return uses
 
 
 class Vocabulary:
-    """A sentencepiece file's pieces."""
+    """A sentencepiece file's pieces and bytes."""
+
+    mark = "▁"
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(self.model.get_piece_size())
-        self.names = [self.model.id_to_piece(i) for i in ids]
-        self.bytes = {i for i in ids if self.model.is_byte(i)}
-        self.kept = [i for i in ids if not (self.model.is_control(i) or self.model.is_unknown(i))]
-        self.mark = "▁"
-
-    def lattice(self, counts: dict[str, float]) -> Lattice:
-        """With probabilities in proportion to the counts."""
-        total = math.log(sum(counts.get(self.names[i], 0.0) + SMOOTHING for i in self.kept))
-        logs = {self.names[i]: math.log(counts.get(self.names[i], 0.0) + SMOOTHING) - total for i in self.kept}
-        byte = [logs.get(f"<0x{b:02X}>", -total) for b in range(256)]
-        plain = {self.names[i]: logs[self.names[i]] for i in self.kept if i not in self.bytes}
-        return Lattice(plain, byte, self.mark)
-
-    def pieces(self, words: list[str]) -> list[list[str]]:
-        """The vocabulary's own segmentation."""
-        return self.model.encode(words, out_type=str, num_threads=1)
-
-
-def as_text(word: bytes) -> str:
-    return word.decode("utf-8", "surrogatepass")
+        plain = [i for i in ids if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))]
+        self.names = [self.model.id_to_piece(i) for i in plain]
+        self.place = {name: k for k, name in enumerate(self.names)}
+        self.place |= {f"<0x{b:02X}>": len(plain) + b for b in range(256)}
+        self.size = len(plain) + 256
+        self.pieces = Pieces(self.names)
+
+    def lattice(self, uses: np.ndarray) -> Lattice:
+        """With probabilities in proportion to the uses, which have a row for each class."""
+        counts = uses.T + SMOOTHING
+        logs = np.log(counts / counts.sum(axis=0))
+        return Lattice(self.pieces, logs[: len(self.names)], logs[len(self.names) :], self.mark)
+
+    def segmented(self, words: list[str]) -> np.ndarray:
+        """How often the pieces are used by the vocabulary's own segmentation."""
+        uses = Counter(p for own in self.model.encode(words, out_type=str, num_threads=1) for p in own)
+        out = np.zeros(self.size)
+        for p, n in uses.items():
+            if p in self.place:
+                out[self.place[p]] += n
+        return out
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """(block, word, class, c): a block's distinct words as its tasks meet them, and their counts in the learning fold."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], Counter[bytes]] = defaultdict(Counter)
-
-        def out() -> Iterator[pd.DataFrame]:
-            for (block, class_), counts in held.items():
-                if counts:
-                    yield pd.DataFrame({"block": block, "word": list(counts), "class": class_, "c": list(counts.values())})
-            held.clear()
-
-        for frame in frames:
-            for block, class_, held_out, text in zip(
-                frame.block, frame["class"], frame.held_out, frame.text, strict=True
-            ):
-                if held_out:
-                    held[block, class_].update(dict.fromkeys(words_of(text), 0))
-                else:
-                    held[block, class_].update(words_of(text))
-            if sum(map(len, held.values())) > GATHERED:
-                yield from out()
-        yield from out()
-
-    return docs.select("block", "class", "held_out", "text").mapInPandas(run, "block long, word binary, class int, c long")
-
-
-def _lots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frames of some LOT rows, since arrays of many words are quicker."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        held.append(frame)
-        if sum(map(len, held)) >= LOT:
-            yield pd.concat(held, ignore_index=True)
-            held = []
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
-def _learned(counts: DataFrame, path: str, start: dict[str, float] | None) -> dict[str, float]:
-    """Uses of each piece in all learned words: by the vocabulary's own segmentation, or expected from a start."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, uses = Vocabulary(path), Counter()
-        lattice = vocabulary.lattice(start) if start is not None else None
-        for frame in _lots(frames):
-            words = [as_text(w) for w in frame.word]
-            if lattice:
-                uses.update(lattice.expected(words))
-            else:
-                for pieces in vocabulary.pieces(words):
-                    uses.update(pieces)
-        if uses:
-            yield pd.DataFrame({"piece": list(uses), "uses": [float(x) for x in uses.values()]}).astype({"uses": "float64"})
-
-    found = counts.filter("c > 0").select("word").mapInPandas(run, "piece string, uses double")
-    # a row for each piece of the vocabulary at most
-    return {r.piece: r.uses for r in found.groupBy("piece").agg(F.sum("uses").alias("uses")).collect()}
+@cache
+def vocabulary_at(path: str) -> Vocabulary:
+    """Read once in a worker."""
+    return Vocabulary(path)
+
+
+def gathered(rows: DataFrame, classes: int) -> DataFrame:
+    """From (doc_id, class, held_out, text): a row for each distinct word of each chunk with its counts in the
+    chunk's documents (docs and times) and in the learned texts of each class, and one without a word for each document."""
+    fields = [("chunk", pa.int64()), ("word", pa.binary()), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
+    fields += [(f"c{k}", pa.int64()) for k in range(classes)]
+    fields += [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]
+    schema = pa.schema(fields)
+
+    def of_chunk(chunk: int, known: dict, ids: list, docs: list, about: list) -> Iterator[pa.RecordBatch]:
+        n = len(about)
+        doc_ids, class_, held = (list(x) for x in zip(*about, strict=True))
+        tokens = np.bincount(np.concatenate(docs), minlength=n)
+        key, times = np.unique(np.concatenate(ids).astype(np.int64) * n + np.concatenate(docs), return_counts=True)
+        word, doc = key // n, (key % n).astype(np.int32)
+        learned = np.where(np.array(held)[doc], 0, times)
+        by_class = np.bincount(word * classes + np.array(class_)[doc], learned, len(known) * classes).reshape(-1, classes)
+        cuts = np.searchsorted(word, np.arange(len(known) + 1)).astype(np.int32)
+        names, times = list(known), times.astype(np.int32)
+        for k in range(0, len(known), BATCH):
+            upto = min(len(known), k + BATCH)
+            a, b = cuts[k], cuts[upto]
+            lists = [pa.ListArray.from_arrays(pa.array(cuts[k : upto + 1] - a), pa.array(x[a:b])) for x in (doc, times)]
+            size = upto - k
+            counts = [pa.array(by_class[k:upto, c].astype(np.int64)) for c in range(classes)]
+            none = [pa.nulls(size, t) for t in (pa.int64(), pa.bool_(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array(names[k:upto], pa.binary()), *lists, *counts, *none], schema=schema)
+        own = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)))
+        none = [pa.nulls(n, pa.list_(pa.int32())), *[pa.nulls(n, pa.int64())] * classes]
+        last = [pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.binary()), own, *none, *last], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        known, ids, docs, about = defaultdict(count().__next__), [], [], []
+        for batch in batches:
+            columns = [batch.column(name) for name in ("doc_id", "class", "held_out", "text")]
+            for doc_id, class_, held, text in zip(*columns, strict=True):
+                words = words_of(text.as_py())
+                ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                docs.append(np.full(len(words), len(about), dtype=np.int64))
+                about.append((doc_id.as_py(), class_.as_py(), held.as_py()))
+                size += sum(map(len, words)) + 16
+                if size >= CHUNK_BYTES:
+                    yield from of_chunk(chunk, known, ids, docs, about)
+                    chunk, size = chunk + 1, 0
+                    known, ids, docs, about = defaultdict(count().__next__), [], [], []
+        if about:
+            yield from of_chunk(chunk, known, ids, docs, about)
+
+    cells = ", ".join(f"c{k} long" for k in range(classes))
+    out = f"chunk long, word binary, docs array<int>, times array<int>, {cells}, doc_id long, held_out boolean, n_tokens long"
+    return rows.mapInArrow(run, out)
+
+
+def _uses(counts: DataFrame, path: str, classes: int, start: np.ndarray | None) -> np.ndarray:
+    """Uses of the pieces in the words that each class has learned, by the vocabulary's own segmentation or
+    expected from a start; a row for each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_at(path)
+        lattice = vocabulary.lattice(shared(start)) if start is not None else None
+        uses = np.zeros((classes, vocabulary.size))
+        for batch in batches:
+            words = [as_text(w) for w in batch.column(0).to_pylist()]
+            for k in range(classes):
+                own = [words[i] for i in np.flatnonzero(batch.column(k + 1).to_numpy(zero_copy_only=False))]
+                if own:
+                    uses[k] += lattice.expected(own, k) if lattice else vocabulary.segmented(own)
+        class_, place = np.nonzero(uses)
+        yield pa.RecordBatch.from_arrays([pa.array(class_.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(uses[class_, place])], ["class", "place", "uses"])
+
+    learned = [(F.col(f"c{k}") > 0).alias(f"has{k}") for k in range(classes)]
+    found = counts.select("word", *learned).mapInArrow(run, "class int, place int, uses double")
+    out = np.zeros((classes, vocabulary_at(path).size))
+    # a row for each class and piece at most
+    for r in found.groupBy("class", "place").agg(F.sum("uses").alias("uses")).collect():
+        out[r["class"], r.place] = r.uses
+    return out
+
+
+def shared(uses: np.ndarray) -> np.ndarray:
+    """Each class's uses with those of all classes, whose weight is SHARED."""
+    every = uses.sum(axis=0)
+    return uses + SHARED * every / max(1.0, every.sum())
 
 
 SCORES = (
@@ -273,85 +332,92 @@ SCORES = (
 
 def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The SCORES of each document."""
-    small_batches(docs.sparkSession)
     path = vocabulary or public_tokenizers.path("piece_bpe_32k.model")
     held_out = fold(F.col("doc_id"), 10) == 0
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     common = docs.filter(~held_out).groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang")
-    names = [r.lang for r in common.limit(CLASSES - 1).collect()]
+    names = [r.lang for r in common.limit(CLASSES).collect()]
+    if len(names) == CLASSES:
+        names[-1:] = []
     class_ = F.lit(len(names))
     for k, name in enumerate(names):
         class_ = F.when(lang == name, k).otherwise(class_)
-    classes = range(len(names) + 1)
+    n_classes = len(names) + 1
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.floor(F.col("doc_id") / DOCS_PER_BLOCK), F.lit(-1)).cast("long").alias("block"),
         class_.alias("class"),
         held_out.alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
+    found = written(gathered(rows, n_classes), "gathered")
+    columns = [f"c{k}" for k in range(n_classes)]
+    words = found.filter("word IS NOT NULL")
+    counts = written(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]), "words")
+    total = sum(map(F.col, columns), F.lit(0))
+    # one row
+    whole = counts.agg(
+        F.sum(total).alias("n"), F.count_if(total > 0).alias("v"), *[F.sum(c).alias(f"n_{c}") for c in columns],
+        *[F.count_if(F.col(c) > 0).alias(f"v_{c}") for c in columns], *[F.count_if(F.col(c) == 1).alias(f"n1_{c}") for c in columns],
+        *[F.count_if(F.col(c) == 2).alias(f"n2_{c}") for c in columns],
+    ).first()
     # a row for each class
     own_ends = {r["class"]: r["count"] for r in rows.filter("NOT held_out").groupBy("class").count().collect()}
     ends = sum(own_ends.values())
-    gathered = block_words(rows)
-    columns = [f"c{k}" for k in classes]
-    sums = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("c"))), F.lit(0)).alias(f"c{k}") for k in classes]
-    counts = written(gathered.groupBy("word").agg(F.sum("c").alias("c"), *sums), "words")
-    whole = counts.agg(
-        F.sum("c").alias("n"),
-        F.count_if(F.col("c") > 0).alias("v"),
-        *[F.sum(c).alias(f"n_{c}") for c in columns],
-        *[F.count_if(F.col(c) > 0).alias(f"v_{c}") for c in columns],
-    ).first()
-    total, distinct = (whole.n or 0) + ends, (whole.v or 0) + (ends > 0)
-    uses = _learned(counts, path, None)
+    tokens, distinct = (whole.n or 0) + ends, (whole.v or 0) + (ends > 0)
+    uses = _uses(counts, path, n_classes, None)
     for _ in range(ROUNDS):
-        uses = _learned(counts, path, uses)
-
-    def likelihood(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Vocabulary(path).lattice(uses)
-        for frame in _lots(frames):
-            found = lattice.log_probabilities([as_text(w) for w in frame.word])
-            yield frame[["word", *columns]].assign(by_pieces=found)
-
-    cells = ", ".join(f"{c} long" for c in columns)
-    known = counts.mapInPandas(likelihood, f"word binary, {cells}, by_pieces double")
-    needed = gathered.select("block", "word").join(known, "word")
-    base_norm = math.log10(total + 0.1 * (distinct + 1))
+        uses = _uses(counts, path, n_classes, uses)
+    base_norm = math.log10(tokens + 0.1 * (distinct + 1))
     base_end = math.log10(ends + 0.1) - base_norm
-    # of each class: its share of the texts, of its tokens the ends, its words, their discounts' sum
-    classed = [
-        (
-            math.log((own_ends.get(k, 0) + 0.1) / (ends + 0.1 * len(classes))),
-            (own_ends.get(k, 0) + 1) / ((whole[f"n_c{k}"] or 0) + own_ends.get(k, 0) + 2),
-            whole[f"n_c{k}"] or 0,
-            (whole[f"v_c{k}"] or 0) * DISCOUNT,
-        )
-        for k in classes
-    ]
-
-    def of_block(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        place = {w: k for k, w in enumerate(words.word)}
-        c, by_pieces = words[columns].to_numpy(np.int64).sum(axis=1), words.by_pieces.to_numpy(np.float64)
-        base = np.log10(c + 0.1) - base_norm
-        logs = []
-        for k, (_, stop, n, taken) in enumerate(classed):
-            share = math.log(taken / n) if n else 0.0
-            with np.errstate(divide="ignore"):
-                whole_word = np.log(np.maximum(words[f"c{k}"].to_numpy(np.float64) - DISCOUNT, 0.0) / max(1, n))
-            logs.append(np.logaddexp(by_pieces + share, whole_word) + math.log1p(-stop))
-        out = []
-        for doc_id, held, text in zip(texts.doc_id, texts.held_out, texts.text, strict=True):
-            own = words_of(text)
-            at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-            each = [x[at].sum() + prior + math.log(stop) for x, (prior, stop, _, _) in zip(logs, classed, strict=True)]
-            n_known = int((c[at] > 0).sum()) + (ends > 0)
-            p = float(np.logaddexp.reduce(each)) / math.log(10)
-            out.append((doc_id, held, len(own) + 1, n_known, total, base[at].sum() + base_end, p))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCORES.split(", ")])
-        return frame.astype({"doc_id": "Int64"})
-
-    return rows.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(of_block, SCORES)
+    # of each class: its share of the texts, of its tokens the ends, its words, their discount
+    classed = []
+    for k in range(n_classes):
+        n, once, twice = whole[f"n_c{k}"] or 0, whole[f"n1_c{k}"] or 0, whole[f"n2_c{k}"] or 0
+        discount = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
+        end = own_ends.get(k, 0)
+        classed.append((math.log((end + 0.1) / (ends + 0.1 * n_classes)), (end + 1) / (n + end + 2), n, discount, (whole[f"v_c{k}"] or 0) * discount))
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = vocabulary_at(path).lattice(shared(uses))
+        for batch in batches:
+            own = np.stack([batch.column(k + 1).to_numpy() for k in range(n_classes)], axis=1).astype(np.float64)
+            logs = lattice.log_probabilities([as_text(w) for w in batch.column(0).to_pylist()])
+            for k, (_, stop, n, discount, taken) in enumerate(classed):
+                with np.errstate(divide="ignore"):
+                    alone = np.log(np.maximum(own[:, k] - discount, 0.0) / max(1, n))
+                logs[:, k] = np.logaddexp(logs[:, k] + (math.log(taken / n) if n else 0.0), alone) + math.log1p(-stop)
+            c = own.sum(axis=1)
+            values = [pa.array(c > 0), pa.array(np.log10(c + 0.1) - base_norm), *[pa.array(logs[:, k]) for k in range(n_classes)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["word", "known", "base", *[f"l{k}" for k in range(n_classes)]])
+
+    cells = ", ".join(f"l{k} double" for k in range(n_classes))
+    weights = counts.mapInArrow(weighted, f"word binary, known boolean, base double, {cells}")
+    met = words.select("chunk", "word", "docs", "times").join(weights, "word").drop("word")
+    parts = met.unionByName(
+        found.filter("word IS NULL").select("chunk", "docs", "doc_id", "held_out", "n_tokens"), allowMissingColumns=True
+    )
+
+    def of_chunk(chunk: pa.Table) -> pa.Table:
+        about = chunk.filter(pa.compute.is_valid(chunk["n_tokens"]))
+        rest = chunk.filter(pa.compute.is_null(chunk["n_tokens"])).combine_chunks()
+        n = about.num_rows
+        sizes = pa.compute.list_value_length(rest["docs"]).to_numpy().astype(np.int64)
+        doc = pa.compute.list_flatten(rest["docs"]).to_numpy()
+        times = pa.compute.list_flatten(rest["times"]).to_numpy().astype(np.float64)
+
+        def summed(column: str) -> np.ndarray:
+            values = rest[column].to_numpy(zero_copy_only=False).astype(np.float64)
+            return np.bincount(doc, np.repeat(values, sizes) * times, n)
+
+        order = np.argsort(pa.compute.list_flatten(about["docs"]).to_numpy())
+        about, tokens_ = about.take(pa.array(order)), about["n_tokens"].to_numpy()[order]
+        each = np.stack([summed(f"l{k}") + prior + math.log(stop) for k, (prior, stop, *_) in enumerate(classed)])
+        known = summed("known").round().astype(np.int64) + (ends > 0)
+        out = [about["doc_id"], about["held_out"], pa.array(tokens_), pa.array(known), pa.array(np.full(n, tokens)),
+               pa.array(summed("base") + base_end), pa.array(np.logaddexp.reduce(each, axis=0) / math.log(10))]
+        return pa.table(out, names=[x.split()[0] for x in SCORES.split(", ")])
+
+    return parts.groupBy("chunk").applyInArrow(of_chunk, SCORES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import small_batches, written
+from twinweave.llm.common import lots, written
 from twinweave.llm.simhash import SEED, components, shingles
 
 WIDTH = 5
@@ -54,11 +54,10 @@ def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray]], pd.Data
 
     Sets are larger than their texts, so they are made anew where they are needed instead of being stored.
     """
-    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for frame in frames:
+        for frame in lots(frames):
             nodes, sets = [], []
             for text in frame.text:
                 found = shingle_set(text)
@@ -80,10 +79,9 @@ def _node(found: np.ndarray) -> int:
 
 def _members(docs: DataFrame) -> DataFrame:
     """(doc_id, node)"""
-    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in lots(frames):
             yield pd.DataFrame({"doc_id": frame.doc_id, "node": [_node(shingle_set(x)) for x in frame.text]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

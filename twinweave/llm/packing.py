@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import Split
 
-from twinweave.llm.common import batches_of, small_batches, table
+from twinweave.llm.common import batches_of, lots, table
 
 CAPACITY = 4096
 END_ID = 2
@@ -185,7 +185,6 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row per piece: which ids of which document lie where in which sequence."""
-    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         words, packer = WordTokenizer(path), Packer(TaskContext.get().partitionId() << 40, capacity)
 
         def rows() -> Iterator[tuple]:
-            for frame in frames:
+            for frame in lots(frames):
                 for doc_id, none, ids in zip(frame.doc_id, frame.no_id, words.batch(frame.text), strict=True):
                     whole = np.frombuffer(ids + end, dtype="<u4")
                     yield from packer.add(None if none else int(doc_id), whole)

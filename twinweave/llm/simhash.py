@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import small_batches, table, written
+from twinweave.llm.common import lots, removed, table, written
 
 BUDGET = 3
 WIDTH = 3
@@ -63,10 +63,9 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed number."""
-    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in lots(frames):
             bits = np.array([fingerprint(x, width) for x in frame.text], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": frame.doc_id.astype("Int64"), "fp": bits.view(np.int64)})
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import batches_of, small_batches, table
+from twinweave.llm.common import batches_of, lots, table
 
 WIDTH = 16
 FRACTION = 16
@@ -93,10 +93,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def sketches(docs: DataFrame, width: int = WIDTH, fraction: int = FRACTION) -> DataFrame:
     """(doc_id, n_chars, fingerprint) of each document."""
-    small_batches(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in lots(frames):
             prints = [to_text(sketch(x, width, fraction)) for x in frame.text]
             yield pd.DataFrame(
                 {"doc_id": frame.doc_id.astype("Int64"), "n_chars": frame.text.str.len(), "fingerprint": prints}
@@ -117,7 +116,7 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def rows() -> Iterator[tuple]:
         before = None
-        for frame in frames:
+        for frame in lots(frames):
             for part, copy, doc_id, none, text in zip(
                 frame.part, frame.copied, frame.doc_id, frame.no_id, frame.text, strict=True
             ):
@@ -145,7 +144,6 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     with a range's greatest id are also sent to the range before it, so that each row meets its next.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ranges = max(1, -(-(rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0) // RANGE_BYTES))
     cuts = np.array([], dtype=np.int64)

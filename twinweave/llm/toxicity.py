@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import fold, small_batches, table
+from twinweave.llm.common import fold, lots, table
 
 TRAINING_ROWS = 12_000
 ROUNDS = 10
@@ -102,14 +102,14 @@ def _learn_all(frame: pd.DataFrame) -> pd.DataFrame:
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """From (doc_id, text, toxic): the coordinates that aren't zero, their weights, and the bias."""
-    small_batches(labelled.sparkSession)
     count = labelled.count()
     share = min(1.0, TRAINING_ROWS / max(1, count))
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
-        for frame in frames:
+        for frame in lots(frames):
+            frame = frame.copy()
             frame["features"] = [features(x).astype("<i4").tobytes() for x in frame.text]
             yield frame[["doc_id", "features", "toxic", "place"]]
 
@@ -129,7 +129,6 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Column:
     """The probability of label 1, from column text."""
     at, weights, bias = model
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
