@@ -16,10 +16,10 @@ the pieces' probabilities are learned: how often the vocabulary's own segmentati
 distinct words of the learning fold, then ROUNDS of expectation-maximisation over all segmentations.
 
 Counts of words are sums over the whole corpus and grow with it, so they aren't broadcast. Texts are read
-once, in chunks of some CHUNK_BYTES: a chunk becomes a row for each of its distinct words, with the word's
-count in each of its documents, and a row for each document. Words are counted, learned from and weighted
-as a table of their own; their weights are joined to the chunks' words, and each chunk's documents are
-summed up from them. The texts themselves are never moved.
+once, in chunks of some CHUNK_BYTES: a chunk becomes a row for each of its distinct words and one that says
+how often its documents have them. One shuffle brings a word's rows together (at most one from each chunk),
+where it is counted, learned from and weighted; a second one brings the weights back to the chunks, whose
+documents are summed up from them, as 32-bit numbers. The texts themselves are never moved.
 
 Defined cases: a null text is empty and is just an end; a null doc_id counts as empty text for the folds;
 without any learning text each base term is 0 and pieces are equally likely; very long words are scored
@@ -36,17 +36,16 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import public_tokenizers
 import sentencepiece
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinweave.llm.common import fold, table, written
 
 #: Text whose words are gathered together.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 16_000_000
 ROUNDS = 2
 CLASSES = 6
 #: Added to each piece's count, and the weight of all languages' uses of a piece in each one's.
@@ -239,39 +238,51 @@ def vocabulary_at(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(values: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(values, 4 * size, codec="zstd", asbytes=True), dtype="<i4")
+
+
+#: What a chunk's own row holds: its documents in order, and for each of its words in turn how many documents
+#: have it, which ones, and how often.
+CHUNK = "doc_ids array<long>, held array<boolean>, tokens array<long>, spread binary, docs binary, times binary, pairs long"
+
+
 def gathered(rows: DataFrame, classes: int) -> DataFrame:
-    """From (doc_id, class, held_out, text): a row for each distinct word of each chunk with its counts in the
-    chunk's documents (docs and times) and in the learned texts of each class, and one without a word for each document."""
-    fields = [("chunk", pa.int64()), ("word", pa.binary()), ("docs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))]
-    fields += [(f"c{k}", pa.int64()) for k in range(classes)]
-    fields += [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())]
-    schema = pa.schema(fields)
+    """From (doc_id, class, held_out, text): a row for each chunk (CHUNK), and one for each of its distinct words with
+    the word's place in the chunk and its counts in the learned texts of each class."""
+    words_schema = pa.schema([("chunk", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), *[(f"c{k}", pa.int64()) for k in range(classes)]])
+    types = {"array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "binary": pa.binary(), "long": pa.int64()}
+    fields = [x.split() for x in CHUNK.split(", ")]
+    schema = pa.schema([*words_schema, *[(name, types[t]) for name, t in fields]])
 
     def of_chunk(chunk: int, known: dict, ids: list, docs: list, about: list) -> Iterator[pa.RecordBatch]:
         n = len(about)
         doc_ids, class_, held = (list(x) for x in zip(*about, strict=True))
-        tokens = np.bincount(np.concatenate(docs), minlength=n)
-        key, times = np.unique(np.concatenate(ids).astype(np.int64) * n + np.concatenate(docs), return_counts=True)
-        word, doc = key // n, (key % n).astype(np.int32)
+        doc = np.concatenate(docs)
+        tokens = np.bincount(doc, minlength=n) + 1
+        key, times = np.unique(np.concatenate(ids).astype(np.int64) * n + doc, return_counts=True)
+        word, doc = key // n, key % n
         learned = np.where(np.array(held)[doc], 0, times)
         by_class = np.bincount(word * classes + np.array(class_)[doc], learned, len(known) * classes).reshape(-1, classes)
-        cuts = np.searchsorted(word, np.arange(len(known) + 1)).astype(np.int32)
-        names, times = list(known), times.astype(np.int32)
-        for k in range(0, len(known), BATCH):
-            upto = min(len(known), k + BATCH)
-            a, b = cuts[k], cuts[upto]
-            lists = [pa.ListArray.from_arrays(pa.array(cuts[k : upto + 1] - a), pa.array(x[a:b])) for x in (doc, times)]
-            size = upto - k
-            counts = [pa.array(by_class[k:upto, c].astype(np.int64)) for c in range(classes)]
-            none = [pa.nulls(size, t) for t in (pa.int64(), pa.bool_(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, chunk)), pa.array(names[k:upto], pa.binary()), *lists, *counts, *none], schema=schema)
-        own = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.arange(n, dtype=np.int32)))
-        none = [pa.nulls(n, pa.list_(pa.int32())), *[pa.nulls(n, pa.int64())] * classes]
-        last = [pa.array(doc_ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(tokens + 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.nulls(n, pa.binary()), own, *none, *last], schema=schema)
+        names, by_class = list(known), by_class.astype(np.int64)
+        for k in range(0, len(names), BATCH):
+            part = slice(k, min(len(names), k + BATCH))
+            size = part.stop - k
+            counts = [pa.array(by_class[part, c]) for c in range(classes)]
+            own = [pa.array(np.full(size, chunk)), pa.array(names[part], pa.binary()), pa.array(np.arange(k, part.stop, dtype=np.int32)), *counts]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(size, types[t]) for _, t in fields]], schema=schema)
+        spread = np.bincount(word, minlength=len(names))
+        row = [[doc_ids], [held], [tokens.tolist()], [_packed(spread)], [_packed(doc)], [_packed(times)], [len(doc)]]
+        none = [pa.nulls(1, f.type) for f in list(words_schema)[1:]]
+        cells = [pa.array(x, types[t]) for x, (_, t) in zip(row, fields, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), *none, *cells], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
+        chunk, size = TaskContext.get().partitionId() << 16, 0
         known, ids, docs, about = defaultdict(count().__next__), [], [], []
         for batch in batches:
             columns = [batch.column(name) for name in ("doc_id", "class", "held_out", "text")]
@@ -280,7 +291,7 @@ def gathered(rows: DataFrame, classes: int) -> DataFrame:
                 ids.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 docs.append(np.full(len(words), len(about), dtype=np.int64))
                 about.append((doc_id.as_py(), class_.as_py(), held.as_py()))
-                size += sum(map(len, words)) + 16
+                size += sum(map(len, words)) + len(words) + 16
                 if size >= CHUNK_BYTES:
                     yield from of_chunk(chunk, known, ids, docs, about)
                     chunk, size = chunk + 1, 0
@@ -289,8 +300,7 @@ def gathered(rows: DataFrame, classes: int) -> DataFrame:
             yield from of_chunk(chunk, known, ids, docs, about)
 
     cells = ", ".join(f"c{k} long" for k in range(classes))
-    out = f"chunk long, word binary, docs array<int>, times array<int>, {cells}, doc_id long, held_out boolean, n_tokens long"
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, f"chunk long, word binary, place int, {cells}, {CHUNK}")
 
 
 def _uses(counts: DataFrame, path: str, classes: int, start: np.ndarray | None) -> np.ndarray:
@@ -349,10 +359,23 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         held_out.alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
+    # a row for each class
+    own_ends = {r["class"]: r["count"] for r in rows.filter("NOT held_out").groupBy("class").count().collect()}
+    ends = sum(own_ends.values())
+    if ends and len(names) not in own_ends:  # no others: those who aren't learned from need no class
+        n_classes, rows = len(names), rows.withColumn("class", F.least("class", F.lit(len(names) - 1)))
     found = written(gathered(rows, n_classes), "gathered")
     columns = [f"c{k}" for k in range(n_classes)]
-    words = found.filter("word IS NOT NULL")
-    counts = written(words.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]), "words")
+    # each word with its counts in the whole table; a word has a row for each chunk that it occurs in
+    same = Window.partitionBy("word")
+    counted = written(
+        found.filter("word IS NOT NULL").select(
+            "word", "chunk", "place", (F.col("chunk") == F.min("chunk").over(same)).alias("first"),
+            *[F.sum(c).over(same).alias(c) for c in columns],
+        ),
+        "words",
+    )
+    counts = counted.filter("first")
     total = sum(map(F.col, columns), F.lit(0))
     # one row
     whole = counts.agg(
@@ -360,9 +383,6 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         *[F.count_if(F.col(c) > 0).alias(f"v_{c}") for c in columns], *[F.count_if(F.col(c) == 1).alias(f"n1_{c}") for c in columns],
         *[F.count_if(F.col(c) == 2).alias(f"n2_{c}") for c in columns],
     ).first()
-    # a row for each class
-    own_ends = {r["class"]: r["count"] for r in rows.filter("NOT held_out").groupBy("class").count().collect()}
-    ends = sum(own_ends.values())
     tokens, distinct = (whole.n or 0) + ends, (whole.v or 0) + (ends > 0)
     uses = _uses(counts, path, n_classes, None)
     for _ in range(ROUNDS):
@@ -376,48 +396,49 @@ def score(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         discount = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
         end = own_ends.get(k, 0)
         classed.append((math.log((end + 0.1) / (ends + 0.1 * n_classes)), (end + 1) / (n + end + 2), n, discount, (whole[f"v_c{k}"] or 0) * discount))
+    row = np.dtype([("place", "<i4"), ("c", "<i8"), ("logs", "<f4", (n_classes,))])
 
     def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's place, its word's count, and its log probabilities, as one binary value. Rows of a word
+        follow each other, so that its lattice is computed once."""
         lattice = vocabulary_at(path).lattice(shared(uses))
         for batch in batches:
-            own = np.stack([batch.column(k + 1).to_numpy() for k in range(n_classes)], axis=1).astype(np.float64)
-            logs = lattice.log_probabilities([as_text(w) for w in batch.column(0).to_pylist()])
+            own = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(np.float64)
+            coded = batch.column("word").dictionary_encode()
+            which, at = coded.indices.to_numpy(), np.unique(coded.indices.to_numpy(), return_index=True)[1]
+            logs = lattice.log_probabilities([as_text(w) for w in coded.dictionary.to_pylist()])
             for k, (_, stop, n, discount, taken) in enumerate(classed):
                 with np.errstate(divide="ignore"):
-                    alone = np.log(np.maximum(own[:, k] - discount, 0.0) / max(1, n))
+                    alone = np.log(np.maximum(own[at, k] - discount, 0.0) / max(1, n))
                 logs[:, k] = np.logaddexp(logs[:, k] + (math.log(taken / n) if n else 0.0), alone) + math.log1p(-stop)
-            c = own.sum(axis=1)
-            values = [pa.array(c > 0), pa.array(np.log10(c + 0.1) - base_norm), *[pa.array(logs[:, k]) for k in range(n_classes)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["word", "known", "base", *[f"l{k}" for k in range(n_classes)]])
-
-    cells = ", ".join(f"l{k} double" for k in range(n_classes))
-    weights = counts.mapInArrow(weighted, f"word binary, known boolean, base double, {cells}")
-    met = words.select("chunk", "word", "docs", "times").join(weights, "word").drop("word")
-    parts = met.unionByName(
-        found.filter("word IS NULL").select("chunk", "docs", "doc_id", "held_out", "n_tokens"), allowMissingColumns=True
-    )
-
-    def of_chunk(chunk: pa.Table) -> pa.Table:
-        about = chunk.filter(pa.compute.is_valid(chunk["n_tokens"]))
-        rest = chunk.filter(pa.compute.is_null(chunk["n_tokens"])).combine_chunks()
-        n = about.num_rows
-        sizes = pa.compute.list_value_length(rest["docs"]).to_numpy().astype(np.int64)
-        doc = pa.compute.list_flatten(rest["docs"]).to_numpy()
-        times = pa.compute.list_flatten(rest["times"]).to_numpy().astype(np.float64)
-
-        def summed(column: str) -> np.ndarray:
-            values = rest[column].to_numpy(zero_copy_only=False).astype(np.float64)
-            return np.bincount(doc, np.repeat(values, sizes) * times, n)
-
-        order = np.argsort(pa.compute.list_flatten(about["docs"]).to_numpy())
-        about, tokens_ = about.take(pa.array(order)), about["n_tokens"].to_numpy()[order]
-        each = np.stack([summed(f"l{k}") + prior + math.log(stop) for k, (prior, stop, *_) in enumerate(classed)])
-        known = summed("known").round().astype(np.int64) + (ends > 0)
-        out = [about["doc_id"], about["held_out"], pa.array(tokens_), pa.array(known), pa.array(np.full(n, tokens)),
-               pa.array(summed("base") + base_end), pa.array(np.logaddexp.reduce(each, axis=0) / math.log(10))]
+            out = np.zeros(batch.num_rows, dtype=row)
+            out["place"], out["c"], out["logs"] = batch.column("place").to_numpy(), own.sum(axis=1), logs[which]
+            ends_ = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * row.itemsize)
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends_.buffers()[1], pa.py_buffer(out.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), packed], ["chunk", "packed"])
+
+    weights = counted.mapInArrow(weighted, "chunk long, packed binary")
+    chunks = found.filter("word IS NULL").select("chunk", *[x.split()[0] for x in CHUNK.split(", ")])
+
+    def of_chunk(words: pa.Table, about: pa.Table) -> pa.Table:
+        about = about.to_pylist()[0]
+        n = len(about["doc_ids"])
+        own = np.frombuffer(b"".join(words["packed"].to_pylist()), dtype=row)
+        own = own[np.argsort(own["place"])]
+        docs_, times = (_unpacked(about[c], about["pairs"]) for c in ("docs", "times"))
+        spread = _unpacked(about["spread"], len(own))
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            return np.bincount(docs_, np.repeat(values.astype(np.float64), spread) * times, n)
+
+        each = np.stack([summed(own["logs"][:, k]) + prior + math.log(stop) for k, (prior, stop, *_) in enumerate(classed)])
+        known = summed(own["c"] > 0).round().astype(np.int64) + (ends > 0)
+        base = summed(np.log10(own["c"] + 0.1) - base_norm) + base_end
+        out = [pa.array(about["doc_ids"], pa.int64()), pa.array(about["held"], pa.bool_()), pa.array(about["tokens"], pa.int64()), pa.array(known),
+               pa.array(np.full(n, tokens)), pa.array(base), pa.array(np.logaddexp.reduce(each, axis=0) / math.log(10))]
         return pa.table(out, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    return parts.groupBy("chunk").applyInArrow(of_chunk, SCORES)
+    return weights.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(of_chunk, SCORES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
