@@ -73,6 +73,27 @@ def test_neighbouring_texts_do_not_mix():
     assert index.search([item[:45], item[45:]]) == [[], []]
 
 
+def test_short_items_are_found_as_whole_words():
+    index = D.Index([(1, "Paris"), (2, "forty-two"), (3, "What is the time?"), (4, "?!"), (5, "a")])
+    texts = ["It was in PARIS.", "comparison", "Forty two of them", "what is the time", "paris", "x" + "a" * 30, "b a b", "Paris" + D._NONE + "a"]
+    found = [{x[0] for x in own} for own in index.search(texts)]
+    assert found == [{1}, set(), {2}, {3}, {1}, set(), {5}, {1, 5}]
+    (span,) = index.search(["It was in PARIS."])[0]
+    assert span == (1, 10, 15, 0)
+
+
+def test_excerpts_are_found_wherever_they_begin():
+    rng = random.Random(3)
+    item = prose(rng, 400)
+    index = D.Index([(1, item)])
+    assert all(index.search([f"zzz {item[k : k + 75]} zzz"])[0] for k in range(300))
+
+
+def test_marks_beyond_the_basic_plane_do_not_hide_a_passage():
+    item = "The quick brown fox jumps over the lazy dog and runs far away from here, said the old man quietly."
+    assert D.Index([(1, item)]).search([item.replace(" ", " \U0001f600 ")])[0]
+
+
 def test_odd_rows(spark, odd, docs):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, ""), (None, "word " * 30)], "item_id long, text string")
     rows = {(r.doc_id, r.text is None): r for r in D.searched(odd, bench).drop("leaks_").collect()}

@@ -1,7 +1,9 @@
 import numpy as np
 
 import corpus_pipeline as P
-from twinweave.llm import likeness
+from pyspark.sql import functions as F
+
+from twinweave.llm import likeness, simhash
 
 
 def brute_kept(rows):
@@ -48,11 +50,21 @@ def test_large_classes_by_hubs(docs, monkeypatch):
     seen = []
     monkeypatch.setattr(likeness, "_counted", lambda *a, f=likeness._counted: seen.append(1) or f(*a))
     monkeypatch.setattr(likeness, "MANY", 0)
-    kept = likeness.deduplicate(docs(rows)).collect()
+    kept = likeness.near_copies_removed(docs(rows)).collect()
     assert sorted(r.doc_id for r in kept) == brute_kept(rows) and len(seen) > 1
 
 
+def test_links_beyond_the_fingerprint_s_budget_and_unchecked_ones(docs, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = list(enumerate(x for _ in range(10) for x in family(rng, 4, 8)))
+    monkeypatch.setattr(simhash, "links", lambda nodes: nodes.alias("x").join(nodes.alias("y"), F.col("x.fp") < F.col("y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+    assert sorted(r.doc_id for r in likeness.near_copies_removed(docs(rows)).collect()) == brute_kept(rows)
+    monkeypatch.setattr(simhash, "links", lambda nodes: nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    assert sorted(r.doc_id for r in likeness.near_copies_removed(docs(rows)).collect()) == brute_kept(rows)
+
+
 def test_odd_rows(odd, docs):
-    assert likeness.deduplicate(docs([])).count() == 0
-    assert likeness.deduplicate(docs([(5, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "x")])).count() == 2
-    assert likeness.deduplicate(odd).count() == 4 and likeness.deduplicate(odd).columns == odd.columns
+    assert likeness.near_copies_removed(docs([])).count() == 0
+    assert likeness.near_copies_removed(docs([(5, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "x")])).count() == 2
+    assert likeness.near_copies_removed(docs([(1, "a b c d e f"), (1, "x y z w v u"), (2, "x y z w v u")])).count() == 2
+    assert likeness.near_copies_removed(odd).count() == 4 and likeness.near_copies_removed(odd).columns == odd.columns

@@ -96,6 +96,54 @@ def test_mail_and_secrets(docs):
     assert n == [1, 1, 0, 0]
 
 
+def test_cards_and_ibans_among_other_groups(docs):
+    card = "4111 1111 1111 1111"
+    texts, n = replaced(docs, card, f"{card} 12/25", f"{card} 123", f"7 {card}", f"{card} 4242 4242 4242 4242 99", "4111111111111111123", "1234 5678 9012 3456 7890 1234 5678")
+    new = texts[0]
+    assert texts[1:4] == [f"{new} 12/25", f"{new} 123", f"7 {new}"]
+    assert texts[4].startswith(new) and texts[4].endswith(" 99") and luhn(texts[4][20:39].replace(" ", "")) and "4242 4242" not in texts[4]
+    assert texts[5:] == ["4111111111111111123", "1234 5678 9012 3456 7890 1234 5678"] and n == [1] * 5 + [0, 0]
+    iban = "AT61 1904 3002 3457 3201"
+    texts, n = replaced(docs, iban, f"{iban} SENT", f"{iban} INTERNATIONALIZATION", f"{iban} DE89 3704 0044 0532 0130 00", iban.replace(" ", "") + "X")
+    assert texts[1:3] == [f"{texts[0]} SENT", f"{texts[0]} INTERNATIONALIZATION"] and texts[0] != iban
+    assert texts[3].startswith(f"{texts[0]} DE") and "3704 0044" not in texts[3] and n == [1, 1, 1, 2, 0]
+
+
+def test_long_runs_of_numbers(docs):
+    run = " ".join(str(k % 90 + 10) for k in range(5000))
+    (a, b, c), n = replaced(docs, run, "1" * 50_000, f"{run} 4111 1111 1111 1111")
+    assert a == run and b == "1" * 50_000 and c.startswith(run) and n == [0, 0, 1]
+
+
+def test_dates_with_names_in_four_languages(docs):
+    texts, n = replaced(docs, "29 February 1984", "29. Februar 1984", "29 février 1984", "29 de febrero de 1984", "Feb 29, 1984", "1984-2-29", "31 June 2001")
+    day, year = re.match(r"(\d+) ", texts[0])[1], texts[0][-4:]
+    at = pii._NAMES.index(texts[0].split()[1])
+    assert texts[1] == f"{day}. {pii._NAMES[at + 24]} {year}" and texts[2] == f"{day} {pii._NAMES[at + 36]} {year}"
+    assert texts[3] == f"{day} de {pii._NAMES[at + 48]} de {year}" and texts[4] == f"{pii._NAMES[at + 12]} {day}, {year}"
+    assert texts[5] == f"{year}-{at + 1}-{day}" and texts[6] == "31 June 2001" and n == [1] * 6 + [0]
+
+
+def test_mail_after_punctuation_and_long_secrets(docs):
+    texts, n = replaced(docs, "-jane@x.com", "_bob@y.org", 'key = "' + "ab12" * 40 + '"')
+    assert texts[0] != "-jane@x.com" and texts[1] != "_bob@y.org" and "ab12ab12" not in texts[2] and n == [1, 1, 1]
+
+
+def test_the_key_is_the_session_s(spark):
+    made = pii.key_of(spark)
+    assert made == pii.key_of(spark) and len(made) == 64
+    spark.conf.set(pii.KEY_SETTING, "own")
+    assert pii.key_of(spark) == "own"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_columns_with_the_operator_s_names_stay(spark):
+    names = ["_found", "_New", "__found", "gaps"]
+    rows = spark.createDataFrame([("1.2.3.4", *names)], ", ".join(f"{c} string" for c in ["text", *names]))
+    (row,) = pii.pseudonymized(rows, KEY).collect()
+    assert list(row)[1:5] == names and row.n_pseudonyms == 1
+
+
 def test_permutation_has_no_collisions(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert rows.select(pii.permuted(F.col("v"), KEY, "t").alias("p")).distinct().count() == 1000
@@ -104,9 +152,9 @@ def test_permutation_has_no_collisions(spark):
 
 
 def test_odd_rows(odd, docs):
-    rows = pii.pseudonymized(odd).select("doc_id", "text", "n_pseudonyms", "found").collect()
+    rows = pii.pseudonymized(odd, KEY).select("doc_id", "text", "n_pseudonyms", "found").collect()
     assert len(rows) == 6 and all(r.n_pseudonyms == 0 and r.found == "clash" for r in rows)
-    assert pii.pseudonymized(docs([])).count() == 0
+    assert pii.pseudonymized(docs([]), KEY).count() == 0
 
 
 @pytest.mark.parametrize("text", ["4111111111111111 4111111111111111", "1.2.3.4\n1.2.3.4"])

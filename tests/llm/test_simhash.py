@@ -44,6 +44,7 @@ def test_odd_rows(spark, odd, docs):
     assert {r.component_id for r in rows if r.doc_id in (1, 2)} == {1}
     assert simhash.classes(docs([])).count() == 0
     assert simhash.deduplicate(docs([(5, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "x")])).count() == 2
+    assert simhash.deduplicate(docs([(1, "a b c d e f"), (1, "x y z w v u")])).count() == 2
     assert simhash.deduplicate(odd).count() == 4 and simhash.deduplicate(odd).columns == odd.columns
 
 
@@ -58,6 +59,30 @@ def test_tries_find_all_links():
     assert roots == want
 
 
+def test_tries_of_many_groups():
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 64, 300, dtype=np.uint64)
+    groups = rng.integers(0, 9, 300)
+    tries = simhash.Tries(values, groups)
+    tries.join(1)
+    for g in range(9):
+        own = np.flatnonzero(tries.groups == g)
+        label = {k: tries.root(k) for k in own.tolist()}
+        near = lambda a, b: int(tries.values[a] ^ tries.values[b]).bit_count() <= 1
+        assert all(label[a] == label[b] for a in label for b in label if near(a, b))
+        assert all(tries.groups[r] == g for r in label.values())
+
+
+def test_lots_end_between_keys(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 40).tolist()
+    values = {v ^ (1 << int(b)) for v in base for b in rng.choice(62, 4)} | set(base)
+    want = brute_components(sorted((v, v) for v in values))
+    monkeypatch.setattr(simhash, "LOT_ROWS", 7)
+    found = {r.node: r.component for r in simhash.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
+    assert [found.get(v, v) for v in sorted(values)] == want
+
+
 def test_chunks_of_large_keys(spark, monkeypatch):
     rng = np.random.default_rng(2)
     center = int(rng.integers(0, 1 << 62))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.storage import removed, shared_folder, table, written
 
-__all__ = ["batches_of", "fold", "lots", "removed", "shared_folder", "table", "text_or_empty", "written"]
+__all__ = ["batches_of", "fold", "fresh_names", "lots", "removed", "shared_folder", "table", "text_or_empty", "written"]
 
 #: Rows and characters that a task works on at once. (Spark bounds Arrow batches by rows and bytes.)
 LOT_ROWS, LOT_CHARS = 500, 16_000_000
@@ -29,6 +29,17 @@ def lots(frames: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.Da
             yield frame.iloc[first:]
 
 
+def fresh_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name one that no column of df has, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own = f"_{own}"
+        out[name] = own
+    return out
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -6,62 +6,69 @@ that occurs within k edits (a tenth of its length) shares at least m + 1 - q - k
 the document, all on diagonals at most k apart. So shared q-grams are counted in bands of 2 (k + 1)
 diagonals that overlap by half; bands that reach the bound are kept and verified by an alignment that
 stays within the band. Up to SKIPPED of a segment's most frequent q-grams are left out and its bound is
-lowered by as many, which loses nothing.
+lowered by as many, which loses nothing. A passage of SEGMENT + STRIDE - 1 characters of an item always
+holds a whole segment.
+
+Items with fewer than SHORT folded characters are looked for as whole words without any edit: such an
+item is one q-gram of its own length.
 
 The index goes to the tasks with their code. It holds at most SLICE_CHARS of the benchmark; a larger one
-is searched in slices, each over all documents.
+is searched in slices, one after the other, each over all documents, whose matches so far are written to
+the shared folder in between. So the driver and each task hold one slice at a time.
 
-Defined cases: null texts are empty; items with fewer than MIN_CHARS folded characters are never found;
-items with a null id count as id -1; documents without a match have an empty list; repeated rows are
-searched each; an empty benchmark finds nothing; empty documents give no rows; other columns stay.
+Defined cases: null texts are empty; items without a letter or digit are never found; items with a null id
+count as id -1; documents without a match have an empty list; repeated rows are searched each; an empty
+benchmark finds nothing; empty documents give no rows; other columns stay, a column named leaks is replaced.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import table
+from twinweave.llm.common import fresh_names, removed, table, written
 
 Q = 8
-SEGMENT, STRIDE = 64, 32
+SEGMENT, STRIDE = 64, 8
 EDITS = 0.1
-MIN_CHARS = 24
+SHORT = 24
 SKIPPED = 4
-#: Folded characters of benchmark in one index, which takes some 40 bytes for each.
-SLICE_CHARS = 2_000_000
+#: Folded characters of benchmark in one index, which takes some 150 bytes for each.
+SLICE_CHARS = 500_000
 #: Characters of documents searched at once.
 LOT_CHARS = 1_000_000
 
-_GAP = chr(0x10FFFF) * 16
+#: Stands between texts that are searched together, as a letter that no text has.
+_NONE = chr(0x10FFFF)
+_GAP = _NONE * 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SPAN = "item_id long, start long, end long, edits int"
 
 
 @cache
 def _folding() -> np.ndarray:
-    """For each code point of the basic plane its folded one, a space for what is no letter or digit."""
-    out = np.full(1 << 16, 32, dtype=np.uint32)
-    for point in range(1 << 16):
+    """For each code point its folded one, a space for what is no letter or digit."""
+    out = np.full(0x110000, 32, dtype=np.uint32)
+    for point in range(len(out)):
         char = chr(point)
         if char.isalnum():
             low = char.lower()
             out[point] = ord(low) if len(low) == 1 else point
+    out[ord(_NONE)] = ord(_NONE)
     return out
 
 
 def folded(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points, and where in the text each was."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    low = _folding()[np.minimum(points, 0xFFFF)]
-    low = np.where(points > 0xFFFF, points, low)
+    low = _folding()[points]
     kept = low != 32
     kept[1:] |= low[:-1] != 32
     at = np.flatnonzero(kept)
@@ -73,8 +80,16 @@ def trimmed(text: str) -> np.ndarray:
     return codes[: len(codes) - 1] if len(codes) and codes[-1] == 32 else codes
 
 
+def runs_of(codes: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n code points."""
+    out = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        out = out * _BASE + codes[k : k + len(out)] + np.uint64(1)
+    return out
+
+
 def grams(codes: np.ndarray) -> np.ndarray:
-    """A number for each run of Q code points."""
+    """A number for each run of Q code points, as runs_of gives it."""
     runs, power, length = codes + np.uint64(1), _BASE, 1
     while length < Q:
         runs = runs[:-length] * power + runs[length:]
@@ -88,10 +103,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items: list[int] = []
+        self.short: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         codes: list[np.ndarray] = []
         for item_id, text in items:
-            whole = trimmed(text)
-            if len(whole) < MIN_CHARS:
+            whole = trimmed(text.replace(_NONE, " "))
+            if len(whole) < SHORT:
+                if len(whole):
+                    self.short.setdefault(len(whole), []).append((int(runs_of(whole, len(whole))[0]), item_id, whole))
                 continue
             last = max(0, len(whole) - SEGMENT)
             for start in sorted({*range(0, last, STRIDE), last}):
@@ -183,6 +201,19 @@ class Index:
                 end[ending] = start[ending] + row + lane + 1
         return best, end
 
+    def _words(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, first, end, 0) of the short items that stand in the codes as whole words."""
+        out = []
+        edge = np.r_[True, (codes == 32) | (codes == ord(_NONE)), True]
+        for n, items in self.short.items():
+            values = runs_of(codes, n)
+            wanted = np.array([x[0] for x in items], dtype=np.uint64)
+            at = np.flatnonzero(np.isin(values, wanted))
+            for k in at.tolist():
+                if edge[k] and edge[k + n + 1]:
+                    out += [(item, k, k + n, 0) for _, item, whole in items if np.array_equal(codes[k : k + n], whole)]
+        return out
+
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Of each text (item, start, end, edits): where in the text segments of the item occur, joined if they touch."""
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
@@ -197,24 +228,24 @@ class Index:
         return out
 
     def _search(self, texts: list[str], lot: list[int], out: list[list[tuple[int, int, int, int]]]) -> None:
-        joined = _GAP.join(texts[k] for k in lot)
+        joined = _GAP.join(texts[k].replace(_NONE, " ") for k in lot)
         codes, origin = folded(joined)
+        found = self._words(codes)
         segment, diagonal = self.regions(codes)
-        if not len(segment):
-            return
-        edits, end = (np.concatenate(x) for x in zip(*(
-            self.aligned(codes, segment[k : k + 2000], diagonal[k : k + 2000]) for k in range(0, len(segment), 2000)
-        ), strict=True))
-        good = edits <= self.edits[segment]
+        for k in range(0, len(segment), 2000):
+            own = segment[k : k + 2000]
+            edits, end = self.aligned(codes, own, diagonal[k : k + 2000])
+            good = edits <= self.edits[own]
+            for s, stop, wrong in zip(own[good].tolist(), end[good].tolist(), edits[good].tolist(), strict=True):
+                found.append((self.items[s], max(0, stop - int(self.lengths[s])), stop, wrong))
         begins = np.cumsum([0] + [len(texts[k]) + len(_GAP) for k in lot])
         spans: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for s, stop, wrong in zip(segment[good].tolist(), end[good].tolist(), edits[good].tolist(), strict=True):
+        for item, first, stop, wrong in found:
             last = min(max(stop, 1), len(origin)) - 1
-            first = max(0, stop - int(self.lengths[s]))
             a, b = int(origin[first]), int(origin[last]) + 1
             doc = int(np.searchsorted(begins, b - 1, side="right")) - 1
             base, size = int(begins[doc]), len(texts[lot[doc]])
-            spans[doc, self.items[s]].append((max(0, a - base), min(size, b - base), wrong))
+            spans[doc, item].append((max(0, a - base), min(size, b - base), wrong))
         for (doc, item), found in sorted(spans.items()):
             merged: list[tuple[int, int, int]] = []
             for a, b, wrong in sorted(found):
@@ -239,23 +270,35 @@ def indexes(benchmark: DataFrame) -> Iterator[Index]:
 
 def searched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of docs and leaks, a list of (item_id, start, end, edits) in code points of the text."""
+    found, before = docs.withColumn("leaks", F.array().cast(f"array<struct<{_LEAK}>>")), None
+    for k, index in enumerate(indexes(benchmark)):
+        if k:  # a further slice: what the ones before found is written
+            now = written(found, "leaks")
+            if before is not None:
+                removed(before)
+            found = before = now
+        found = found.withColumn("leaks", F.concat("leaks", _leaks(index)(F.coalesce("text", F.lit("")))))
+    return found
+
+
+_LEAK = SPAN.replace(" ", ":").replace(",:", ",")
 
-    def column(index: Index) -> F.Column:
-        @F.pandas_udf(f"array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>")
-        def leaks(texts: pd.Series) -> pd.Series:
-            names = [x.split()[0] for x in SPAN.split(", ")]
-            found = index.search(texts.tolist())
-            return pd.Series([[dict(zip(names, x, strict=True)) for x in own] for own in found])
 
-        return leaks(F.coalesce("text", F.lit("")))
+def _leaks(index: Index) -> Callable[[Column], Column]:
+    @F.pandas_udf(f"array<struct<{_LEAK}>>")
+    def leaks(texts: pd.Series) -> pd.Series:
+        names = [x.split()[0] for x in SPAN.split(", ")]
+        found = index.search(texts.tolist())
+        return pd.Series([[dict(zip(names, x, strict=True)) for x in own] for own in found])
 
-    return docs.withColumn("leaks", F.flatten(F.array(*[column(x) for x in indexes(benchmark)])))
+    return leaks
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark passage, with their own columns."""
-    found = searched(docs.withColumn("_own", F.struct(*docs.columns)).select("_own", "text"), benchmark)
-    return found.filter(F.size("leaks") == 0).select("_own.*")
+    own = fresh_names(docs, "own")["own"]
+    found = searched(docs.select(F.struct(*docs.columns).alias(own), "text"), benchmark)
+    return found.filter(F.size("leaks") == 0).select(f"{own}.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

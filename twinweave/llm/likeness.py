@@ -1,6 +1,10 @@
-"""Near copies by exact Jaccard likeness of their word shingles.
+"""Exact check and completion of SimHash links, by the Jaccard likeness of word shingles.
 
-Texts are linked if their sets of WIDTH-word shingles have a Jaccard likeness of at least LEAST (4/5); the
+A fingerprint of 64 bits tells copies with few edits from other texts, but texts that share 4/5 of their
+shingles may differ in more bits than any budget that prunes. So for near copies the links that the tries
+found are checked by the whole sets, and what isn't linked yet is completed here.
+
+Texts are linked if their sets of WIDTH-word shingles have a Jaccard likeness of at least 4/5; the
 components of the links are the classes. No pair is missed: sets of sizes m and n that are so alike share at
 least 4 (m + n) / 9 shingles, so under any fixed order of all shingles both have their first common one among
 the first n - ceil(4 n / 5) + 1 of their own. Those are the keys of an equality join; sizes and places bound
@@ -19,12 +23,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import lots, written
-from twinweave.llm.simhash import SEED, components, shingles
+from twinweave.llm.common import lots, removed, written
+from twinweave.llm.simhash import components, deduplicate, hashes_of, node_of, shingles
 
 WIDTH = 5
 #: The share of texts whose shingles are counted, one in so many.
@@ -39,8 +42,7 @@ PARITIES = 8
 
 def shingle_set(text: str) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(x, SEED) for x in shingles(text, WIDTH)], dtype=np.uint64))
+    return np.unique(hashes_of(shingles(text, WIDTH)))
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -61,7 +63,7 @@ def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray]], pd.Data
             nodes, sets = [], []
             for text in frame.text:
                 found = shingle_set(text)
-                node = _node(found)
+                node = node_of(found)
                 if node not in seen:
                     seen.add(node)
                     nodes.append(node)
@@ -72,22 +74,6 @@ def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray]], pd.Data
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
 
-def _node(found: np.ndarray) -> int:
-    digest = xxhash.xxh64_intdigest(found.tobytes(), SEED)
-    return digest - (1 << 64) if digest >> 63 else digest
-
-
-def _members(docs: DataFrame) -> DataFrame:
-    """(doc_id, node)"""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in lots(frames):
-            yield pd.DataFrame({"doc_id": frame.doc_id, "node": [_node(shingle_set(x)) for x in frame.text]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, node long")
-
-
 def _hot(docs: DataFrame) -> np.ndarray:
     """Of the shingles that a sample of the texts shares the most frequent ones, at most HOT."""
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
@@ -140,8 +126,10 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(ends, "node", "left_semi").select(F.col("doc_id").alias("_id"))
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+    ids = nodes.join(ends, "node", "left_semi").select("first.*")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    texts = own.join(ids, ["doc_id", "text_hash"], "left_semi")
     few = written(_read(texts, make, "node long, odd array<long>, hashes array<long>").dropDuplicates(["node"]), "ends")
     of = lambda side, c: few.select(F.col("node").alias(side), F.col(c).alias(f"{side}_{c}"))
     apart = F.lit(0)
@@ -153,51 +141,48 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.filter(_alike(common, F.col("m"), F.col("n"))).select("a", "b")
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of nodes that are alike. nodes: (node, doc_id), each once.
+def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of nodes that are alike.
 
+    nodes: (node, n, first), first being one of its documents (doc_id, text_hash). found: pairs that may be alike.
     Pairs of nodes already in one component needn't be looked at. While many pairs are left, one node of each
     key is compared with the key's others, which joins large classes by as many pairs as they have members.
     """
+    sizes = nodes.select("node", "n")
+    a, b = (sizes.select(F.col("node").alias(x), F.col("n").alias(y)) for x, y in (("a", "m"), ("b", "n")))
+    edges = written(_counted(docs, nodes, found.join(a, "a").join(b, "b").select("a", "b", "m", "n")), "links")
     own = Window.partitionBy("key")
     keys = _keys(docs, _hot(docs)).withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own))
     met = written(keys.filter("low < high").drop("low", "high").dropDuplicates(["key", "node"]), "met")
-    placed, edges, rounds, linked = met.withColumn("comp", F.col("node")), None, 0, -1
+
+    def labelled() -> DataFrame:
+        """The rows of the keys whose nodes aren't all in one component, with their component."""
+        label = components(edges).withColumnRenamed("component", "comp")
+        rows = met.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("key")
+        return written(rows.join(several, "key", "left_semi"), "placed")
+
+    placed, rounds, linked = labelled(), 0, -1
     while True:
         parts = placed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("k"))
-        sizes = parts.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("comps"))
+        sizes = parts.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
         state = sizes.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("rest")).first()
         if (state.rest or 0) <= MANY * (state.rows or 0) or linked == 0:
             break
         hub = F.min_by(F.struct("node", "n", "place", "comp"), F.xxhash64("node", F.lit(rounds))).alias("hub")
         hubs = placed.groupBy("key").agg(hub).select("key", "hub.*")
         one = _side(hubs, "a", "key").join(_side(placed, "b", "key"), "key").filter("a_comp <> b_comp")
-        found = written(_counted(docs, nodes, _possible(one)), "links")
-        linked, rounds = found.count(), rounds + 1
-        edges = found if edges is None else edges.unionByName(found)
-        label = components(edges).withColumnRenamed("component", "comp")
-        placed = met.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        # keys whose nodes are all in one component are done
-        several = placed.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("key")
-        placed = written(placed.join(several, "key", "left_semi"), "placed")
-    if edges is None:
-        left = _side(placed, "a", "key").join(_side(placed, "b", "key"), "key").filter("a_node < b_node")
-        return _counted(docs, nodes, _possible(left))
+        more = written(_counted(docs, nodes, _possible(one)), "links")
+        linked, rounds = more.count(), rounds + 1
+        edges, last = edges.unionByName(more), placed
+        placed = labelled()
+        removed(last)
     comps = placed.select("key", "comp").distinct()
     twos = comps.withColumnRenamed("comp", "a_comp").join(comps.withColumnRenamed("comp", "b_comp"), "key").filter("a_comp < b_comp")
     left = twos.join(_side(placed, "a", "key"), ["key", "a_comp"]).join(_side(placed, "b", "key"), ["key", "b_comp"])
     return edges.unionByName(_counted(docs, nodes, _possible(left)))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """Of each class only the document with the smallest doc_id (of its repeated rows one); all columns stay.
-
-    Documents without a doc_id can't be named as anyone's copy; all of them stay.
-    """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    nodes = written(_members(named).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    found = components(links(named, nodes))
-    labelled = nodes.select("node", "doc_id").join(found, "node", "left")
-    kept = labelled.groupBy(F.coalesce("component", "node")).agg(F.min("doc_id").alias("_kept")).select("_kept")
-    only = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return only.unionByName(docs.filter(F.col("doc_id").isNull()))
+def near_copies_removed(docs: DataFrame) -> DataFrame:
+    """SimHash near-dedup with exact links: one document of each class of near copies, as simhash.deduplicate says."""
+    return deduplicate(docs, WIDTH, links)

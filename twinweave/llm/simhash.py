@@ -7,7 +7,8 @@ The join: 64 bits are cut into BLOCKS blocks. Two fingerprints within a budget o
 blocks, so they agree in at least two of five; each pair of blocks is a key, and all that can be linked
 meets under some key. Under a key the fingerprints form a binary trie (their sorted order); pairs of
 nodes are traversed together from the root, differing bits add up, and a pair is dropped once they exceed
-the budget. Only a spanning forest of the links found under a key leaves the task, never all pairs.
+the budget. A task traverses the tries of many keys at once. Only a spanning forest of the links found
+under a key leaves it, never all pairs.
 
 Exact copies are one node from the start. Keys with more than CHUNK fingerprints are dealt as pairs of
 chunks to several tasks, so that no task holds a large group. Components are found by rounds of joins,
@@ -15,12 +16,13 @@ each written to the shared folder.
 
 Defined cases: a null text is like an empty one (fingerprint zero, linked like any other); rows whose
 doc_id is null get no component id of their own (the smallest id of their class, null if it has none);
-repeated rows stay; an empty table gives no rows; further columns are ignored.
+repeated rows stay (deduplicate keeps one of rows that repeat an id and its text, and rows that share an
+id but no class are documents of their own); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import lots, removed, table, written
+from twinweave.llm.common import fresh_names, lots, removed, table, written
 
 BUDGET = 3
 WIDTH = 3
@@ -38,6 +40,8 @@ SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints under one key that one task joins.
 CHUNK = 20_000
+#: Rows of one task of the join, and those whose tries are traversed at once.
+TASK_ROWS, LOT_ROWS = 150_000, 50_000
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -48,12 +52,19 @@ def shingles(text: str, width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
-    parts = shingles(text, width)
-    if not parts:
-        return 0
+def hashes_of(parts: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(x, SEED) for x in parts], dtype="<u8")
+    return np.array([digest(x, SEED) for x in parts], dtype="<u8")
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """A signed number for a sorted set of hashes."""
+    digest = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+    return digest - (1 << 64) if digest >> 63 else digest
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have, repeats included."""
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -61,6 +72,10 @@ def fingerprint(text: str, width: int = WIDTH) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    return fingerprint_of(hashes_of(shingles(text, width)))
+
+
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed number."""
 
@@ -78,10 +93,14 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 
 
 class Tries:
-    """Sorted fingerprints: a node is a run of them that share their upper bits."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = np.unique(values)
+    """Sorted fingerprints, a trie for each group of them: a node is a run of a group that shares its upper bits."""
+
+    def __init__(self, values: np.ndarray, groups: np.ndarray | None = None):
+        groups = np.zeros(len(values), dtype=np.int64) if groups is None else groups
+        order = np.lexsort((values, groups))
+        values, groups = values[order], groups[order]
+        first = np.r_[True, (values[1:] != values[:-1]) | (groups[1:] != groups[:-1])] if len(values) else np.array([], bool)
+        self.values, self.groups = values[first], groups[first]
         self.parent = list(range(len(self.values)))
 
     def root(self, k: int) -> int:
@@ -96,11 +115,13 @@ class Tries:
                 self.parent[max(x, y)] = min(x, y)
 
     def join(self, budget: int, size: int = 1 << 16) -> None:
-        """Links all values within the budget; keeps no more node pairs at once than a depth-first stack of blocks."""
-        n = len(self.values)
-        if n < 2:
+        """Links all values of a group within the budget; keeps no more node pairs at once than a depth-first stack of blocks."""
+        if not len(self.values):
             return
-        stack = [(0, np.array([[0, n, 0, n]]))]
+        begin = np.flatnonzero(np.r_[True, self.groups[1:] != self.groups[:-1]])
+        end = np.r_[begin[1:], len(self.values)]
+        several = end - begin > 1
+        stack = [(0, np.column_stack((begin, end, begin, end))[several])]
         while stack:
             depth, pairs = stack.pop()
             if len(pairs) > size:
@@ -130,19 +151,44 @@ class Tries:
     def _split(self, first: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
         """Where in each node the values with the next bit set begin."""
         bit = np.uint64(1) << np.uint64(63 - depth)
-        bound = (self.values[first] >> np.uint64(63 - depth) | np.uint64(1)) << np.uint64(63 - depth)
-        at = np.searchsorted(self.values, bound)
-        return np.where(self.values[first] & bit, first, np.minimum(at, end))
-
-
-def _forest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links under a key: (fp, the smallest of its tree)."""
-    tries = Tries(frame.fp.to_numpy(np.int64).view(np.uint64))
-    tries.join(BUDGET)
-    roots = np.array([tries.root(k) for k in range(len(tries.values))], dtype=np.int64)
-    moved = np.flatnonzero(roots != np.arange(len(roots)))
-    signed = tries.values.view(np.int64)
-    return pd.DataFrame({"a": signed[moved], "b": signed[roots[moved]]})
+        low, high = first.copy(), end.copy()
+        while (open_ := low < high).any():
+            middle = (low + high) // 2
+            is_set = (self.values[np.minimum(middle, len(self.values) - 1)] & bit) != 0
+            high = np.where(open_ & is_set, middle, high)
+            low = np.where(open_ & ~is_set, middle + 1, low)
+        return low
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """(value, the smallest one of its tree) of all that have links, but for the smallest ones."""
+        roots = np.array([self.root(k) for k in range(len(self.values))], dtype=np.int64)
+        moved = np.flatnonzero(roots != np.arange(len(roots)))
+        return self.values[moved], self.values[roots[moved]]
+
+
+def _join_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of the fingerprints under each key; the rows of a key follow each other."""
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        begins = (frame[["key", "c1", "c2"]] != frame[["key", "c1", "c2"]].shift()).any(axis=1)
+        tries = Tries(frame.fp.to_numpy(np.int64).view(np.uint64), begins.cumsum().to_numpy())
+        tries.join(BUDGET)
+        a, b = tries.forest()
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).drop_duplicates()
+
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) < LOT_ROWS:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        # the last key may go on
+        last = rows[["key", "c1", "c2"]].iloc[-1]
+        own = (rows[["key", "c1", "c2"]] == last).all(axis=1)
+        yield joined(rows[~own])
+        held = [rows[own]]
+    if held:
+        yield joined(pd.concat(held, ignore_index=True))
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -171,7 +217,9 @@ def links(nodes: DataFrame) -> DataFrame:
     paired = placed.select("fp", "key", "chunk", other.alias("other")).select(
         "fp", "key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2")
     )
-    return paired.groupBy("key", "c1", "c2").applyInPandas(_forest, "a long, b long")
+    keys = ["key", "c1", "c2"]
+    tasks = max(1, -(-nodes.count() * len(list(combinations(BLOCKS, 2))) // TASK_ROWS))
+    return paired.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(_join_keys, "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -190,7 +238,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        last, now = now, written(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        removed(last)
         # a digest of the edges that no order changes
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
@@ -213,14 +262,45 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text_hash, node, n, fp): node stands for the set of a text's shingles, n is the set's size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in lots(frames):
+            found = [hashes_of(shingles(x, width)) for x in frame.text]
+            sets, bits = [np.unique(x) for x in found], np.array([fingerprint_of(x) for x in found], dtype=np.uint64)
+            yield pd.DataFrame({
+                "doc_id": frame.doc_id, "text_hash": frame.text_hash, "node": [node_of(x) for x in sets],
+                "n": [len(x) for x in sets], "fp": bits.view(np.int64),
+            })
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, node long, n int, fp long")
+
+
+def deduplicate(docs: DataFrame, width: int = WIDTH, refine: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Of each class only the document with the smallest doc_id (of its repeated rows one); all columns stay.
 
-    Documents without a doc_id can't be named as anyone's copy; all of them stay.
+    refine(docs, nodes, links) may check the links (pairs of nodes) and add further ones. Documents without a
+    doc_id can't be named as anyone's copy; all of them stay.
     """
     named = docs.filter(F.col("doc_id").isNotNull())
-    kept = classes(named, width).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    only = named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    nodes = written(described(named, width).groupBy("node").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    found = links(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"node_{x}")) for x in "ab")
+    near = found.join(a, "a").join(b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    equal = nodes.join(least, "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    edges = near.unionByName(equal)
+    label = components(refine(named, nodes, edges) if refine else edges).withColumnRenamed("component", "class")
+    joined = nodes.join(label, "node", "left").groupBy(F.coalesce("class", "node")).agg(F.min("first").alias("kept"))
+    names = fresh_names(docs, "id", "text_hash")
+    kept = joined.select(F.col("kept.doc_id").alias(names["id"]), F.col("kept.text_hash").alias(names["text_hash"]))
+    rows = named.withColumn(f"{names['text_hash']}_", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = (F.col("doc_id") == F.col(names["id"])) & (F.col(f"{names['text_hash']}_") == F.col(names["text_hash"]))
+    only = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", f"{names['text_hash']}_"]).select(*docs.columns)
     return only.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
