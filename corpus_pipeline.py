@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences: the stages, each over all that the one before it kept.
 
 Every stage returns the columns of documents (the last one its pieces), whatever further columns the
-table has; a null text passes each stage as an empty one. An empty table passes all stages.
+table has; a null text passes each stage as an empty one. An empty table passes all stages. Rows that
+repeat an id and its text are copies of each other, of which one stays; rows that share an id but are no
+near copies both stay, as do rows without an id. Ties go to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, likeness 0.8 and more) the document with the smallest doc_id stays."""
-    return likeness.deduplicate(docs.select(*COLUMNS))
+    """Of each group of near copies the document with the smallest doc_id stays: SimHash links, checked and
+    completed by the likeness of 5-word shingles (0.8 and more)."""
+    return likeness.near_copies_removed(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers and dates become pseudonyms; n_chars follows the text."""
-    replaced = pii.pseudonymized(docs.select(*COLUMNS))
+    replaced = pii.pseudonymized(docs.select(*COLUMNS), pii.key_of(spark))
     length = F.when(F.col("n_pseudonyms") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return replaced.withColumn("n_chars", length).select(*COLUMNS)
 
