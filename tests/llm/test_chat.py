@@ -24,9 +24,10 @@ def test_escaping_is_reversible_and_leaves_no_control_string(text):
 def test_examples_hold_all_turns_and_mask_each_reply_once(turns):
     made = list(chat.examples(turns))
     assert list(chat.read_turns(made[-1][1])) == turns
-    replies = [chat.unescape(text[start : start + n]) for _, text, start, n in made if n or True]
-    assert "".join(replies) == "".join(t for r, t in turns if r == "assistant")
-    assert sum(r == "assistant" for r, _ in turns) == sum(k <= len(turns) and turns[k - 1][0] == "assistant" for k, *_ in made)
+    replies = [chat.unescape(text[start : start + n]) for k, text, start, n in made if turns[k - 1][0] == "assistant"]
+    assert replies == [t for r, t in turns if r == "assistant"]
+    assert all(n == 0 for k, _, _, n in made if turns[k - 1][0] != "assistant")
+    assert [k for k, *_ in made] == [k for k, (r, _) in enumerate(turns, 1) if r == "assistant" or k == len(turns)]
 
 
 def test_digests(spark):

@@ -1,3 +1,7 @@
+import html
+import re
+import time
+
 import pytest
 
 from twinweave.llm import html_text as H
@@ -37,6 +41,52 @@ def test_lists_and_tables_keep_their_items():
     assert H.main_text(page).split("\n")[1:] == ["one", "two", "a", "b"]
 
 
+def test_nothing_of_the_article_is_dropped_by_a_likely_name():
+    parts = [
+        "<div class='entry-header'><h1>Headline of it</h1></div>", "<p class='ad-hoc'>Ad hoc text.</p>", "<p class='text-alert'>Alert text.</p>",
+        "<div class='social-history'>History text.</div>", "<p class='share'>Share text.</p>",
+        "<ul><li><a href='1'>one</a></li><li><a href='2'>two</a></li><li><a href='3'>three</a></li></ul>", "<div>ten chars.</div>",
+    ]
+    texts = ["Headline of it", "Ad hoc text.", "Alert text.", "History text.", "Share text.", "one", "two", "three", "ten chars."]
+    assert H.main_text(f"<body>{NOISE}<article>{parts[0]}{BODY}{''.join(parts[1:])}</article></body>").split("\n") == [texts[0], *WANT.split("\n"), *texts[1:]]
+    page = f"<body>{NOISE}<div class='page'>{parts[0]}<div class='entry-content'>{BODY}</div>{parts[6]}</div><div class='site-footer'>foot</div></body>"
+    assert H.main_text(page) == f"{texts[0]}\n{WANT}\n{texts[8]}"
+
+
+@pytest.mark.parametrize("name", ["ad", "ads-box", "sponsored-links", "share-buttons", "post-comments", "related-posts", "site-header", "cookie-notice", "newsletterSignup", "main-nav", "sidebar"])
+def test_names_of_other_parts(name):
+    page = f"<body><div class='{name}'>Some words, that are no article, but many, many.</div><article>{BODY}<div id='{name}'>Some words, that are no article.</div></article></body>"
+    assert H.main_text(page) == WANT
+
+
+def test_time_grows_with_the_page_only():
+    def took(make):
+        began = time.perf_counter()
+        H.main_text(make)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "<div>word " * n, lambda n: "<ul><li>a" * n, lambda n: "<div>" * n + "</section>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<div class='ad'>" * n + "<main>x"):
+        small = min(took(make(1000)) for _ in range(3))
+        assert took(make(8000)) < 8 * 4 * small + 0.2
+
+
+def plain_article(page):
+    """The article of a page as the table's pages have it: an advert, then one article element."""
+    own = page[page.index("<article>") + 9 : page.index("</article>")]
+    own = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", own)
+    marked = re.sub(r"(?i)</?(?:p|h[1-6]|ul|ol|li|div|table|tr|td|th|blockquote|pre|section)\b[^>]*>", "\0", re.sub(r"(?i)<br\b[^>]*>", " ", own))
+    blocks = (" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in marked.split("\0"))
+    return "\n".join(x for x in blocks if x)
+
+
+def test_texts_of_the_table_s_pages(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    known = [p.html for p in pages if p.html and p.html.count("<article>") == 1 and "</article>" in p.html]
+    assert len(known) > len(pages) // 2
+    for page in known:
+        assert H.main_text(page) == plain_article(page)
+
+
 def test_query(spark, sf):
     rows = H.query(spark, sf).collect()
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from twinweave.llm import sharding
@@ -36,6 +37,41 @@ def test_hot_group_is_cut_and_others_stay_together(spark, docs):
     assert sum(shard[k] != shard[k + 1] for k in range(900, 2700, 2)) == 0
 
 
+def brute_tree(points, shards):
+    """The k-d tree in plain Python: points are (bytes, tie, values); the leaf's first shard for each."""
+    whole = [max(p[2][d] for p in points) - min(p[2][d] for p in points) or 1.0 for d in range(3)]
+
+    def split(own, n, first):
+        if n == 1 or not own:
+            return dict.fromkeys((p[1] for p in own), first)
+        low, high = ([f(p[2][d] for p in own) for d in range(3)] for f in (min, max))
+        d = max(range(3), key=lambda k: (high[k] - low[k]) / whole[k])
+        scale = (1 << sharding.VALUE_BITS) - 1
+
+        def key(p):
+            place = int((p[2][d] - low[d]) / (high[d] - low[d]) * scale) if high[d] > low[d] else 0
+            return place << sharding.TIE_BITS | (p[1] % (1 << 64)) >> (64 - sharding.TIE_BITS)
+
+        order, asked, upto, cut = sorted(own, key=key), max(1, sum(p[0] for p in own) * (n // 2) // n), 0, None
+        for k, p in enumerate(order):
+            before, upto = upto, upto + p[0]
+            if upto >= asked:
+                cut = k if asked - before < upto - asked else k + 1
+                break
+        return split(order[:cut], n // 2, first) | split(order[cut:], n - n // 2, first + n // 2)
+
+    return split(points, shards, 0)
+
+
+def test_tree_equals_the_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOLERANCE", 0.0)
+    rng = random.Random(2)
+    points = [(rng.randrange(1, 900), rng.getrandbits(64) - (1 << 63), [rng.random() * 9, float(rng.randrange(5)), float(rng.randrange(3))]) for _ in range(400)]
+    frame = spark.createDataFrame(points, "bytes long, tie long, values array<double>")
+    got = {r.tie: r.node for r in sharding.tree_shards(frame, 7).collect()}
+    assert got == brute_tree(points, 7)
+
+
 def test_odd_rows(spark, odd, docs):
     rows = sharding.partition(odd, 3).collect()
     check(rows, odd.collect(), 3)

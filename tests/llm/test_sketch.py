@@ -46,6 +46,14 @@ def test_containment_of_unequal_texts():
     assert set(sketch.merge(a, b).tolist()) >= set(b.tolist())
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abcd", max_size=60), st.text(alphabet="abcd", max_size=60))
+def test_sketch_of_a_union_is_the_merged_sketch(a, b):
+    hashes = brute_hashes(a) | brute_hashes(b)
+    want = sorted(h >> 24 for h in {h for h in hashes if h < (1 << 64) // 16} or {min(hashes)})
+    assert sketch.merge(sketch.sketch(a), sketch.sketch(b)).tolist() == want
+
+
 def brute(rows):
     """rows: (doc_id, text) with distinct ids."""
     order = sorted(rows, reverse=True)

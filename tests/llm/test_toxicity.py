@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
 
+import numpy as np
+
 from twinweave.llm import toxicity as T
 
 
@@ -33,6 +36,37 @@ def test_labels_of_held_out_rows_change_nothing(spark, docs):
     assert one == two
 
 
+def test_learning_equals_the_plain_recurrence():
+    """FTRL-proximal coordinate by coordinate, in plain Python."""
+    rng = random.Random(1)
+    rows = [(np.array(sorted(rng.sample(range(12), 4))), int(rng.random() < 0.4)) for _ in range(200)]
+    z, n = np.zeros(T._SIZE + 1), np.zeros(T._SIZE + 1)
+    T.learn(iter(rows), z, n)
+    pz, pn = {}, {}
+
+    def weight(k):
+        own = pz.get(k, 0.0)
+        bound = 0.0 if k == T._SIZE else T.L1
+        if abs(own) <= bound:
+            return 0.0
+        return (math.copysign(bound, own) - own) / ((T.BETA + math.sqrt(pn.get(k, 0.0))) / T.ALPHA + T.L2)
+
+    for at, label in rows:
+        keys = [*at.tolist(), T._SIZE]
+        w = {k: weight(k) for k in keys}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for k in keys:
+            before = pn.get(k, 0.0)
+            pz[k] = pz.get(k, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / T.ALPHA * w[k]
+            pn[k] = before + g * g
+    assert all(math.isclose(z[k], pz.get(k, 0.0), abs_tol=1e-9) and math.isclose(n[k], pn.get(k, 0.0), abs_tol=1e-9) for k in [*range(12), T._SIZE])
+
+
+def test_features_are_words_pairs_and_skips():
+    one, two = T.Features()("a b c"), T.Features()("A, b - c!")
+    assert one.tolist() == two.tolist() and len(one) == 3 + 2 + 1 and len(T.Features()("")) == 0
+
+
 def test_odd_rows(spark, odd, docs):
     labels = spark.createDataFrame([(3, None), (4, 1), (None, 1)], "doc_id long, toxic int")
     rows = T.scored(odd, labels).collect()

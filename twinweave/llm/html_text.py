@@ -4,7 +4,10 @@ Parts that can't be the article (menus, headers, footers, asides, adverts, notic
 comments, scripts, styles) go first. Then every paragraph passes points for its length and its commas to
 the elements around it, less with each level; an element's points are discounted by the share of its text
 that lies in links. The best element, widened to the article or main element around it if there is one,
-or else joined by those of its siblings that score well too, gives the text.
+or else joined by its siblings that aren't mostly links, gives the text.
+
+All steps take time in proportion to the page: lengths of texts and links are summed up once, from the
+leaves to the root.
 
 Defined cases: a null or empty page gives an empty text; broken or cut markup is read as browsers do for
 unclosed paragraphs, items and cells, and a reference that is cut stays as it is; a page without any
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,13 +62,24 @@ _ROLES = set(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar "
     "tablist status".split()
 )
-_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored promo "
-    "promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar "
-    "comment comments disqus respond reply replies cookie cookies consent notice gdpr newsletter subscribe "
-    "subscription signup login popup overlay modal share sharing social related recommended widget pagination "
-    "pager skip alert".split()
+#: Words of class names and ids. A name drops its element if all of its words are of these lists, one of them
+#: of the first three; a paragraph, heading or cell is dropped by the first list only.
+_STRONG = set("ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored cookie cookies "
+              "consent gdpr comment comments disqus reply replies respond".split())
+_WEAK = set(
+    "promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar newsletter subscribe "
+    "subscription signup login popup overlay modal share sharing social related recommended widget widgets pagination "
+    "pager skip".split()
+)
+_OUTER = set("header footer masthead banner notice alert".split())
+#: Words that say where or how, and words for the article itself, whose own header and footer stay.
+_NEUTRAL = set(
+    "area bar block box bottom button buttons col column container content form global google icon icons inner item items "
+    "left link links list main media message page panel posts primary right row secondary section site slot thread top "
+    "unit wrap wrapper".split()
 )
+_OWN = {"article", "entry", "post", "story"}
+_TEXTS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption span a em strong b i".split())
 _COMMENT = {"comment", "comments", "reply", "replies"}
 _KEPT = {"html", "body", "main", "article"}
 _TAG_POINTS = {"article": 10.0, "main": 8.0, "section": 5.0, "div": 5.0, "td": 3.0, "blockquote": 3.0,
@@ -73,12 +88,20 @@ _PARAGRAPHS = {"p", "pre", "td", "blockquote", "dd", "li"}
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "points", "tag")
+    """An element; after measured() with the sizes of its whole text: characters, those in links, commas."""
+
+    __slots__ = ("article", "attrs", "chars", "children", "commas", "linked", "parent", "points", "tag")
 
     def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.points = 0.0
+        self.chars = self.linked = self.commas = 0
+        self.article = False
+
+    @property
+    def link_density(self) -> float:
+        return self.linked / self.chars if self.chars else 0.0
 
     def attributes(self) -> dict[str, str]:
         if not self.attrs.strip():
@@ -93,9 +116,26 @@ class Node:
             todo += [x for x in reversed(node.children) if isinstance(x, Node)]
 
 
+def measured(root: Node) -> None:
+    """Sums up the sizes, from the leaves to the root."""
+    for node in reversed(list(root.nodes())):
+        node.chars = node.linked = node.commas = 0
+        node.article = node.tag in ("article", "main")
+        for x in node.children:
+            if isinstance(x, str):
+                node.chars += sum(map(len, x.split()))
+                node.commas += x.count(",")
+            else:
+                node.chars, node.commas, node.linked = node.chars + x.chars, node.commas + x.commas, node.linked + x.linked
+                node.article |= x.article
+        if node.tag == "a":
+            node.linked = node.chars
+
+
 def parse(page: str) -> Node:
     root = Node("root")
     now, at = root, 0
+    open_: Counter[str] = Counter()
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
@@ -108,9 +148,9 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            now = _close(now, tag)
+            now = _close(now, tag, open_)
             continue
-        now = _open_place(now, tag)
+        now = _left(now, _open_place(now, tag, open_), open_)
         node = Node(tag, m[3] or m[6] or "", now)
         now.children.append(node)
         if tag in _RAW:
@@ -118,30 +158,41 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else len(page)
         elif tag not in _VOID and not (m[3] or m[6] or "").endswith("/"):
             now = node
+            open_[tag] += 1
     return root
 
 
-def _close(now: Node, tag: str) -> Node:
+def _left(now: Node, place: Node, open_: Counter[str]) -> Node:
+    """Goes up to the place; what lies below it is no longer open."""
+    while now is not place:
+        open_[now.tag] -= 1
+        now = now.parent
+    return place
+
+
+def _close(now: Node, tag: str, open_: Counter[str]) -> Node:
     """The place after an end tag; one that closes nothing changes nothing."""
+    if not open_[tag]:
+        return now
     node: Node | None = now
     while node and node.tag != tag:
         if tag not in _BLOCK and node.tag in _BLOCK:
             return now
         node = node.parent
-    return node.parent if node and node.parent else now
+    return _left(now, node.parent, open_) if node and node.parent else now
 
 
-def _open_place(now: Node, tag: str) -> Node:
+def _open_place(now: Node, tag: str, open_: Counter[str]) -> Node:
     """Where a new element goes, after what it closes."""
     closed, bound = _CLOSES.get(tag, (set(), set()))
     if tag in _BLOCK:
         closed, bound = closed | {"p"}, bound | {"td", "th", "button", "table"}
-    node: Node | None = now if closed else None
+    node: Node | None = now if any(open_[x] for x in closed) else None
     place = now
     while node and node.parent:
         if node.tag in closed:
             place = node.parent
-            if node.tag != "p":
+            if node.tag != "p" or tag not in _CLOSES:
                 break
         elif node.tag in bound or tag not in _CLOSES and node.tag in _BLOCK:
             break
@@ -149,12 +200,16 @@ def _open_place(now: Node, tag: str) -> Node:
     return place
 
 
-def _names(attrs: dict[str, str]) -> Iterator[tuple[str, str]]:
-    """First and last part of each class name and of the id."""
+def _kinds(attrs: dict[str, str]) -> Iterator[str]:
+    """What the element's class names and id say it is: strong, weak, outer, or comment for strong ones that are one."""
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
-        parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)
-        if parts and parts[0].lower() not in ("with", "has", "no", "without"):
-            yield parts[0].lower(), parts[-1].lower()
+        parts = {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name)}
+        if parts & _STRONG and parts <= _STRONG | _WEAK | _OUTER | _NEUTRAL | _OWN:
+            yield "comment" if parts & _COMMENT else "strong"
+        elif parts & _WEAK and parts <= _WEAK | _OUTER | _NEUTRAL | _OWN:
+            yield "weak"
+        elif parts & _OUTER and parts <= _OUTER | _NEUTRAL:
+            yield "outer"
 
 
 def _is_dropped(node: Node, in_article: bool) -> bool:
@@ -165,16 +220,16 @@ def _is_dropped(node: Node, in_article: bool) -> bool:
     attrs = node.attributes()
     if not attrs:
         return False
-    names = set(_names(attrs))
+    kinds = set(_kinds(attrs))
     if node.tag in _KEPT:
-        return any(x & _COMMENT for x in map(set, names)) and node.tag == "article"
+        return node.tag == "article" and "comment" in kinds
     style = attrs.get("style", "").replace(" ", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style:
         return True
-    found = attrs.get("role", "").lower() in _ROLES or any(x & _NAMES for x in map(set, names))
-    if not found or any(x & _COMMENT for x in map(set, names)):
-        return found
-    return not any(x.tag in ("article", "main") for x in node.nodes() if x is not node)
+    if "comment" in kinds:
+        return True
+    named = kinds if node.tag not in _TEXTS else kinds & {"strong"}
+    return (bool(named) or attrs.get("role", "").lower() in _ROLES) and not node.article
 
 
 def prune(node: Node) -> None:
@@ -187,24 +242,6 @@ def prune(node: Node) -> None:
         todo += [(x, inside) for x in now.children if isinstance(x, Node)]
 
 
-def text_of(node: Node) -> str:
-    out: list[str] = []
-    todo: list[Node | str] = [node]
-    while todo:
-        now = todo.pop()
-        if isinstance(now, str):
-            out.append(now)
-        else:
-            todo += reversed(now.children)
-    return "".join(out)
-
-
-def link_density(node: Node) -> float:
-    whole = len(text_of(node).split())
-    linked = sum(len(text_of(x).split()) for x in node.nodes() if x.tag == "a")
-    return min(1.0, linked / whole) if whole else 0.0
-
-
 def blocks(node: Node) -> Iterator[str]:
     """The text of each block in page order, white space as one space, empty ones left out."""
     run: list[str] = []
@@ -240,11 +277,14 @@ def best_nodes(root: Node) -> list[Node]:
     for node in root.nodes():
         if not _is_paragraph(node):
             continue
-        own = text_of(node) if node.tag in _PARAGRAPHS else "".join(x for x in node.children if isinstance(x, str))
-        size = len(own.strip())
+        if node.tag in _PARAGRAPHS:
+            size, commas = node.chars, node.commas
+        else:
+            own = [x for x in node.children if isinstance(x, str)]
+            size, commas = sum(len(x.strip()) for x in own), sum(x.count(",") for x in own)
         if size < 2:
             continue
-        points = 1.0 + own.count(",") + min(size / 100.0, 3.0)
+        points = 1.0 + commas + min(size / 100.0, 3.0)
         above, level = (node.parent if node.tag in _PARAGRAPHS else node), 1
         while above and above.tag not in ("root", "html") and level <= 4:
             if id(above) not in scored:
@@ -252,7 +292,7 @@ def best_nodes(root: Node) -> list[Node]:
                 above.points = _TAG_POINTS.get(above.tag, 0.0)
             above.points += points / level
             above, level = above.parent, level + 1
-    final = {k: x.points * (1.0 - link_density(x)) for k, x in scored.items()}
+    final = {k: x.points * (1.0 - x.link_density) for k, x in scored.items()}
     if not final:
         return [next((x for t in ("article", "main", "body") for x in root.nodes() if x.tag == t), root)]
     best = scored[max(final, key=lambda k: final[k])]
@@ -266,35 +306,27 @@ def best_nodes(root: Node) -> list[Node]:
     inside = [x for t in ("article", "main") for x in best.nodes() if x.tag == t]
     if len(inside) == 1:
         return inside
-    least, out = max(10.0, 0.2 * final[id(best)]), []
-    for x in best.parent.children if best.parent else [best]:
-        if x is best:
-            out.append(x)
-        elif isinstance(x, Node) and (
-            final.get(id(x), 0.0) >= least
-            or x.tag == "p" and link_density(x) < 0.25 and len(text_of(x).strip()) >= 20
-        ):
-            out.append(x)
-    return out
+    _without_menus(best)
+    siblings = [x for x in best.parent.children if isinstance(x, Node)] if best.parent else [best]
+    return [x for x in siblings if x is best or x.link_density < 0.5]
 
 
 def _without_menus(node: Node) -> None:
-    """Lists within the article that consist of links."""
+    """Lists that consist of links, where no article or main element says what is the text."""
     for x in list(node.nodes()):
-        if x.tag in ("ul", "ol") and x.parent and x is not node:
-            links = sum(y.tag == "a" for y in x.nodes())
-            if links >= 3 and link_density(x) >= 0.9:
-                x.parent.children = [y for y in x.parent.children if y is not x]
+        if x.tag in ("ul", "ol") and x.parent and x is not node and x.link_density >= 0.9:
+            x.parent.children = [y for y in x.parent.children if y is not x]
 
 
 def main_text(page: str) -> str:
     if not page:
         return ""
     root = parse(page)
+    measured(root)
     prune(root)
+    measured(root)
     out: list[str] = []
     for node in best_nodes(root):
-        _without_menus(node)
         out += blocks(node)
     return "\n".join(out)
 

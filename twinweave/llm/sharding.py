@@ -150,7 +150,7 @@ def partition(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 def numbered(rows: DataFrame, shards: int, count: int) -> DataFrame:
     """Adds slot: gapless within each shard."""
     buckets = max(1, math.ceil(count / (shards * SLOT_ROWS)))
-    held = written(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")), "placed")
+    held = written(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)).cast("int")), "placed")
     counts = held.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

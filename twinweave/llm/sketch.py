@@ -3,7 +3,8 @@
 A text's shingles are runs of WIDTH code points (a shorter text is one shingle). Of their 64-bit hashes
 the sketch keeps all below a fixed FRACTION of the range, so the sketch of a union is the union of the
 sketches, and the share of A's hashes found in B estimates how much of A is contained in B, however
-unequal the two are. The smallest hash is always kept, so that no text has an empty sketch.
+unequal the two are. If none is below, the smallest hash is kept, so that no text has an empty sketch;
+in a union it gives way to any hash that is below, or else to a smaller one (merge).
 
 Defined cases: a null text is empty, an empty text's sketch holds the hash of the empty shingle; equal
 texts have equal sketches; rows go by descending doc_id, nulls last, equal ids by their text's hash;
@@ -77,8 +78,11 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.array([int(fingerprint[k : k + DIGITS], 16) for k in range(0, len(fingerprint), DIGITS)], dtype=np.uint64)
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.union1d(a, b)
+def merge(a: np.ndarray, b: np.ndarray, fraction: int = FRACTION) -> np.ndarray:
+    """The sketch of the union of both texts' shingles."""
+    both = np.union1d(a, b)
+    kept = both[both < np.uint64((1 << 4 * DIGITS) // fraction)]
+    return kept if len(kept) else both[:1]
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:

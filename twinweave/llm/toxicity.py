@@ -4,9 +4,10 @@ Features are hashed words, pairs of neighbouring words and pairs with one word b
 each present or not. Every coordinate has its own rate, and the L1 term sets rare or uninformative ones to
 zero, so what is left is a small sparse vector that goes to the tasks with their code.
 
-Learning is bounded: of all labelled rows of the learning folds about TRAINING_ROWS, by a hash of the id.
-Many tasks compute their features; one task, which thus gets some hundred MB at most, goes over them in
-ROUNDS passes, in an order that the ids' hashes give. Rows with the same text count each.
+Learning is bounded: of all labelled rows of the learning folds the share, by a hash of id and text, that
+holds about TRAINING_ROWS rows and TRAINING_BYTES of text, whichever is less. Many tasks compute their
+features; one task, which thus gets about twice TRAINING_BYTES, goes over them in ROUNDS passes, in an
+order that the hashes give. Rows with the same text count each.
 
 Defined cases: a null text is empty and gets the score of the bias alone, as has any text without known
 words; rows with a null label aren't learned from; without any labelled row all scores are 0.5; a null
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from twinweave.llm.common import fold, lots, table
 
-TRAINING_ROWS = 12_000
+TRAINING_ROWS, TRAINING_BYTES = 12_000, 64_000_000
 ROUNDS = 10
 #: Coordinates: 2 ** BITS, the last one the bias.
 BITS = 20
@@ -102,9 +103,9 @@ def _learn_all(frame: pd.DataFrame) -> pd.DataFrame:
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """From (doc_id, text, toxic): the coordinates that aren't zero, their weights, and the bias."""
-    count = labelled.count()
-    share = min(1.0, TRAINING_ROWS / max(1, count))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    whole = labelled.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(1.0, TRAINING_ROWS / max(1, whole.rows), TRAINING_BYTES / max(1, whole.bytes or 0))
+    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def featured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
@@ -117,7 +118,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"),
         "text",
         F.col("toxic").cast("int").alias("toxic"),
-        F.xxhash64("doc_id", F.lit(1)).alias("place"),
+        F.xxhash64("doc_id", "text", F.lit(1)).alias("place"),
     )
     rows = dealt.mapInPandas(featured, "doc_id long, features binary, toxic int, place long")
     got = rows.withColumn("one", F.lit(True)).groupBy("one").applyInPandas(_learn_all, "at binary, w binary, bias double").collect()
@@ -149,7 +150,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All columns of docs and toxicity_score."""
+    """All columns of docs and toxicity_score, which replaces a column of that name."""
     return docs.withColumn("toxicity_score", score(docs, train(labelled_rows(docs, labels))))
 
 
