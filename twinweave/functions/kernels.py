@@ -71,6 +71,40 @@ def long_position(value: Column) -> Column:
     return v.bitwiseXOR(F.shiftrightunsigned(v, 32)).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
+def double_bits(value: Column) -> Column:
+    """The 64 bits of a double as a signed number, by arithmetic: sign, exponent, mantissa."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+    guess = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    exponent = F.greatest(guess, F.lit(-1022))
+    scaled = size / F.pow(F.lit(2.0), exponent)
+    mantissa = (F.when(guess < -1022, scaled).otherwise(scaled - 1) * float(1 << 52)).cast("long")
+    high = F.when(guess < -1022, 0).otherwise(exponent + 1023).cast("long")
+    normal = F.shiftleft(high, 52).bitwiseOR(mantissa)
+    bits = F.when(F.isnan(value), 0x7FF << 52 | 1 << 51).when(size == float("inf"), 0x7FF << 52).when(size == 0, 0).otherwise(normal)
+    negative = (value < 0) & ~F.isnan(value)
+    return F.when(negative, bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits).cast("long")
+
+
+def _folded32(bits: Column) -> Column:
+    """A 64-bit number folded to 32 bits, as a signed number."""
+    low = bits.bitwiseXOR(F.shiftrightunsigned(bits, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(low >= 1 << 31, low - (1 << 32)).otherwise(low)
+
+
+def number_hash(value: Column, double: bool = False) -> Column:
+    """A number's 32-bit hash as a signed 64-bit number: folded, of a double its bits; null stays null."""
+    return _folded32(double_bits(value.cast("double")) if double else value.cast("long"))
+
+
+def boolean_hash(value: Column) -> Column:
+    return F.when(value.isNull(), 0).when(value, 1231).otherwise(1237).cast("long")
+
+
+def number_position(value: Column, double: bool = False) -> Column:
+    return long_position(double_bits(value.cast("double")) if double else value)
+
+
 def boolean_position(value: Column) -> Column:
     return F.when(value, 1231 % 64).otherwise(1237 % 64)
 
@@ -191,14 +225,37 @@ def pyramid(code: Column, depth: int) -> Column:
     return F.concat(*[pattern(code, d) for d in range(depth, -1, -1)])
 
 
+def _halved(first: Column, end: Column, depth: int) -> list[tuple[Column, Column]]:
+    """The 2 ** depth parts of a range that is cut in halves again and again, the lower half rounded down."""
+    if depth == 0:
+        return [(first, end)]
+    middle = F.floor((first + end) / 2).cast("int")
+    return _halved(first, middle, depth - 1) + _halved(middle, end, depth - 1)
+
+
 def array_pattern(values: Column, depth: int) -> Column:
-    """Sums of the 2 ** depth runs of equal length of an array of numbers; what is left over goes to the last one."""
-    parts = 1 << depth
-    step = F.floor(F.size(values) / parts).cast("int")
+    """Sums of the 2 ** depth parts of an array of numbers."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    runs = [F.slice(values, step * k + 1, step) for k in range(parts - 1)]
-    last = F.slice(values, step * (parts - 1) + 1, F.greatest(F.size(values) - step * (parts - 1), F.lit(0)))
-    return F.array(*[total(r) for r in (*runs, last)])
+    return F.array(*[total(F.slice(values, a + 1, b - a)) for a, b in _halved(F.lit(0), F.size(values), depth)])
+
+
+def set_pattern(values: Column, depth: int, world: int) -> Column:
+    """How many numbers of a set (from 0 to world) lie in each of 2 ** depth parts; an upper bound belongs to its part."""
+    parts = _halved(F.lit(0), F.lit(world), depth)
+    within = lambda a, b, k: F.size(F.filter(values, lambda x: (x <= b) & ((x > a) if k else F.lit(True))))
+    return F.array(*[within(a, b, k) for k, (a, b) in enumerate(parts)])
+
+
+def pattern_abstract(pattern_: Column) -> Column:
+    """The pattern of half the depth's parts: pairwise sums."""
+    halves = F.sequence(F.lit(0), (F.size(pattern_) / 2 - 1).cast("int"))
+    return F.transform(halves, lambda k: F.get(pattern_, k * 2) + F.get(pattern_, k * 2 + 1))
+
+
+def pattern_matches(a: Column, b: Column, low: int, high: int) -> Column:
+    """Whether the distance of two patterns lies within the bounds."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
+    return apart.between(low, high)
 
 
 def tree_radius(bits: Column, least: Column, most: int = 13) -> Column:

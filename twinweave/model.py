@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinweave.functions import kernels as K
+from twinweave.storage import table, written
+
 #: Keys of one bucket when places within a parent are counted.
 BUCKET = 65_536
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ordinals(rows: DataFrame, parent: str, key: str) -> DataFrame:
     """Adds ord, the place of a row among those of its parent by a whole-number key, from 0.
 
@@ -45,22 +44,69 @@ CONTAINMENT = (
 )
 
 
-def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(type, key, location) of all objects with a key of their own: fragments from the object up to its root."""
-    root = F.array(F.lit("0"))
+#: Of each type its table, its key, and its parent's key.
+TYPES = {
+    "region": ("region", "r_regionkey", None),
+    "nation": ("nation", "n_nationkey", "n_regionkey"),
+    "customer": ("customer", "c_custkey", "c_nationkey"),
+    "supplier": ("supplier", "s_suppkey", "s_nationkey"),
+    "part": ("part", "p_partkey", None),
+    "orders": ("orders", "o_orderkey", "o_custkey"),
+    "lineitem": ("lineitem", "l_orderkey", "l_orderkey"),
+}
+#: The columns of references across the tree.
+REFERENCES = {("lineitem", "part"): "l_partkey", ("lineitem", "supplier"): "l_suppkey"}
+
+
+def levels(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """For each type with a key of its own (key, fragment, location, code, fragment_code, above_code), level by level.
+
+    location holds the fragments from the object up to its root, code the bits of all of them: each fragment
+    is hashed once, and a level adds its own bit to the code above. Levels whose objects contain others are
+    written, so that nothing is computed again for what they contain.
+    """
+    root, bit = F.array(F.lit("0")), K.onehot(F.lit(K.name_position("0")))
+    top = [F.lit("0").alias("fragment"), root.alias("location"), bit.alias("code"), bit.alias("fragment_code"), F.lit(None).cast("long").alias("above_code")]
     found = {
-        "region": table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("key"), root.alias("location"))
+        "region": table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("key"), *top),
+        "part": table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), *top),
     }
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), root.alias("location"))
     for child, key, up, parent, feature in CONTAINMENT:
         rows = table(spark, sf_dir, child).select(F.col(key).cast("long").alias("key"), F.col(up).cast("long").alias("up"))
-        above = found[parent].select(F.col("key").alias("up"), F.col("location").alias("above"))
-        joined = ordinals(rows, "up", "key").join(above, "up")
-        own = F.concat(F.array(fragment(feature, F.col("ord"))), F.col("above"))
-        found[child] = joined.select("key", own.alias("location"))
-    out = parts.select(F.lit("part").alias("type"), "key", "location")
-    for name, rows in found.items():
-        out = out.unionByName(rows.select(F.lit(name).alias("type"), "key", "location"))
+        above = found[parent].select(F.col("key").alias("up"), F.col("location").alias("above"), F.col("code").alias("above_code"))
+        own = ordinals(rows, "up", "key").withColumn("fragment", fragment(feature, F.col("ord")))
+        own = own.withColumn("fragment_code", K.onehot(K.string_position(F.col("fragment"))))
+        placed = own.join(above, "up").select(
+            "key", "fragment", F.concat(F.array("fragment"), "above").alias("location"),
+            F.col("above_code").bitwiseOR(F.col("fragment_code")).alias("code"), "fragment_code", "above_code", "up",
+        )
+        found[child] = written(placed, child) if child in ("nation", "customer") else placed
+    return found
+
+
+def places_below(spark: SparkSession, sf_dir: str, found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """For each containing feature (up, code): the bits of all contained objects' locations."""
+    out = {}
+    for child, _, _, parent, feature in CONTAINMENT:
+        inside = found[child].groupBy("up").agg(F.bit_or("fragment_code").alias("inside"))
+        above = found[parent].select(F.col("key").alias("up"), F.col("code").alias("above"))
+        out[feature] = inside.join(above, "up").select("up", F.col("inside").bitwiseOR(F.col("above")).alias("code"))
+    # line items differ in no location but their place, so an order's code needs only how many there are
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("up")).agg(F.count("*").alias("n"))
+    bits = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: K.onehot(K.string_position(fragment("lineitems", k))))
+    sizes = counts.select("n").distinct().select("n", K.or_of(bits).alias("inside"))
+    above = found["orders"].select(F.col("key").alias("up"), F.col("code").alias("above"))
+    codes = counts.join(sizes, "n").join(above, "up")
+    out["lineitems"] = codes.select("up", F.col("inside").bitwiseOR(F.col("above")).alias("code"))
+    return out
+
+
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(type, key, location, code) of all objects with a key of their own."""
+    out = None
+    for name, rows in levels(spark, sf_dir).items():
+        own = rows.select(F.lit(name).alias("type"), "key", "location", "code")
+        out = own if out is None else out.unionByName(own)
     return out
 
 

@@ -3,13 +3,18 @@
 Objects with one code are one row until the very end: the distinct codes of both sides are joined, and
 the pairs of codes are expanded over their objects only where asked. Every join has an equality key, so no
 pair of unlike types, and none that can't reach the threshold, is formed.
+
+Codes within a Hamming distance meet under 16-bit blocks: of four blocks whose radii and one more each add
+up to more than the distance, one differs within its radius. A cosine bounds the distance of a code by its
+popcount; codes for which that bound is too wide for blocks meet under the popcounts that they can reach.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinweave.functions import similarity
@@ -34,40 +39,71 @@ def band(bits: Column, least: float) -> Column:
     return F.sequence(F.least(low, high), high)
 
 
-def similar_codes(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs of distinct codes of one type with cosine at least the threshold, joined on (type, popcount).
+#: The widest distance for which blocks are keys: beyond it a code would have thousands of them.
+WIDEST = 14
+BLOCK = 16
 
-    Left codes are sent to each popcount that the bound allows; code 0 meets only itself.
-    """
-    l = distinct_codes(left, "left").withColumn("right_bits", F.explode(band(F.col("left_bits"), least)))
-    pairs = l.join(distinct_codes(right, "right"), ["type", "right_bits"])
-    sim = similarity.cosine(F.col("left_code"), F.col("right_code"))
-    return pairs.withColumn("sim", sim).filter(F.col("sim") >= least)
 
+def radii(most: int) -> list[int]:
+    """For each of four blocks in how many bits it may differ; -1 for a block that needn't be looked at."""
+    return [(most + 1 + 3 - k) // 4 - 1 for k in range(4)]
 
-def chunks(code: Column) -> Column:
-    """(number, value) of the eight bytes of a code."""
-    byte = lambda k: F.shiftrightunsigned(code, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")
-    return F.array(*[F.struct(F.lit(k).alias("chunk"), byte(k).alias("value")) for k in range(8)])
 
+def _flips(spark: SparkSession, distances: list[int]) -> DataFrame:
+    """(reach, block, flip): what the blocks of a code are changed by to meet all codes within a reach."""
+    rows = [
+        (most, block, sum(1 << b for b in bits))
+        for most in distances
+        for block, radius in enumerate(radii(most))
+        for n in range(radius + 1)
+        for bits in combinations(range(BLOCK), n)
+    ]
+    return spark.createDataFrame(rows, "reach int, block int, flip long")
 
-def near_codes(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """Pairs of distinct codes of one type that differ in at most so many bits, found by their bytes.
 
-    Within 8 r + 7 bits at least one of the eight bytes differs in at most r; bytes within r of the left
-    one are the join keys.
+def blocks(code: Column) -> Column:
+    """(number, value) of the four 16-bit blocks of a code."""
+    value = lambda k: F.shiftrightunsigned(code, BLOCK * k).bitwiseAND(F.lit((1 << BLOCK) - 1).cast("long"))
+    return F.array(*[F.struct(F.lit(k).alias("block"), value(k).alias("value")) for k in range(4)])
+
+
+def _met(l: DataFrame, r: DataFrame, distances: list[int]) -> DataFrame:
+    """Pairs of the left codes, each with its reach, and the right ones that share a block within its radius; a pair may
+    come several times."""
+    l = l.select("*", F.explode(blocks(F.col("left_code"))).alias("c")).select("*", "c.block", "c.value").drop("c")
+    # at most some thousand rows for each distance
+    l = l.join(F.broadcast(_flips(l.sparkSession, distances)), ["reach", "block"])
+    l = l.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
+    r = r.select("*", F.explode(blocks(F.col("right_code"))).alias("c")).select("*", "c.block", "c.value").drop("c")
+    return l.join(r, ["type", "block", "value"]).drop("block", "value")
+
+
+def similar_codes(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs of distinct codes of one type with cosine at least the threshold; code 0 meets only itself.
+
+    A code with p bits differs from a similar one in at most p (1 - t^2) / t^2. Up to WIDEST that many are
+    found by blocks; other codes are sent to each popcount that the bound allows.
     """
-    radius = most // 8
-    near = [v for v in range(256) if v.bit_count() <= radius]
-    l = distinct_codes(left, "left").select("*", F.explode(chunks(F.col("left_code"))).alias("c"))
-    flips = F.transform(F.array(*map(F.lit, near)), lambda x: x.bitwiseXOR(F.col("c.value")))
-    l = l.select("*", F.col("c.chunk").alias("chunk"), F.explode(flips).alias("value"))
-    r = distinct_codes(right, "right").select("*", F.explode(chunks(F.col("right_code"))).alias("c"))
-    r = r.select("*", "c.chunk", "c.value")
+    l, r = distinct_codes(left, "left"), distinct_codes(right, "right")
+    reach = {p: cosine_to_hamming(p, least) for p in range(65)}
+    far = [p for p, most in reach.items() if most > WIDEST]
+    table_ = F.array(*[F.lit(reach[p]) for p in range(65)])
     keys = ["type", "left_code", "right_code"]
-    met = l.drop("c").join(r.drop("c"), ["type", "chunk", "value"]).drop("chunk", "value")
+    near = l.withColumn("reach", F.element_at(table_, F.col("left_bits") + 1)).filter(F.col("reach") <= WIDEST)
+    pairs = _met(near, r, sorted({most for most in reach.values() if most <= WIDEST})).drop("reach").dropDuplicates(keys)
+    if far:
+        wide = l.filter(F.col("left_bits") >= far[0]).withColumn("right_bits", F.explode(band(F.col("left_bits"), least)))
+        pairs = pairs.unionByName(wide.join(r, ["type", "right_bits"]))
+    sim = similarity.cosine(F.col("left_code"), F.col("right_code"))
+    return pairs.withColumn("sim", sim).filter(F.col("sim") >= least)
+
+
+def near_codes(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """Pairs of distinct codes of one type that differ in at most so many bits."""
+    l, r = distinct_codes(left, "left").withColumn("reach", F.lit(most)), distinct_codes(right, "right")
     distance = similarity.hamming(F.col("left_code"), F.col("right_code"))
-    return met.withColumn("distance", distance).filter(F.col("distance") <= most).dropDuplicates(keys)
+    met = _met(l, r, [most]).drop("reach").withColumn("distance", distance).filter(F.col("distance") <= most)
+    return met.dropDuplicates(["type", "left_code", "right_code"])
 
 
 def cosine_to_hamming(bits: int, least: float) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinweave import model
+from twinweave import features, model
 from twinweave.functions import kernels as K
 from twinweave.functions import similarity as S
 from twinweave.model import table
@@ -97,53 +97,13 @@ def rotate_strengthen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("p_name", K.rotated3(F.col("code")).alias("rotated"), K.strengthened(F.col("code")).alias("strengthened"))
 
 
-#: Features of a part: code in Spark, in SQL, weight for, weight against.
-def part_features() -> list[tuple[Column, str, int, int]]:
-    return [
-        (K.string_code(F.col("p_name")), sql.string_code("p_name"), 50, 10),
-        (K.string_code(F.col("p_brand")), sql.string_code("p_brand"), 10, 2),
-        (K.string_code(F.col("p_type")), sql.string_code("p_type"), 10, 2),
-        (K.salted("p_size", K.long_position(F.col("p_size"))), _SIZE_BIT, 10, 2),
-    ]
-
-
 def _sql_vote(names: list[str], weights: list[tuple[int, int]]) -> str:
+    """By the definition: bit by bit the weights for and against."""
     for_ = " + ".join(f"(CASE WHEN ({n} >> b::INT) & 1 = 1 THEN {p + q} ELSE 0 END)" for n, (p, q) in zip(names, weights, strict=True))
     against = " + ".join(f"(CASE WHEN {n} <> 0 THEN {q} ELSE 0 END)" for n, (_, q) in zip(names, weights, strict=True))
     return sql.kept_bits(f"({for_}) > ({against})")
 
 
-_F = [(s, p, q) for _, s, p, q in [(None, sql.string_code("p_name"), 50, 10), (None, sql.string_code("p_brand"), 10, 2),
-      (None, sql.string_code("p_type"), 10, 2), (None, _SIZE_BIT, 10, 2)]]
-_PART_CODES = "f AS (SELECT p_partkey, " + ", ".join(f"{s} AS f{k}" for k, (s, _, _) in enumerate(_F)) + " FROM part)"
-
-
-def part_codes(parts: DataFrame) -> DataFrame:
-    """Adds f0 to f3, the features' codes; texts are hashed once for each distinct combination."""
-    keys = ["p_name", "p_brand", "p_type", "p_size"]
-    codes = parts.select(*keys).distinct().select(*keys, *[c.alias(f"f{k}") for k, (c, _, _, _) in enumerate(part_features())])
-    return parts.join(codes, keys)
-
-
-@query(f"WITH {_PART_CODES} SELECT p_partkey, {_sql_vote([f'f{k}' for k in range(4)], [(p, q) for _, p, q in _F])} AS code FROM f")
-def object_hash_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = part_features()
-    votes = F.array(*[
-        F.struct(F.col(f"f{k}").alias("code"), F.lit(p).alias("pos"), F.lit(n).alias("neg")) for k, (_, _, p, n) in enumerate(features)
-    ])
-    distinct = part_codes(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
-    codes = [f"f{k}" for k in range(4)]
-    voted = distinct.select(*codes).distinct().select(*codes, K.weighted_vote(votes).alias("code"))
-    return distinct.join(voted, codes).select("p_partkey", "code")
-
-
-@query(f"WITH {_PART_CODES} SELECT p_partkey, f0 | {_sql_rotated3('f0')} | f1 | f2 | f3 AS code FROM f")
-def object_hash_weighted_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = part_codes(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
-    code = K.strengthened(F.col("f0")).bitwiseOR(F.col("f1")).bitwiseOR(F.col("f2")).bitwiseOR(F.col("f3"))
-    return codes.select("p_partkey", code.alias("code"))
-
-
 _TREE = """
 nat AS (SELECT n_nationkey, '@nations.' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) AS f FROM nation),
 cus AS (SELECT c_custkey, c_nationkey, '@customers.' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS f FROM customer),
@@ -170,8 +130,7 @@ _LOCATION_CODE = sql.or_positions(f"list_transform(location, lambda x: {sql.stri
 
 @query(f"WITH {_TREE} SELECT type, key, {_LOCATION_CODE} AS code FROM loc")
 def location_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = K.or_of(F.transform("location", lambda x: K.onehot(K.string_position(x))))
-    return model.locations(spark, sf_dir).select("type", "key", code.alias("code"))
+    return model.locations(spark, sf_dir).select("type", "key", "code")
 
 
 @query(f"WITH {_TREE} SELECT c_custkey, f AS fragment FROM cus")
@@ -180,17 +139,73 @@ def fragment_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.ordinals(rows, "c_nationkey", "c_custkey").select("c_custkey", model.fragment("customers", F.col("ord")).alias("fragment"))
 
 
-@query(f"""
-WITH {_TREE}, c AS (SELECT o_orderkey, {_LOCATION_CODE.replace("location", "l.location")} AS code FROM orders JOIN loc l ON l.type = 'customer' AND l.key = o_custkey)
-SELECT o_orderkey, {_sql_vote(["code"], [(5, 1)])} AS code FROM c
-""")
-def object_hash_structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of orders: only their place in the tree counts."""
-    places = model.locations(spark, sf_dir).filter("type = 'customer'")
-    code = K.or_of(F.transform("location", lambda x: K.onehot(K.string_position(x))))
-    vote = K.weighted_vote(F.array(F.struct(F.col("place").alias("code"), F.lit(5).alias("pos"), F.lit(1).alias("neg"))))
-    codes = places.select(F.col("key").alias("o_custkey"), code.alias("place")).withColumn("code", vote)
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(codes, "o_custkey").select("o_orderkey", "code")
+_PART_FEATURES = ("p_name", "p_brand", "p_type", "p_size")
+
+
+@query(f"""WITH f AS (SELECT p_partkey, {", ".join(f"{sql.string_code(x) if x != 'p_size' else _SIZE_BIT} AS f{k}" for k, x in enumerate(_PART_FEATURES))} FROM part)
+SELECT p_partkey, f0 | {_sql_rotated3('f0')} | f1 | f2 | f3 AS code FROM f""")
+def object_hash_weighted_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of parts, without weights against: the OR of the features' codes, the name's strengthened."""
+    values = {f.name: f for f in features.FEATURES if f.type == "part"}
+    parts = table(spark, sf_dir, "part").select("p_partkey", *_PART_FEATURES)
+    for name in _PART_FEATURES[:3]:
+        parts = with_code(parts, name).withColumnRenamed("code", f"_{name}")
+    code = K.strengthened(F.col("_p_name")).bitwiseOR(F.col("_p_brand")).bitwiseOR(F.col("_p_type")).bitwiseOR(features.hashed(values["p_size"]))
+    return parts.select("p_partkey", code.alias("code"))
+
+
+# ---- object hashes of all types, by the feature table
+
+
+def _sql_hashed(f: features.Feature, strengthen: bool) -> str:
+    if f.value == "string":
+        code = sql.string_code(f.name)
+        return _sql_rotated3(code) + f" | {code}" if strengthen else code
+    position = sql.long_position(f.name) if f.name == "p_size" else sql.double_position(f.name)
+    return sql.bit(f"({K.name_position(f.name) * 31} + {position}) % 64")
+
+
+def _sql_object_codes(kind: str) -> str:
+    """A part for each type: the codes of its features, then their vote."""
+    parts = []
+    for type_, (table_, key, up) in model.TYPES.items():
+        columns, votes, joins = [], [], []
+        for f, p, q in features.used(type_, kind):
+            name = f"f{len(votes)}"
+            if f.container:
+                columns.append(f"up.code AS {name}")
+                joins.append(f"LEFT JOIN lc up ON up.type = '{f.value}' AND up.key = {up}")
+            elif f.many:
+                columns.append(f"b_{f.name}.code AS {name}")
+                joins.append(f"LEFT JOIN below b_{f.name} ON b_{f.name}.feature = '{f.name}' AND b_{f.name}.up = {key}")
+            elif f.reference:
+                columns.append(f"r_{f.name}.code AS {name}")
+                joins.append(f"LEFT JOIN lc r_{f.name} ON r_{f.name}.type = '{f.value}' AND r_{f.name}.key = {model.REFERENCES[type_, f.name]}")
+            else:
+                columns.append(f"{_sql_hashed(f, p > 50)} AS {name}")
+            votes.append((p, q))
+        names = [f"coalesce(f{k}, 0)" for k in range(len(votes))]
+        code = _sql_vote(names, votes) if votes else "0::BIGINT"
+        own = f"SELECT {key}::BIGINT AS key{''.join(', ' + c for c in columns)} FROM {table_} {' '.join(joins)}"
+        parts.append(f"SELECT '{type_}' AS type, key, {code} AS code FROM ({own})")
+    return f"""WITH {_TREE}, lc AS (SELECT type, key, location, {_LOCATION_CODE} AS code FROM loc),
+below AS (
+  SELECT 'nations' AS feature, n_regionkey::BIGINT AS up, bit_or(code) AS code FROM lc JOIN nation ON type = 'nation' AND key = n_nationkey GROUP BY ALL
+  UNION ALL SELECT 'customers', c_nationkey, bit_or(code) FROM lc JOIN customer ON type = 'customer' AND key = c_custkey GROUP BY ALL
+  UNION ALL SELECT 'suppliers', s_nationkey, bit_or(code) FROM lc JOIN supplier ON type = 'supplier' AND key = s_suppkey GROUP BY ALL
+  UNION ALL SELECT 'orders', o_custkey, bit_or(code) FROM lc JOIN orders ON type = 'orders' AND key = o_orderkey GROUP BY ALL
+  UNION ALL SELECT 'lineitems', l_orderkey, bit_or(lc.code | {sql.bit(sql.string_position("f"))}) FROM (
+    SELECT l_orderkey, '@lineitems.' || (row_number() OVER (PARTITION BY l_orderkey) - 1) AS f FROM lineitem) JOIN lc ON type = 'orders' AND key = l_orderkey GROUP BY ALL
+) {" UNION ALL ".join(parts)}"""
+
+
+def _register_object_codes(kind: str) -> None:
+    QUERIES[f"object_hash_{kind}"] = lambda spark, sf_dir: features.object_codes(spark, sf_dir, kind)
+    ORACLES[f"object_hash_{kind}"] = _sql_object_codes(kind)
+
+
+for _kind in features.KINDS:
+    _register_object_codes(_kind)
 
 
 @query(f"""

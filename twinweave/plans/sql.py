@@ -31,6 +31,25 @@ def long_position(v: str) -> str:
     return f"(({v})::BIGINT & 63)"
 
 
+def double_bits(v: str) -> str:
+    """Of a double that is neither zero, infinite, no number nor below the normal ones; zero gives 0."""
+    size = f"abs({v}::DOUBLE)"
+    e = f"floor(log2({size}))"
+    e = f"(CASE WHEN pow(2::DOUBLE, {e}) > {size} THEN {e} - 1 WHEN pow(2::DOUBLE, {e} + 1) <= {size} THEN {e} + 1 ELSE {e} END)"
+    bits = f"((({e} + 1023)::BIGINT * 4503599627370496) + (({size} / pow(2::DOUBLE, {e}) - 1) * 4503599627370496::DOUBLE)::BIGINT)"
+    return f"(CASE WHEN {v} = 0 THEN 0::BIGINT WHEN {v} < 0 THEN {bits} - 9223372036854775807 - 1 ELSE {bits} END)"
+
+
+def double_hash(v: str) -> str:
+    """The 64 bits folded to 32, as an unsigned number."""
+    bits = double_bits(v)
+    return f"xor({bits} & 4294967295, ({bits} >> 32) & 4294967295)"
+
+
+def double_position(v: str) -> str:
+    return f"({double_hash(v)} & 63)"
+
+
 def cosine(a: str, b: str) -> str:
     below = f"(bit_count({a})::DOUBLE * bit_count({b})::DOUBLE)"
     return f"(CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN {below} = 0 THEN 0.0::DOUBLE ELSE bit_count({a} & {b})::DOUBLE / sqrt({below}) END)"
