@@ -60,6 +60,8 @@ FEATURES = (
     Feature("lineitem", "part", "part", reference=True),
     Feature("lineitem", "supplier", "supplier", reference=True),
 )
+#: Numbers that are whole; all others are doubles.
+WHOLE = {"p_size"}
 #: A feature by which objects of its type are told apart most of all.
 NAMES = {"r_name", "n_name", "c_name", "s_name", "p_name"}
 #: How much each feature says in the distance of two objects; names most.
@@ -142,7 +144,10 @@ def hashed(f: Feature) -> Column:
     value = F.col(f.name)
     if f.value == "string":
         return K.string_code(value)
-    position = K.boolean_position(value) if f.value == "boolean" else K.number_position(value, double=f.name not in ("p_size",))
+    if f.value == "boolean":
+        position = K.boolean_position(value)
+    else:  # doubles by their bits, which with_double_bits has added
+        position = K.long_position(value if f.name in WHOLE else F.col(f"_bits_{f.name}"))
     return F.when(value.isNotNull(), K.salted(f.name, position))
 
 
@@ -163,6 +168,7 @@ def object_codes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         columns = [f.name for f, _, _ in features if not f.reference]
         links = {f.value: model.REFERENCES[type_, f.name] for f, _, _ in features if f.reference and not (f.many or f.container)}
         rows = model.table(spark, sf_dir, name).select(F.col(key).cast("long").alias("key"), *columns, *links.values())
+        rows = K.with_double_bits(rows, [f.name for f, _, _ in features if f.value == "number" and f.name not in WHOLE])
         votes = []
         for f, p, q in features:
             code = f"_code_{f.name}"
@@ -181,8 +187,13 @@ def object_codes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
                     other = levels[f.value].select(F.col("key").alias(links[f.value]), F.col("code").alias(code))
                     rows = rows.join(other, links[f.value], "left")
             else:
-                own = hashed(f)
-                rows = rows.withColumn(code, K.strengthened(own) if p > 50 else own)
+                if f.value == "string":  # many objects share a value: it is hashed once
+                    codes = rows.select(f.name).distinct().withColumn(code, hashed(f))
+                    rows = rows.join(codes.withColumnRenamed(f.name, "_value"), F.col(f.name).eqNullSafe(F.col("_value"))).drop("_value")
+                else:
+                    rows = rows.withColumn(code, hashed(f))
+                if p > 50:
+                    rows = rows.withColumn(code, K.strengthened(F.col(code)))
             votes.append((code, p, q))
         coded = voted(rows, votes, "code") if votes else rows.withColumn("code", F.lit(0).cast("long"))
         own = coded.select(F.lit(type_).alias("type"), "key", "code")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -71,19 +71,38 @@ def long_position(value: Column) -> Column:
     return v.bitwiseXOR(F.shiftrightunsigned(v, 32)).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
+def _exponent(size: Column, guess: Column) -> Column:
+    """The logarithm's guess, put right where rounding took it past a power of two."""
+    up = F.pow(F.lit(2.0), guess)
+    return F.when(up > size, guess - 1).when(up * 2 <= size, guess + 1).otherwise(guess)
+
+
+def _bits(value: Column, exponent: Column) -> Column:
+    size, below = F.abs(value), exponent < -1022
+    scaled = size / F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-1022)))
+    mantissa = ((scaled - F.when(below, 0.0).otherwise(1.0)) * float(1 << 52)).cast("long")
+    normal = F.shiftleft(F.when(below, 0).otherwise(exponent + 1023).cast("long"), 52).bitwiseOR(mantissa)
+    sign = F.when(value < 0, F.lit(-(1 << 63))).otherwise(F.lit(0)).cast("long")
+    special = F.when(F.isnan(value), 0x7FF << 52 | 1 << 51).when(size == float("inf"), sign.bitwiseOR(F.lit(0x7FF << 52))).when(size == 0, 0)
+    return F.coalesce(special, sign.bitwiseOR(normal)).cast("long")
+
+
 def double_bits(value: Column) -> Column:
-    """The 64 bits of a double as a signed number, by arithmetic: sign, exponent, mantissa."""
-    size = F.abs(value)
-    guess = F.floor(F.log2(size)).cast("int")
-    guess = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
-    exponent = F.greatest(guess, F.lit(-1022))
-    scaled = size / F.pow(F.lit(2.0), exponent)
-    mantissa = (F.when(guess < -1022, scaled).otherwise(scaled - 1) * float(1 << 52)).cast("long")
-    high = F.when(guess < -1022, 0).otherwise(exponent + 1023).cast("long")
-    normal = F.shiftleft(high, 52).bitwiseOR(mantissa)
-    bits = F.when(F.isnan(value), 0x7FF << 52 | 1 << 51).when(size == float("inf"), 0x7FF << 52).when(size == 0, 0).otherwise(normal)
-    negative = (value < 0) & ~F.isnan(value)
-    return F.when(negative, bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits).cast("long")
+    """The 64 bits of a double as a signed number, by arithmetic: sign, exponent, mantissa. (-0.0 counts as 0.0.)"""
+    return let(
+        value.cast("double"),
+        lambda v: let(_exponent(F.abs(v), F.floor(F.log2(F.abs(v))).cast("int")), lambda e: _bits(v, e)),
+    )
+
+
+def with_double_bits(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Adds _bits_<name> for each double column: as double_bits, in projections that are generated code."""
+    if not names:
+        return rows
+    keep = rows.columns
+    first = rows.select(*keep, *[F.floor(F.log2(F.abs(n))).cast("int").alias(f"_guess_{n}") for n in names])
+    second = first.select(*keep, *[_exponent(F.abs(n), F.col(f"_guess_{n}")).alias(f"_exponent_{n}") for n in names])
+    return second.select(*keep, *[_bits(F.col(n), F.col(f"_exponent_{n}")).alias(f"_bits_{n}") for n in names])
 
 
 def _folded32(bits: Column) -> Column:

@@ -10,14 +10,16 @@ THRESHOLDS = range(10, 81)
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
-    """From (category, sim, belongs): TP, FN, FP, TN at each threshold, in hundredths.
+    """From (category, sim, belongs, n), n being the pairs that a row stands for: TP, FN, FP, TN at each
+    threshold, in hundredths.
 
     The pairs are first counted by the last threshold they reach, then summed up over the thresholds, so
     that no pair is multiplied by them.
     """
     reached = F.least(F.floor(F.col("sim") * 100 + 1e-9), F.lit(THRESHOLDS[-1])).cast("int")
     counts = pairs.groupBy("category", reached.alias("reached")).agg(
-        F.count_if("belongs").alias("own"), F.count_if(~F.col("belongs")).alias("other")
+        F.sum(F.when(F.col("belongs"), F.col("n")).otherwise(0)).alias("own"),
+        F.sum(F.when(F.col("belongs"), 0).otherwise(F.col("n"))).alias("other"),
     )
     steps = counts.sparkSession.range(THRESHOLDS[0], THRESHOLDS[-1] + 1).select(F.col("id").cast("int").alias("threshold"))
     # the counts have a row for each category and hundredth

@@ -351,3 +351,89 @@ def mutate_element(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.round(F.col("s_acctbal") + (key * 37 % 21 - 10), 2)
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     return rows.select("s_suppkey", edited.alias("s_name"), moved.alias("s_acctbal"), (~(key % 2 == 1)).alias("flag"))
+
+
+@query(f"""SELECT c_custkey, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM (SELECT c_custkey, {sql.double_hash("c_acctbal")} AS h FROM customer)""")
+def number_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of doubles: their bits folded to 32."""
+    return table(spark, sf_dir, "customer").select("c_custkey", K.number_hash(F.col("c_acctbal"), double=True).alias("hash"))
+
+
+@query("SELECT c_custkey, (CASE WHEN c_acctbal IS NULL THEN 0 WHEN c_acctbal < 0 THEN 1231 ELSE 1237 END)::BIGINT AS hash, CASE WHEN c_acctbal < 0 THEN 1231 % 64 ELSE 1237 % 64 END AS position FROM customer")
+def boolean_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owes = F.col("c_acctbal") < 0
+    return table(spark, sf_dir, "customer").select("c_custkey", K.boolean_hash(owes).alias("hash"), K.boolean_position(owes).alias("position"))
+
+
+_SIGNED_HASH = _STRING_HASH.replace("c_name", "x")
+
+
+@query(f"""WITH {_TREE}, f AS (SELECT type, key, unnest(location) AS x, length(location) AS n FROM loc), h AS (SELECT type, key, n, {_SIGNED_HASH}::BIGINT AS h FROM f),
+bits AS (SELECT type, key, b, any_value(n) AS n, count(*) AS k FROM h, range(0, 64) t(b) WHERE (h >> b::INT) & 1 = 1 GROUP BY ALL),
+won AS (SELECT type, key, list(b) AS bits FROM bits WHERE k > n // 2 GROUP BY ALL)
+SELECT loc.type, loc.key, {sql.or_positions("coalesce(bits, [])")} AS code FROM loc LEFT JOIN won USING (type, key)""")
+def location_majority_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits that more than half of a location's fragments have in their whole hash."""
+    codes = F.transform("location", K.string_hash)
+    return model.locations(spark, sf_dir).select("type", "key", K.majority(codes, small_or=False).alias("code"))
+
+
+@query(f"""WITH o AS (SELECT o_custkey, list(o_orderkey % 97 ORDER BY o_orderkey) AS v, list_distinct(list(o_orderkey % 256)) AS s FROM orders GROUP BY 1),
+n AS (SELECT o_custkey, v, s, length(v)::BIGINT AS n FROM o), h AS (SELECT *, n // 2 AS m FROM n)
+SELECT o_custkey, concat_ws(',', coalesce(list_sum(v[1:m // 2]), 0)::BIGINT, coalesce(list_sum(v[m // 2 + 1:m]), 0)::BIGINT, coalesce(list_sum(v[m + 1:(m + n) // 2]), 0)::BIGINT, coalesce(list_sum(v[(m + n) // 2 + 1:n]), 0)::BIGINT) AS sums,
+  concat_ws(',', length(list_filter(s, lambda x: x <= 64)), length(list_filter(s, lambda x: x > 64 AND x <= 128)), length(list_filter(s, lambda x: x > 128 AND x <= 192)), length(list_filter(s, lambda x: x > 192))) AS counts FROM h""")
+def array_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each customer's order numbers: the sums of the quarters of the list, and how many of the set lie in each quarter of the range."""
+    own = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    values = F.transform("keys", lambda x: x % 97)
+    numbers = F.array_distinct(F.transform("keys", lambda x: x % 256))
+    shown = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return own.select("o_custkey", shown(K.array_pattern(values, 2)).alias("sums"), shown(K.set_pattern(numbers, 2, 256)).alias("counts"))
+
+
+@query(f"""WITH {_VERSIONS}, q AS (SELECT p_partkey, {", ".join(f"bit_count((a >> {16 * k}) & 65535)::BIGINT AS a{k}, bit_count((b >> {16 * k}) & 65535)::BIGINT AS b{k}" for k in range(4))} FROM v)
+SELECT p_partkey, concat_ws(',', a0 + a1, a2 + a3) AS halves, abs(a0 - b0) + abs(a1 - b1) + abs(a2 - b2) + abs(a3 - b3) BETWEEN 1 AND 3 AS near FROM q""")
+def pattern_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code's pattern made coarser, and whether the edited code's pattern is one to three away."""
+    a, b = K.pattern(F.col("a"), 2), K.pattern(F.col("b"), 2)
+    halves = F.array_join(K.pattern_abstract(a).cast("array<string>"), ",")
+    return versions(spark, sf_dir).select("p_partkey", halves.alias("halves"), K.pattern_matches(a, b, 1, 3).alias("near"))
+
+
+_BAG = """[p_name, p_brand, p_type, p_size::VARCHAR]"""
+
+
+@query(f"""WITH w AS (SELECT p_partkey, list_sort(list_distinct({_BAG})) AS words FROM part), u AS (SELECT DISTINCT unnest(words) AS word FROM w),
+d AS (SELECT word, dense_rank() OVER (ORDER BY word)::BIGINT AS id FROM u), e AS (SELECT p_partkey, unnest(words) AS word FROM w)
+SELECT p_partkey, string_agg(id::VARCHAR, ',' ORDER BY id) AS word_ids FROM e JOIN d USING (word) GROUP BY 1""")
+def word_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each part the set of its values, not told apart by feature, as sorted numbers of a dictionary."""
+    names = [f.name for f in features.FEATURES if f.type == "part" and features.one_hot(f) and f.name != "p_retailprice"]
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.array(*[F.col(n).cast("string") for n in names]))).alias("word"))
+    ids = words.select("word").distinct().withColumn("head", F.substring("word", 1, 2))
+    totals = ids.groupBy("head").agg(F.count("*").alias("n"))
+    # a row for each pair of letters
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("head").orderBy("word"))
+    dictionary = ids.withColumn("own", own).join(starts, "head").select("word", (F.col("start") + F.col("own")).alias("id"))
+    # a set has as many words as a part has features
+    met = words.join(dictionary, "word").groupBy("p_partkey").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return met.select("p_partkey", F.array_join(F.col("ids").cast("array<string>"), ",").alias("word_ids"))
+
+
+@query(f"""WITH own AS (SELECT o_orderkey, {sql.string_code("o_orderpriority")} AS code FROM orders),
+p AS (SELECT p_partkey, {sql.string_code("p_name")} AS code FROM part), c AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, p.code FROM lineitem JOIN p ON l_partkey = p_partkey),
+n AS (SELECT l_orderkey, count(*) AS n FROM c WHERE code <> 0 GROUP BY 1),
+bits AS (SELECT l_orderkey, b, count(*) AS k FROM c, range(0, 64) t(b) WHERE (code >> b::INT) & 1 = 1 GROUP BY 1, 2),
+won AS (SELECT l_orderkey, list(b) AS bits FROM bits JOIN n USING (l_orderkey) WHERE 7 * k > 2 * n GROUP BY 1)
+SELECT o_orderkey, code | {sql.or_positions("coalesce(bits, [])")} AS code FROM own LEFT JOIN won ON o_orderkey = l_orderkey""")
+def conv_hash_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's code with those of the parts it refers to: a bit counts if more than two sevenths of them have it."""
+    parts = with_code(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name").select(F.col("p_partkey").alias("l_partkey"), "code")
+    referred = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").filter("code <> 0")
+    votes = referred.groupBy("l_orderkey").agg(F.count("*").alias("n"), *lanes("code"))
+    around = votes.select("l_orderkey", from_lanes(lambda k: 7 * k > 2 * F.col("n")).alias("around"))
+    own = with_code(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
+    joined = own.join(around, own.o_orderkey == around.l_orderkey, "left")
+    return joined.select("o_orderkey", F.col("code").bitwiseOR(F.coalesce("around", F.lit(0).cast("long"))).alias("code"))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinweave import model
+from twinweave import features, model
 from twinweave.functions import kernels as K
 from twinweave.functions import similarity as S
 from twinweave.model import table
-from twinweave.operators import evaluation, joins, matching
+from twinweave.operators import evaluation, joins, matching, matchloop, nearest
 from twinweave.plans import sql
 from twinweave.plans.kernel_queries import with_code
+from twinweave.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,18 +70,18 @@ def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BRANDED = f"""WITH {sql.CODED}, lb AS (SELECT type, brand, code, count(*) AS n FROM l GROUP BY ALL), rb AS (SELECT type, brand, code, count(*) AS n FROM r GROUP BY ALL)
 SELECT lb.type, lb.brand AS left_brand, rb.brand AS right_brand, sum(lb.n * rb.n)::BIGINT AS candidates FROM lb JOIN rb USING (type)
-WHERE {sql.cosine('lb.code', 'rb.code')} >= 0.7 + CASE WHEN lb.brand = rb.brand THEN 0 ELSE 0.1 END GROUP BY ALL"""
+WHERE {sql.cosine('lb.code', 'rb.code')} >= 0.7 + CASE WHEN lb.brand = rb.brand THEN 0 ELSE {features.container_ratio("part")} END GROUP BY ALL"""
 
 
 @query(_BRANDED)
 def similarity_join_container_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects of unlike brands must be 0.1 more similar."""
+    """Objects of unlike containers (here brands) must be more similar, by the container's share of a type's distance."""
     l, r = sides(spark, sf_dir)
     pairs = joins.similar_codes(l, r, 0.7).select("type", "left_code", "right_code", "sim")
     own = lambda d, side: d.groupBy("type", "brand", "code").agg(F.count("*").alias(f"{side}_n")).select(
         "type", F.col("brand").alias(f"{side}_brand"), F.col("code").alias(f"{side}_code"), f"{side}_n")
     met = pairs.join(own(l, "left"), ["type", "left_code"]).join(own(r, "right"), ["type", "right_code"])
-    penalty = F.when(F.col("left_brand") == F.col("right_brand"), 0.0).otherwise(0.1)
+    penalty = F.when(F.col("left_brand") == F.col("right_brand"), 0.0).otherwise(features.container_ratio("part"))
     kept = met.filter(F.col("sim") >= F.lit(0.7) + penalty).groupBy("type", "left_brand", "right_brand")
     return kept.agg(F.sum(F.col("left_n") * F.col("right_n")).alias("candidates"))
 
@@ -144,108 +145,220 @@ def ignored_type_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DIST = """round((50.0::DOUBLE * (levenshtein(l.name, r.name)::DOUBLE / greatest(length(l.name), length(r.name), 1))
   + 10.0::DOUBLE * (CASE WHEN l.price IS NOT DISTINCT FROM r.price THEN 0.0 ELSE 1.0 END)) / 60.0::DOUBLE, 9)"""
-_CANDIDATES = f"""{sql.CODED}, c AS (SELECT l.id AS left_id, r.id AS right_id, {_DIST} AS dist FROM l JOIN r USING (type, brand, size) WHERE {sql.cosine('l.code', 'r.code')} >= 0.5)"""
+_CANDIDATES = f"""{sql.CODED}, c AS (SELECT l.id AS left_id, r.id AS right_id, {_DIST} AS dist FROM l JOIN r USING (type) WHERE {sql.cosine('l.code', 'r.code')} >= 0.5)"""
 _MUTUAL = f"""{_CANDIDATES}, near AS (SELECT * FROM c WHERE dist <= {matching.TOO_FAR}),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY dist, right_id) AS k FROM near) WHERE k = 1),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY dist, left_id) AS k FROM near) WHERE k = 1),
 m AS (SELECT f.left_id, f.right_id, f.dist FROM f JOIN b ON f.left_id = b.left_id AND f.right_id = b.right_id)"""
 
 
-def candidates(l: DataFrame, r: DataFrame) -> DataFrame:
-    """Blocked by type, brand and size; similar by code; with their exact distance."""
-    keys = ["type", "brand", "size"]
-    left = l.select(*keys, F.col("id").alias("left_id"), F.col("name").alias("left_name"), F.col("price").alias("left_price"), F.col("code").alias("left_code"))
-    right = r.select(*keys, F.col("id").alias("right_id"), F.col("name").alias("right_name"), F.col("price").alias("right_price"), F.col("code").alias("right_code"))
-    near = left.join(right, keys).filter(S.cosine(F.col("left_code"), F.col("right_code")) >= 0.5)
-    dist = matching.weighted_distance([
-        (matching.text_distance(F.col("left_name"), F.col("right_name")), 50.0),
-        (matching.unlike(F.col("left_price"), F.col("right_price")), 10.0),
-    ])
-    return near.select("left_id", "right_id", F.round(dist, 9).alias("dist"))
+def matching_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides and the pairs of names whose codes are similar; a few distinct names stand for all objects."""
+    l, r = sides(spark, sf_dir)
+    return l, r, written(nearest.name_pairs(l, r), "name_pairs")
+
+
+def mutual(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    l, r, pairs = matching_sides(spark, sf_dir)
+    return l, r, nearest.mutual(l, r, pairs)
+
+
+def code_candidates(l: DataFrame, r: DataFrame) -> DataFrame:
+    """For each (type, code) of the left side how many candidates an object has, and the lowest id of them."""
+    own = r.groupBy("type", F.col("code").alias("right_code")).agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    near = joins.similar_codes(l, r, nearest.LEAST).select("type", "left_code", "right_code").join(own, ["type", "right_code"])
+    return near.groupBy("type", F.col("left_code").alias("code")).agg(F.sum("n").alias("k"), F.min("least").alias("right_id"))
 
 
 @query(f"WITH {_CANDIDATES} SELECT left_id, right_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY dist, right_id) AS k FROM c) WHERE k = 1")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.best(candidates(*sides(spark, sf_dir)), "left_id", "right_id")
+    return nearest.best_matches(*matching_sides(spark, sf_dir))
 
 
 @query(f"WITH {_MUTUAL} SELECT * FROM m")
 def mutual_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.mutual_best(candidates(*sides(spark, sf_dir)))
+    return mutual(spark, sf_dir)[2]
+
+
+def _sql_walk(candidates: str, name: str, rounds: int) -> str:
+    """CTEs of a candidate walk over (left_id, right_id, dist) for so many rounds; the matches are in the last one, <name>."""
+    out, done = [], None
+    for k in range(rounds):
+        rest = candidates if done is None else f"(SELECT * FROM {candidates} WHERE left_id NOT IN (SELECT left_id FROM {done}) AND right_id NOT IN (SELECT right_id FROM {done}))"
+        out.append(f"{name}_b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY dist, left_id) AS k FROM {rest}) WHERE k = 1)")
+        out.append(f"{name}_n{k} AS (SELECT left_id, right_id, dist FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY dist, right_id) AS j FROM {name}_b{k}) WHERE j = 1)")
+        before = f"SELECT * FROM {done} UNION ALL " if done else ""
+        done = name if k == rounds - 1 else f"{name}_m{k}"
+        out.append(f"{done} AS ({before}SELECT * FROM {name}_n{k})")
+    return ", ".join(out)
+
+
+#: Rounds of the walks below.
+ROUNDS = 3
+
+
+@query(f"WITH {_CANDIDATES}, near AS (SELECT * FROM c WHERE dist <= {matching.TOO_FAR}), {_sql_walk('near', 'w', ROUNDS)} SELECT * FROM w")
+def candidate_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each object takes the first of its candidates whose nearest it is; matched ones leave, and the rest goes on."""
+    return nearest.walked(*matching_sides(spark, sf_dir), ROUNDS)
 
 
 @query(f"WITH {_MUTUAL} SELECT id FROM l WHERE id NOT IN (SELECT left_id FROM m)")
 def unmatched_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, r = sides(spark, sf_dir)
-    found = matching.mutual_best(candidates(l, r)).select(F.col("left_id").alias("id"))
-    return l.select("id").join(found, "id", "left_anti")
+    l, _, found = mutual(spark, sf_dir)
+    return l.select("id").join(found.select(F.col("left_id").alias("id")), "id", "left_anti")
 
 
 @query(f"WITH {_MUTUAL} SELECT id FROM r WHERE id NOT IN (SELECT right_id FROM m)")
 def unmatched_right(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, r = sides(spark, sf_dir)
-    found = matching.mutual_best(candidates(l, r)).select(F.col("right_id").alias("id"))
-    return r.select("id").join(found, "id", "left_anti")
+    _, r, found = mutual(spark, sf_dir)
+    return r.select("id").join(found.select(F.col("right_id").alias("id")), "id", "left_anti")
 
 
 @query(f"WITH {_MUTUAL} SELECT coalesce(l.id, -1) AS left_id, coalesce(m.right_id, -1) AS right_id FROM l LEFT JOIN m ON l.id = m.left_id UNION ALL SELECT -1, id FROM r WHERE id NOT IN (SELECT right_id FROM m)")
 def match_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """-1 stands for no partner."""
-    l, r = sides(spark, sf_dir)
-    done = matching.completed(matching.mutual_best(candidates(l, r)), l, r)
+    l, r, found = mutual(spark, sf_dir)
+    done = matching.completed(written(found, "mutual"), l, r)
     return done.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("left_id", "right_id")])
 
 
-_FEATURES = ["type", "name", "brand", "size", "price"]
+def _sql_near(a: str, b: str, name: str) -> str:
+    dist = _DIST.replace("l.", "x.").replace("r.", "y.")
+    return f"""{name} AS (SELECT * FROM (SELECT x.id AS left_id, y.id AS right_id, {dist} AS dist FROM {a} x JOIN {b} y USING (type)
+  WHERE {sql.cosine('x.code', 'y.code')} >= 0.5) WHERE dist <= {matching.TOO_FAR})"""
+
+
+_THREE = f"""{sql.CODED}, le AS (SELECT id, type, {sql.string_code("name")} AS code, name, price FROM (
+  SELECT id, type, name || CASE WHEN {sql.edit_class('id')} BETWEEN 300 AND 349 THEN ' a' ELSE '' END AS name, price FROM l WHERE {sql.edit_class('id')} < 950)),
+{_sql_near("le", "r", "c1")}, {_sql_walk("c1", "w1", 1)}, {_sql_near("le", "l", "c2")}, {_sql_walk("c2", "w2", 1)},
+rr AS (SELECT * FROM r WHERE id NOT IN (SELECT right_id FROM w1)), oo AS (SELECT * FROM l WHERE id NOT IN (SELECT right_id FROM w2)),
+{_sql_near("rr", "oo", "c3")}, {_sql_walk("c3", "w3", 1)}"""
 
 
-@query(f"""WITH {sql.CODED}, o AS (SELECT 'origin' AS side, id, type, name, brand, size, price FROM l),
-lefts AS (SELECT 'left', id, type, name || CASE WHEN {sql.edit_class('id')} BETWEEN 300 AND 349 THEN ' a' ELSE '' END, brand, size, price FROM l WHERE {sql.edit_class('id')} < 950),
-rights AS (SELECT 'right', id, type, name, brand, size, price FROM r),
-a AS (SELECT * FROM o UNION ALL SELECT * FROM lefts UNION ALL SELECT * FROM rights)
-SELECT coalesce(min(id) FILTER (side = 'left'), -1) AS left_id, coalesce(min(id) FILTER (side = 'right'), -1) AS right_id, coalesce(min(id) FILTER (side = 'origin'), -1) AS origin_id
-FROM a GROUP BY type, name, brand, size, price""")
+@query(f"""WITH {_THREE}
+SELECT le.id AS left_id, coalesce(w1.right_id, -1) AS right_id, coalesce(w2.right_id, -1) AS origin_id FROM le LEFT JOIN w1 ON w1.left_id = le.id LEFT JOIN w2 ON w2.left_id = le.id
+UNION ALL SELECT -1, rr.id, coalesce(w3.right_id, -1) FROM rr LEFT JOIN w3 ON w3.left_id = rr.id
+UNION ALL SELECT -1, -1, id FROM oo WHERE id NOT IN (SELECT right_id FROM w3)""")
 def three_way_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects with equal features on up to three sides; -1 where a side has none. One shuffle for all sides."""
-    l, r = sides(spark, sf_dir)
+    """Left objects with their right and origin matches, then what is left of both with each other; -1 where a side
+    has none. Every object is in one row."""
+    origin, right = sides(spark, sf_dir)
     m = model.edit_class(F.col("id"))
     renamed = F.when(m.between(300, 349), F.concat("name", F.lit(" a"))).otherwise(F.col("name"))
-    left = l.filter(m < 950).withColumn("name", renamed)
-    every = None
-    for side, rows in (("origin", l), ("left", left), ("right", r)):
-        own = rows.select("id", *_FEATURES, F.lit(side).alias("side"))
-        every = own if every is None else every.unionByName(own)
-    pick = lambda side: F.coalesce(F.min(F.when(F.col("side") == side, F.col("id"))), F.lit(-1)).alias(f"{side}_id")
-    return every.groupBy(*_FEATURES).agg(pick("left"), pick("right"), pick("origin")).drop(*_FEATURES)
+    left = with_code(origin.filter(m < 950).withColumn("name", renamed).drop("code"), "name")
+
+    def matched(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = written(nearest.name_pairs(a, b), "name_pairs")
+        return written(nearest.walked(a, b, pairs, 1).select("left_id", "right_id"), "matches")
+
+    to_right, to_origin = matched(left, right), matched(left, origin)
+    rest_r = right.join(to_right.select(F.col("right_id").alias("id")), "id", "left_anti")
+    rest_o = origin.join(to_origin.select(F.col("right_id").alias("id")), "id", "left_anti")
+    between = matched(rest_r, rest_o)
+    none = F.lit(-1).cast("long")
+    l = left.select(F.col("id").alias("left_id")).join(to_right, "left_id", "left").join(to_origin.withColumnRenamed("right_id", "origin_id"), "left_id", "left")
+    r = rest_r.select(F.col("id").alias("right_id")).join(between.select(F.col("left_id").alias("right_id"), F.col("right_id").alias("origin_id")), "right_id", "left")
+    o = rest_o.select(F.col("id").alias("origin_id")).join(between.select(F.col("right_id").alias("origin_id")), "origin_id", "left_anti")
+    every = l.unionByName(r.withColumn("left_id", none)).unionByName(o.withColumn("left_id", none).withColumn("right_id", none))
+    return every.select(*[F.coalesce(c, none).alias(c) for c in ("left_id", "right_id", "origin_id")])
 
 
 @query(f"""WITH {_MUTUAL}, x AS (SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY dist, right_id) AS k FROM c) WHERE k = 1)
 SELECT coalesce(x.left_id, m.left_id) AS left_id, (x.right_id IS DISTINCT FROM m.right_id) AS differs FROM x FULL JOIN m ON x.left_id = m.left_id""")
 def match_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-sided best matches against mutual ones."""
-    c = candidates(*sides(spark, sf_dir))
-    return matching.agreement(matching.best(c, "left_id", "right_id"), matching.mutual_best(c)).select("left_id", "differs")
+    l, r, pairs = matching_sides(spark, sf_dir)
+    best = written(nearest.best_matches(l, r, pairs), "best")
+    near = best.filter(F.col("dist") <= matching.TOO_FAR)
+    both = near.join(nearest.backward(l, r, pairs).select("left_id", "right_id"), ["left_id", "right_id"], "left_semi")
+    return matching.agreement(best, both).select("left_id", "differs")
 
 
+# ---- matching along the containment tree
+
 _MOVED_SQL = f"(CASE WHEN {sql.edit_class('c_custkey')} BETWEEN 150 AND 169 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END)"
+_ORDER_EDIT = sql.edit_class("o_orderkey")
+_LEVELS = {
+    "nation": ("SELECT n_nationkey::BIGINT AS id, NULL::BIGINT AS parent, n_name AS text, 0::DOUBLE AS number FROM nation",
+               "SELECT n_nationkey::BIGINT AS id, NULL::BIGINT AS parent, n_name AS text, 0::DOUBLE AS number FROM nation"),
+    "customer": ("SELECT c_custkey AS id, c_nationkey::BIGINT AS parent, c_name AS text, c_acctbal AS number FROM customer",
+                 f"""SELECT c_custkey AS id, {_MOVED_SQL}::BIGINT AS parent, c_name || CASE WHEN {sql.edit_class('c_custkey')} BETWEEN 50 AND 149 THEN ' v2' ELSE '' END AS text,
+                   c_acctbal AS number FROM customer WHERE {sql.edit_class('c_custkey')} >= 50"""),
+    "orders": ("SELECT o_orderkey AS id, o_custkey AS parent, o_orderpriority AS text, o_totalprice AS number FROM orders",
+               f"""SELECT o_orderkey AS id, o_custkey AS parent, o_orderpriority || CASE WHEN {_ORDER_EDIT} BETWEEN 50 AND 149 THEN '!' ELSE '' END AS text, o_totalprice AS number
+                   FROM orders WHERE {_ORDER_EDIT} >= 30 AND {sql.edit_class('o_custkey')} >= 50"""),
+}
+
+
+def tree_sides(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(type, left, right) of nations, customers and orders: customers renamed, moved and deleted with their orders,
+    orders with another priority or deleted."""
+    nations = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("id"), F.lit(None).cast("long").alias("parent"), F.col("n_name").alias("text"), F.lit(0.0).alias("number")
+    )
+    c, m = table(spark, sf_dir, "customer"), model.edit_class(F.col("c_custkey"))
+    shape = [F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("parent"), F.col("c_name").alias("text"), F.col("c_acctbal").alias("number")]
+    moved = F.when(m.between(150, 169), (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
+    renamed = F.when(m.between(50, 149), F.concat("c_name", F.lit(" v2"))).otherwise(F.col("c_name"))
+    later = c.filter(m >= 50).withColumn("c_nationkey", moved).withColumn("c_name", renamed)
+    o, k = table(spark, sf_dir, "orders"), model.edit_class(F.col("o_orderkey"))
+    of_order = [F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent"), F.col("o_orderpriority").alias("text"), F.col("o_totalprice").alias("number")]
+    priority = F.when(k.between(50, 149), F.concat("o_orderpriority", F.lit("!"))).otherwise(F.col("o_orderpriority"))
+    later_o = o.filter((k >= 30) & (model.edit_class(F.col("o_custkey")) >= 50)).withColumn("o_orderpriority", priority)
+    own = [("nation", nations, nations), ("customer", c.select(*shape), later.select(*shape)), ("orders", o.select(*of_order), later_o.select(*of_order))]
+    return [(t, with_code(a, "text"), with_code(b, "text")) for t, a, b in own]
+
+
+def _sql_identical(a: str, b: str, name: str, *keys: str) -> str:
+    cols = ", ".join((*keys, "text", "number"))
+    ranked = lambda d: f"(SELECT *, row_number() OVER (PARTITION BY {cols} ORDER BY id) AS k FROM {d})"
+    return f"{name} AS (SELECT x.id AS left_id, y.id AS right_id FROM {ranked(a)} x JOIN {ranked(b)} y USING ({cols}, k))"
+
+
+def _sql_level(t: str, above: str) -> str:
+    dist = _DIST.replace("l.name", "x.text").replace("r.name", "y.text").replace("l.price", "x.number").replace("r.price", "y.number")
+    return f"""l_{t} AS (SELECT l.*, right_id AS box FROM {t}_l l JOIN {above} ON parent = left_id), r_{t} AS (SELECT *, parent AS box FROM {t}_r),
+{_sql_identical(f"l_{t}", f"r_{t}", f"i_{t}", "box")},
+c_{t} AS (SELECT * FROM (SELECT x.id AS left_id, y.id AS right_id, {dist} AS dist FROM l_{t} x JOIN r_{t} y USING (box) WHERE {sql.cosine('x.code', 'y.code')} >= 0.5
+  AND x.id NOT IN (SELECT left_id FROM i_{t}) AND y.id NOT IN (SELECT right_id FROM i_{t})) WHERE dist <= {matching.TOO_FAR}),
+{_sql_walk(f"c_{t}", f"w_{t}", ROUNDS)}, d_{t} AS (SELECT * FROM i_{t} UNION ALL SELECT left_id, right_id FROM w_{t}),
+{_sql_identical(f"(SELECT * FROM {t}_l WHERE id NOT IN (SELECT left_id FROM d_{t}))", f"(SELECT * FROM {t}_r WHERE id NOT IN (SELECT right_id FROM d_{t}))", f"v_{t}")},
+m_{t} AS (SELECT * FROM d_{t} UNION ALL SELECT * FROM v_{t})"""
+
+
+_TREE_SIDES = ", ".join(f"{t}_{s} AS (SELECT *, {sql.string_code('text')} AS code FROM ({q}))" for t, both in _LEVELS.items() for s, q in zip("lr", both, strict=True))
+_NESTED = f"""{_TREE_SIDES}, {_sql_identical("nation_l", "nation_r", "m_nation")},
+{_sql_level("customer", "m_nation")}, {_sql_level("orders", "m_customer")}"""
+
+
+@query(f"WITH {_NESTED} SELECT left_id, right_id FROM i_customer")
+def identical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage: customers that are the same on both sides under matched nations."""
+    (_, nl, nr), (_, cl, cr), _ = tree_sides(spark, sf_dir)
+    above = matchloop.identical(nl, nr).select(F.col("left_id").alias("parent"), F.col("right_id").alias("box"))
+    return matchloop.identical(cl.join(above, "parent"), cr.withColumn("box", F.col("parent")), "box")
+
+
+@query(f"WITH {_NESTED} SELECT left_id, right_id FROM m_customer")
+def match_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of one level: customers under matched nations, then those that moved."""
+    (_, nl, nr), (_, cl, cr), _ = tree_sides(spark, sf_dir)
+    return matchloop.match_level(cl, cr, written(matchloop.identical(nl, nr), "nations"), ROUNDS)
 
 
-@query(f"""WITH r AS (SELECT c_custkey, {_MOVED_SQL} AS nation FROM customer WHERE {sql.edit_class('c_custkey')} >= 50)
-SELECT c.c_custkey AS left_id, coalesce(r.c_custkey, -1) AS right_id, coalesce(c.c_nationkey, r.nation)::BIGINT AS parent_match, (r.nation IS NOT NULL AND r.nation <> c.c_nationkey) AS moved
-FROM customer c LEFT JOIN r USING (c_custkey)""")
+def _sql_nested(t: str, above: str | None) -> str:
+    turned = f"LEFT JOIN {above} a ON a.right_id = r.parent" if above else ""
+    return f"""SELECT '{t}' AS type, coalesce(l.id, -1) AS left_id, coalesce(r.id, -1) AS right_id, coalesce(l.parent, {'a.left_id' if above else 'NULL'}, -1)::BIGINT AS parent_match
+FROM (SELECT l.id AS left_id, m.right_id FROM {t}_l l LEFT JOIN m_{t} m ON m.left_id = l.id UNION ALL SELECT NULL, id FROM {t}_r WHERE id NOT IN (SELECT right_id FROM m_{t})) p
+LEFT JOIN {t}_l l ON l.id = p.left_id LEFT JOIN {t}_r r ON r.id = p.right_id {turned}"""
+
+
+@query(f"WITH {_NESTED} {_sql_nested('nation', None)} UNION ALL {_sql_nested('customer', 'm_nation')} UNION ALL {_sql_nested('orders', 'm_customer')}")
 def nested_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and their edited versions under the match of their nation, the left one's if there is one."""
-    left = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    m = model.edit_class(F.col("c_custkey"))
-    moved = F.when(m.between(150, 169), (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
-    right = left.filter(m >= 50).select(F.col("c_custkey").alias("right_id"), moved.alias("nation"))
-    met = left.join(right, left.c_custkey == right.right_id, "left")
-    return met.select(
-        F.col("c_custkey").alias("left_id"),
-        F.coalesce("right_id", F.lit(-1)).alias("right_id"),
-        F.coalesce("c_nationkey", "nation").cast("long").alias("parent_match"),
-        F.coalesce(F.col("nation") != F.col("c_nationkey"), F.lit(False)).alias("moved"),
-    )
+    """Nations, customers and orders, level by level, each under the match of its container; -1 for none."""
+    found = matchloop.nested(tree_sides(spark, sf_dir), ROUNDS)
+    return found.select("type", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("left_id", "right_id", "parent_match")])
 
 
 # ---- profiling
@@ -311,19 +424,22 @@ def feature_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation
 
 _LABELLED = f"""{sql.CODED}, p AS (SELECT l.type AS category, round({sql.cosine("l.code", "r.code")}, 9) AS sim,
-  (levenshtein(l.name, r.name)::DOUBLE / greatest(length(l.name), length(r.name), 1) <= 0.25) AS belongs FROM l JOIN r ON l.brand = r.brand AND l.size = r.size)"""
-_CONFUSION = f"""{_LABELLED}, t AS (SELECT range AS threshold FROM range(10, 81)),
-k AS (SELECT category, threshold, count(*) FILTER (belongs AND floor(sim * 100 + 1e-9) >= threshold) AS tp, count(*) FILTER (belongs AND floor(sim * 100 + 1e-9) < threshold) AS fn,
-  count(*) FILTER (NOT belongs AND floor(sim * 100 + 1e-9) >= threshold) AS fp, count(*) FILTER (NOT belongs AND floor(sim * 100 + 1e-9) < threshold) AS tn FROM p, t GROUP BY ALL)"""
+  (levenshtein(l.name, r.name)::DOUBLE / greatest(length(l.name), length(r.name), 1) <= 0.25) AS belongs FROM l JOIN r USING (type))"""
+_CONFUSION = f"""{_LABELLED}, q AS (SELECT category, floor(sim * 100 + 1e-9) AS reached, belongs, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT range AS threshold FROM range(10, 81)),
+k AS (SELECT category, threshold, coalesce(sum(n) FILTER (belongs AND reached >= threshold), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (belongs AND reached < threshold), 0)::BIGINT AS fn,
+  coalesce(sum(n) FILTER (NOT belongs AND reached >= threshold), 0)::BIGINT AS fp, coalesce(sum(n) FILTER (NOT belongs AND reached < threshold), 0)::BIGINT AS tn FROM q, t GROUP BY ALL)"""
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(category, sim, belongs) of parts and edited parts of one brand and size."""
+    """(category, sim, belongs, n) of all pairs of parts and edited parts of one type: similarity and belonging
+    depend on the names alone, so a row is a pair of distinct names and n the pairs of objects that have them.
+    Evaluation asks for the unlike pairs as well, so its work grows with the square of a type's distinct names."""
     l, r = sides(spark, sf_dir)
-    right = r.select("brand", "size", F.col("name").alias("other"), F.col("code").alias("b"))
-    met = l.join(right, ["brand", "size"])
-    belongs = matching.text_distance(F.col("name"), F.col("other")) <= 0.25
-    return met.select(F.col("type").alias("category"), F.round(S.cosine(F.col("code"), F.col("b")), 9).alias("sim"), belongs.alias("belongs"))
+    named = lambda d, a: d.groupBy("type", F.col("name").alias(f"{a}_name"), F.col("code").alias(f"{a}_code")).agg(F.count("*").alias(f"{a}_n"))
+    met = named(l, "left").join(named(r, "right"), "type")
+    belongs = matching.text_distance(F.col("left_name"), F.col("right_name")) <= 0.25
+    sim = F.round(S.cosine(F.col("left_code"), F.col("right_code")), 9)
+    return met.select(F.col("type").alias("category"), sim.alias("sim"), belongs.alias("belongs"), (F.col("left_n") * F.col("right_n")).alias("n"))
 
 
 @query(f"WITH {_CONFUSION} SELECT category, threshold::INT AS threshold, tp, fn, fp, tn FROM k")
@@ -367,30 +483,41 @@ SELECT l.type, (m.left_id IS NOT NULL) AS matched, round(avg(CASE WHEN m.left_id
 FROM l JOIN n USING (type) LEFT JOIN k ON k.left_id = l.id LEFT JOIN m ON m.left_id = l.id GROUP BY ALL""")
 def candidate_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How few of a type's objects are candidates: spared where there is a match, left where there is none."""
-    l, r = sides(spark, sf_dir)
-    c = candidates(l, r)
+    l, r, found = mutual(spark, sf_dir)
     sizes = r.groupBy("type").agg(F.count("*").alias("n"))
-    own = c.groupBy("left_id").agg(F.count("*").alias("k"))
-    found = matching.mutual_best(c).select("left_id", F.lit(True).alias("found"))
-    rows = l.select(F.col("id").alias("left_id"), "type").join(sizes, "type").join(own, "left_id", "left").join(found, "left_id", "left")
+    # candidates are counted by code
+    own = code_candidates(l, r).select("type", "code", "k")
+    rows = l.join(sizes, "type").join(own, ["type", "code"], "left").join(found.select(F.col("left_id").alias("id"), F.lit(True).alias("found")), "id", "left")
     share = F.coalesce("k", F.lit(0)).cast("double") / F.col("n")
     matched = F.col("found").isNotNull()
     return rows.groupBy("type", matched.alias("matched")).agg(F.round(F.avg(F.when(matched, 1 - share).otherwise(share)), 6).alias("rate"))
 
 
-@query(f"""WITH {_CANDIDATES}, s AS (SELECT c.*, {sql.cosine("l.code", "r.code")} AS sim FROM c JOIN l ON l.id = left_id JOIN r ON r.id = right_id),
-t AS (SELECT x.left_id, (x.dist < y.dist AND x.sim < y.sim) OR (x.dist > y.dist AND x.sim > y.sim) AS wrong FROM s x JOIN s y ON x.left_id = y.left_id AND x.right_id < y.right_id)
-SELECT count(*) AS triples, count(*) FILTER (wrong) AS inconsistent FROM t""")
+_TRIPLES = f"""{sql.CODED}, ln AS (SELECT type, name, code, count(*) AS n FROM l GROUP BY ALL), rn AS (SELECT type, name, code, count(*) AS n FROM r GROUP BY ALL),
+s AS (SELECT ln.type, ln.name AS a, rn.name AS b, ln.n AS n, rn.n AS m, round({sql.cosine("ln.code", "rn.code")}, 9) AS sim,
+  round(levenshtein(ln.name, rn.name)::DOUBLE / greatest(length(ln.name), length(rn.name), 1), 9) AS dist FROM ln JOIN rn USING (type)),
+t AS (SELECT x.n * x.m * y.m AS w, (x.dist < y.dist AND x.sim < y.sim) OR (x.dist > y.dist AND x.sim > y.sim) AS wrong,
+  x.dist = y.dist AND (x.sim >= 0.5) <> (y.sim >= 0.5) AS tie FROM s x JOIN s y ON x.type = y.type AND x.a = y.a AND x.b < y.b)"""
+
+
+@query(f"""WITH {_TRIPLES} SELECT sum(w)::BIGINT AS triples, coalesce(sum(w) FILTER (wrong), 0)::BIGINT AS inconsistent, coalesce(sum(w) FILTER (tie), 0)::BIGINT AS ties,
+round(coalesce(sum(w) FILTER (wrong), 0)::DOUBLE / sum(w)::DOUBLE, 6) AS inconsistent_rate, round(coalesce(sum(w) FILTER (tie), 0)::DOUBLE / sum(w)::DOUBLE, 6) AS tie_rate FROM t""")
 def consistency_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of an object and two candidates: how often the nearer one is the less similar one."""
+    """Of an object and two others of its type with unlike names: how often the nearer one is less similar, and how
+    often two equally near ones lie on both sides of 0.5. Triples are counted by their names."""
     l, r = sides(spark, sf_dir)
-    c = candidates(l, r).join(l.select(F.col("id").alias("left_id"), F.col("code").alias("a")), "left_id")
-    c = c.join(r.select(F.col("id").alias("right_id"), F.col("code").alias("b")), "right_id")
-    s = c.select("left_id", "right_id", "dist", S.cosine(F.col("a"), F.col("b")).alias("sim"))
-    t = s.alias("x").join(s.alias("y"), (F.col("x.left_id") == F.col("y.left_id")) & (F.col("x.right_id") < F.col("y.right_id")))
-    near = (F.col("x.dist") < F.col("y.dist")) & (F.col("x.sim") < F.col("y.sim"))
-    far = (F.col("x.dist") > F.col("y.dist")) & (F.col("x.sim") > F.col("y.sim"))
-    return t.agg(F.count("*").alias("triples"), F.count_if(near | far).alias("inconsistent"))
+    named = lambda d, side: d.groupBy("type", F.col("name").alias(side), F.col("code").alias(f"{side}_code")).agg(F.count("*").alias(f"{side}_n"))
+    s = named(l, "a").join(named(r, "b"), "type").select(
+        "type", "a", "b", F.col("a_n").alias("n"), F.col("b_n").alias("m"), F.round(S.cosine(F.col("a_code"), F.col("b_code")), 9).alias("sim"),
+        F.round(matching.text_distance(F.col("a"), F.col("b")), 9).alias("dist"),
+    )
+    other = s.select("type", "a", *[F.col(c).alias(f"{c}2") for c in ("b", "m", "sim", "dist")])
+    t = s.join(other, ["type", "a"]).filter("b < b2").withColumn("w", F.col("n") * F.col("m") * F.col("m2"))
+    wrong = F.expr("(dist < dist2 AND sim < sim2) OR (dist > dist2 AND sim > sim2)")
+    tie = F.expr("dist = dist2 AND (sim >= 0.5) <> (sim2 >= 0.5)")
+    total = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
+    rate = lambda c: F.round(total(c).cast("double") / F.sum("w").cast("double"), 6)
+    return t.agg(F.sum("w").alias("triples"), total(wrong).alias("inconsistent"), total(tie).alias("ties"), rate(wrong).alias("inconsistent_rate"), rate(tie).alias("tie_rate"))
 
 
 _EDIT = sql.edit_class("p_partkey")
@@ -410,13 +537,16 @@ _CUT = sql.edit_class("c_custkey")
 
 
 @query(f"""WITH d AS (SELECT c_custkey FROM customer WHERE {_CUT} < 50), o AS (SELECT o_orderkey, o_custkey FROM orders SEMI JOIN d ON o_custkey = c_custkey)
-SELECT c_custkey AS root, 'customer' AS type, c_custkey AS key FROM d UNION ALL SELECT o_custkey, 'orders', o_orderkey FROM o""")
+SELECT c_custkey AS root, 'customer' AS type, c_custkey AS key, 1 AS n FROM d UNION ALL SELECT o_custkey, 'orders', o_orderkey, 1 FROM o
+UNION ALL SELECT o_custkey, 'lineitem', o_orderkey, count(*) FROM o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def mutate_delete_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deleted customers with all that they contain."""
+    """Deleted customers with all that they contain: their orders, and how many line items each of these has."""
     dead = table(spark, sf_dir, "customer").filter(model.edit_class(F.col("c_custkey")) < 50).select("c_custkey")
-    below = table(spark, sf_dir, "orders").join(dead, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    roots = dead.select(F.col("c_custkey").alias("root"), F.lit("customer").alias("type"), F.col("c_custkey").alias("key"))
-    return roots.unionByName(below.select(F.col("o_custkey").alias("root"), F.lit("orders").alias("type"), F.col("o_orderkey").alias("key")))
+    below = table(spark, sf_dir, "orders").join(dead, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_custkey", "o_orderkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey").join(below, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey")
+    own = lambda d, root, type_, key, n: d.select(F.col(root).alias("root"), F.lit(type_).alias("type"), F.col(key).alias("key"), n.cast("long").alias("n"))
+    every = own(dead, "c_custkey", "customer", "c_custkey", F.lit(1)).unionByName(own(below, "o_custkey", "orders", "o_orderkey", F.lit(1)))
+    return every.unionByName(own(items.agg(F.count("*").alias("n")), "o_custkey", "lineitem", "o_orderkey", F.col("n")))
 
 
 @query(f"WITH {sql.EDITED} SELECT p_partkey, p_name, p_type FROM edited")
@@ -501,11 +631,10 @@ def f2_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_MUTUAL}, d AS (SELECT coalesce(x.left_id, m.left_id) AS id, (x.right_id IS DISTINCT FROM m.right_id) AS differs FROM (SELECT left_id, min(right_id) AS right_id FROM c GROUP BY 1) x FULL JOIN m ON x.left_id = m.left_id) SELECT type, count(*) AS total, count(*) FILTER (differs) AS diffs, round(count(*) FILTER (differs)::DOUBLE / count(*), 6) AS rate FROM d JOIN l USING (id) GROUP BY 1")
 def diff_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often two ways of matching differ, by type."""
-    l, r = sides(spark, sf_dir)
-    c = candidates(l, r)
-    first = c.groupBy("left_id").agg(F.min("right_id").alias("right_id"))
-    both = matching.agreement(first, matching.mutual_best(c)).select(F.col("left_id").alias("id"), "differs")
+    """How often two ways of matching differ, by type: the lowest id among the candidates, and mutual best."""
+    l, r, found = mutual(spark, sf_dir)
+    first = l.join(code_candidates(l, r), ["type", "code"]).select(F.col("id").alias("left_id"), "right_id")
+    both = matching.agreement(first, found).select(F.col("left_id").alias("id"), "differs")
     diffs = F.count_if("differs")
     return both.join(l.select("id", "type"), "id").groupBy("type").agg(
         F.count("*").alias("total"), diffs.alias("diffs"), F.round(diffs.cast("double") / F.count("*"), 6).alias("rate")
