@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-def _long(value: int) -> Column:
-    return F.lit(value).cast("long")
+from pyspark.sql import DataFrame
 
 
 def voted(rows: DataFrame, codes: list[tuple[str, int, int]], name: str) -> DataFrame:
@@ -19,26 +15,23 @@ def voted(rows: DataFrame, codes: list[tuple[str, int, int]], name: str) -> Data
     Catalyst copies an expression wherever it is used.
     """
     width = sum(p + q for _, p, q in codes).bit_length()
-    keep, planes = list(rows.columns), [f"_plane{k}" for k in range(width)]
-    against = _long(0)
-    for code, _, q in codes:
-        against = against + F.when(F.coalesce(F.col(code), _long(0)) != 0, q).otherwise(0)
-    now = rows.select(*keep, against.cast("long").alias("_against"), *[_long(0).alias(x) for x in planes])
+    keep, planes = [f"`{c}`" for c in rows.columns], [f"_plane{k}" for k in range(width)]
+    against = " + ".join(f"IF(coalesce(`{code}`, 0L) <> 0, {q}L, 0L)" for code, _, q in codes)
+    now = rows.selectExpr(*keep, f"{against} AS _against", *[f"0L AS {x}" for x in planes])
     for code, p, q in codes:
         for low in (k for k in range(width) if (p + q) >> k & 1):
-            carry, out = F.coalesce(F.col(code), _long(0)), []
+            carry, out = f"coalesce(`{code}`, 0L)", []
             for k, plane in enumerate(planes):
                 if k < low:
-                    out.append(F.col(plane))
+                    out.append(plane)
                     continue
-                out.append(F.col(plane).bitwiseXOR(carry).alias(plane))
-                carry = carry.bitwiseAND(F.col(plane))
-            now = now.select(*keep, "_against", *out)
+                out.append(f"{plane} ^ ({carry}) AS {plane}")
+                carry = f"{carry} & {plane}"
+            now = now.selectExpr(*keep, "_against", *out)
     # a sum is greater if it has the highest digit in which it differs from the bound
-    greater, equal = _long(0), _long(-1)
+    greater, equal = [], "-1L"
     for k in reversed(range(width)):
-        digit = -F.shiftrightunsigned(F.col("_against"), k).bitwiseAND(_long(1))
-        plane = F.col(planes[k])
-        greater = greater.bitwiseOR(equal.bitwiseAND(plane).bitwiseAND(F.bitwise_not(digit)))
-        equal = equal.bitwiseAND(F.bitwise_not(plane.bitwiseXOR(digit)))
-    return now.select(*keep, greater.alias(name))
+        digit = f"(-(shiftrightunsigned(_against, {k}) & 1L))"
+        greater.append(f"({equal} & {planes[k]} & ~{digit})")
+        equal = f"{equal} & ~({planes[k]} ^ {digit})"
+    return now.selectExpr(*keep, f"{' | '.join(greater)} AS `{name}`")
