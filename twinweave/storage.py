@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,3 +48,10 @@ def removed(*frames: DataFrame) -> None:
         spark, path = df.sparkSession, df._written_at
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+def shuffles_released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so once the driver has collected what
+    referred to them, which jobs of many rounds would otherwise wait for while their files pile up."""
+    gc.collect()
+    spark._jvm.System.gc()
