@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinweave.storage import removed, shared_folder, table, written
+from twinweave.storage import removed, shared_folder, shuffles_released, table, written
 
-__all__ = ["batches_of", "fold", "fresh_names", "lots", "removed", "shared_folder", "table", "text_or_empty", "written"]
+__all__ = ["batches_of", "fold", "fresh_names", "lots", "removed", "shared_folder", "shuffles_released", "table", "text_or_empty", "written"]
 
 #: Rows and characters that a task works on at once. (Spark bounds Arrow batches by rows and bytes.)
 LOT_ROWS, LOT_CHARS = 500, 16_000_000

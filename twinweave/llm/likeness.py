@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinweave.llm.common import lots, removed, written
+from twinweave.llm.common import lots, removed, shuffles_released, written
 from twinweave.llm.simhash import components, deduplicate, hashes_of, node_of, shingles
 
 WIDTH = 5
@@ -119,7 +119,7 @@ def _possible(met: DataFrame) -> DataFrame:
 
 
 def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike by their whole sets."""
+    """The pairs (a, b) that are alike by their whole sets, written."""
 
     def make(found: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
         return pd.DataFrame({"node": found, "odd": [parities(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
@@ -138,7 +138,10 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     near = pairs.join(of("a", "odd"), "a").join(of("b", "odd"), "b").filter(9 * apart <= F.col("m") + F.col("n"))
     both = near.select("a", "b", "m", "n").join(of("a", "hashes"), "a").join(of("b", "hashes"), "b")
     common = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    return both.filter(_alike(common, F.col("m"), F.col("n"))).select("a", "b")
+    found = written(both.filter(_alike(common, F.col("m"), F.col("n"))).select("a", "b"), "links")
+    removed(pairs, few)
+    shuffles_released(docs.sparkSession)
+    return found
 
 
 def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -150,7 +153,7 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """
     sizes = nodes.select("node", "n")
     a, b = (sizes.select(F.col("node").alias(x), F.col("n").alias(y)) for x, y in (("a", "m"), ("b", "n")))
-    edges = written(_counted(docs, nodes, found.join(a, "a").join(b, "b").select("a", "b", "m", "n")), "links")
+    edges = _counted(docs, nodes, found.join(a, "a").join(b, "b").select("a", "b", "m", "n"))
     own = Window.partitionBy("key")
     keys = _keys(docs, _hot(docs)).withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own))
     met = written(keys.filter("low < high").drop("low", "high").dropDuplicates(["key", "node"]), "met")
@@ -172,15 +175,19 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
         hub = F.min_by(F.struct("node", "n", "place", "comp"), F.xxhash64("node", F.lit(rounds))).alias("hub")
         hubs = placed.groupBy("key").agg(hub).select("key", "hub.*")
         one = _side(hubs, "a", "key").join(_side(placed, "b", "key"), "key").filter("a_comp <> b_comp")
-        more = written(_counted(docs, nodes, _possible(one)), "links")
+        more = _counted(docs, nodes, _possible(one))
         linked, rounds = more.count(), rounds + 1
         edges, last = edges.unionByName(more), placed
         placed = labelled()
         removed(last)
+        shuffles_released(docs.sparkSession)
+    removed(met)
     comps = placed.select("key", "comp").distinct()
     twos = comps.withColumnRenamed("comp", "a_comp").join(comps.withColumnRenamed("comp", "b_comp"), "key").filter("a_comp < b_comp")
     left = twos.join(_side(placed, "a", "key"), ["key", "a_comp"]).join(_side(placed, "b", "key"), ["key", "b_comp"])
-    return edges.unionByName(_counted(docs, nodes, _possible(left)))
+    rest = _counted(docs, nodes, _possible(left))
+    removed(placed)
+    return edges.unionByName(rest)
 
 
 def near_copies_removed(docs: DataFrame) -> DataFrame:
