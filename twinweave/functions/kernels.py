@@ -71,6 +71,10 @@ def long_position(value: Column) -> Column:
     return v.bitwiseXOR(F.shiftrightunsigned(v, 32)).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
+def _guessed(size: Column) -> Column:
+    return F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1074)), F.lit(1024)).cast("int")
+
+
 def _exponent(size: Column, guess: Column) -> Column:
     """The logarithm's guess, put right where rounding took it past a power of two."""
     up = F.pow(F.lit(2.0), guess)
@@ -91,7 +95,7 @@ def double_bits(value: Column) -> Column:
     """The 64 bits of a double as a signed number, by arithmetic: sign, exponent, mantissa. (-0.0 counts as 0.0.)"""
     return let(
         value.cast("double"),
-        lambda v: let(_exponent(F.abs(v), F.floor(F.log2(F.abs(v))).cast("int")), lambda e: _bits(v, e)),
+        lambda v: let(_exponent(F.abs(v), _guessed(F.abs(v))), lambda e: _bits(v, e)),
     )
 
 
@@ -100,7 +104,7 @@ def with_double_bits(rows: DataFrame, names: list[str]) -> DataFrame:
     if not names:
         return rows
     keep = rows.columns
-    first = rows.select(*keep, *[F.floor(F.log2(F.abs(n))).cast("int").alias(f"_guess_{n}") for n in names])
+    first = rows.select(*keep, *[_guessed(F.abs(n)).alias(f"_guess_{n}") for n in names])
     second = first.select(*keep, *[_exponent(F.abs(n), F.col(f"_guess_{n}")).alias(f"_exponent_{n}") for n in names])
     return second.select(*keep, *[_bits(F.col(n), F.col(f"_exponent_{n}")).alias(f"_bits_{n}") for n in names])
 

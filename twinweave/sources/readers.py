@@ -108,25 +108,59 @@ def xml_objects(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(has("_name").alias("name"), has("_xsi:type").alias("type"), F.split(has("_eSuperTypes"), " ").alias("super_types"))
 
 
-#: One line of an estimation log, e.g. ``[EClass] cos t=0.65 TPR=0.94 FPR=0.12 Prec=0.91 Acc=0.93 F2=0.94``.
-ESTIMATION = r"\[(\w+)\]\s+(\w+)\s+t=([\d.]+)\s+TPR=([\d.]+)\s+FPR=([\d.]+)\s+Prec=([\d.]+)\s+Acc=([\d.]+)\s+F2=([\d.]+)"
-#: One line of a comparison log, e.g. ``edits=12 diffs=3 total=240``.
-COMPARISON = r"edits=(\d+)\s+diffs=(\d+)\s+total=(\d+)"
+#: Fixed formats of evaluation logs: the lines of an estimation (by a code's hash and similarity, or by word sets),
+#: the line of a comparison's run, and the two lines of its summary.
+_NUMBER = r"(\d+\.\d+)"
+_SCORES = "    ".join(f"{x}={_NUMBER}" for x in ("threshold", "TPR", "FPR", "Prec", "Recall", "Acc", "F2"))
+ESTIMATION = rf"^\[([^\]]+)\]    \[(\w+?)(?:_(\w+))?\]    {_SCORES}$"
+RUN = r"^\w+\s\[numOfEdits=(\d+),.+\sdiffs=(\d+),\stotal=(\d+),\scriticalMiss=(\d+)\]$"
+TIMES = r"^Time:    Avg\(\w+\)=([.0-9]+)    Avg\(\w+\)=([.0-9]+)$"
+RATES = r"^Diff Rate:    Total=([.0-9]+)%    Critical=([.0-9]+)%$"
+SUMMARY, CONFIG = "[SUMMARY]", "[CONFIG]"
 
 
 def _fields(line: str, shape: str, names: dict[str, str]) -> list[Column]:
     return [F.regexp_extract(line, shape, k).cast(t).alias(n) for k, (n, t) in enumerate(names.items(), 1)]
 
 
+def _others(lines: DataFrame, column: str) -> list[str]:
+    return [c for c in lines.columns if c != column]
+
+
+def log_lines(files: DataFrame, column: str = "value", place: str = "line") -> DataFrame:
+    """The lines of whole log files with their place, and whether they lie in the summary (up to the configuration)."""
+    lines = F.split(column, "\r?\n")
+    first = F.coalesce(F.array_position(F.transform(lines, lambda x: x.contains(SUMMARY)), True), F.lit(0))
+    last = F.array_position(F.transform(lines, lambda x: x.contains(CONFIG)), True)
+    upto = F.when(last > 0, last).otherwise(F.size(lines) + 1)
+    marked = files.select(*_others(files, column), first.alias("_first"), upto.alias("_upto"), F.posexplode(lines).alias(place, column))
+    inside = (F.col("_first") > 0) & (F.col(place) + 1 > F.col("_first")) & (F.col(place) + 1 < F.col("_upto"))
+    return marked.withColumn("in_summary", inside).drop("_first", "_upto")
+
+
 def estimations(lines: DataFrame, column: str = "value") -> DataFrame:
-    names = dict.fromkeys(("threshold", "tpr", "fpr", "prec", "acc", "f2"), "double")
-    fields = _fields(column, ESTIMATION, {"type": "string", "method": "string", **names})
-    return lines.filter(F.col(column).rlike(ESTIMATION)).select(*fields)
+    """(type, hash, sim, threshold, tpr, fpr, prec, recall, acc, f2); word sets have hash OHR and sim Jac."""
+    names = dict.fromkeys(("threshold", "tpr", "fpr", "prec", "recall", "acc", "f2"), "double")
+    found = lines.filter(F.col(column).rlike(ESTIMATION)).select(
+        *_others(lines, column), *_fields(column, ESTIMATION, {"type": "string", "hash": "string", "sim": "string", **names})
+    )
+    words = F.col("hash") == "OneHot"
+    found = found.withColumn("sim", F.when(words, "Jac").otherwise(F.col("sim")))
+    return found.withColumn("hash", F.when(words, "OHR").otherwise(F.col("hash"))).filter("sim <> ''")
 
 
 def comparisons(lines: DataFrame, column: str = "value") -> DataFrame:
-    fields = _fields(column, COMPARISON, {"edits": "long", "diffs": "long", "total": "long"})
-    return lines.filter(F.col(column).rlike(COMPARISON)).select(*[c for c in lines.columns if c != column], *fields)
+    """(edits, diffs, total, critical) of each run."""
+    fields = _fields(column, RUN, dict.fromkeys(("edits", "diffs", "total", "critical"), "long"))
+    return lines.filter(F.col(column).rlike(RUN)).select(*_others(lines, column), *fields)
+
+
+def summaries(lines: DataFrame, by: list[str], column: str = "value") -> DataFrame:
+    """(own_time, base_time, diff_rate, critical_rate) of each log's summary."""
+    cells = {"own_time": (TIMES, 1), "base_time": (TIMES, 2), "diff_rate": (RATES, 1), "critical_rate": (RATES, 2)}
+    inside = lines.filter("in_summary")
+    values = [F.max(F.when(F.col(column).rlike(shape), F.regexp_extract(column, shape, k)).cast("double")).alias(name) for name, (shape, k) in cells.items()]
+    return inside.groupBy(*by).agg(*values)
 
 
 def models_in(spark: SparkSession, folder: str, pattern: str = "*.xmi") -> DataFrame:
