@@ -203,6 +203,7 @@ def test_api(spark):
     right = spark.createDataFrame([(11, "EClass", "Customers", "b"), (12, "EClass", "Zebra", "b"), (13, "EEnum", "Color", "b")], schema)
     got = {(r.left_id, r.right_id) for r in api.match(left, right, {"name": 50.0}, ["box"]).collect()}
     assert got == {(1, 11), (2, None), (3, 13), (None, 12)}
+    assert {(r.left_id, r.right_id) for r in api.match(left, right, {"name": 50.0}).collect()} == got
     three = api.match(left, right, {"name": 50.0}, ["box"], origin=left.withColumn("id", F.col("id") + 100)).collect()
     assert {(r.left_id, r.right_id, r.origin_id) for r in three} == {(1, 11, 101), (2, None, 102), (3, 13, 103), (None, 12, None)}
 

@@ -22,18 +22,18 @@ def match(
     left: DataFrame,
     right: DataFrame,
     features: dict[str, float],
-    block: list[str],
+    block: list[str] | None = None,
     thresholds: DataFrame | None = None,
     origin: DataFrame | None = None,
 ) -> DataFrame:
     """(left_id, right_id[, origin_id]) of objects with id, type, the weighted text features and block columns.
 
-    Candidates share type and block columns and reach their type's code similarity; pairs that are each
-    other's nearest by weighted text distance match, the rest stays one-sided. With an origin, its objects
+    Candidates share their type (and the block columns, if any are named) and reach their type's code
+    similarity; pairs that are each other's nearest by weighted text distance match, the rest stays one-sided. With an origin, its objects
     are matched to the left ones likewise.
     """
     spark = left.sparkSession
-    names = list(features)
+    names, block = list(features), block or []
     limits = thresholds if thresholds is not None else readers.built_in_thresholds(spark)
     l, r = code_objects(left, names), code_objects(right, names)
     pairs = _candidates(l, r, features, block, limits)
