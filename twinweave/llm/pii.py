@@ -78,7 +78,8 @@ PATTERN = "|".join(
         # telephone
         r"(?<![\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
         r"(?<![\p{N}])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)",
-        # groups of digits that may hold cards
+        # a number as long as a card's, and groups of digits that may hold cards
+        r"(?<![\p{N}])\d{13,19}(?![\p{N}])",
         r"(?<![\p{N}])\d(?:[ -]?\d){12,}+(?![\p{N}])",
     )
 )
