@@ -34,8 +34,13 @@ WIDTH = 5
 SAMPLE = 8
 #: Shingles that come last in the order: the most frequent ones, 1 MB for each worker.
 HOT = 1 << 17
-#: Pairs for each row of a key up to which all pairs are listed at once.
-MANY = 2
+#: Pairs for each row of a key up to which all pairs are listed at once. A round costs a pass over the texts, a
+#: pair under a key about a microsecond.
+MANY = 50
+#: The share of the pairs that a round must settle for another one to follow.
+WORTH = 0.25
+#: Hashes of the sets that are compared in one place (16 MB), and what a set counts beside its own.
+LOT, NODE = 1 << 21, 1000
 #: Words of 64 parities for each set.
 PARITIES = 8
 
@@ -118,8 +123,48 @@ def _possible(met: DataFrame) -> DataFrame:
     return near.select(a, b, F.when(turned, n).otherwise(m).alias("m"), F.when(turned, m).otherwise(n).alias("n")).distinct()
 
 
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A forest of those pairs (a, b) that are alike, for each task's pairs.
+
+    Pairs that hang together are compared in one place, so that a set is sent once and not with each of its
+    pairs; what is heavier than LOT is cut into chunks that meet in twos, and a set goes where it has a pair.
+    """
+    label = written(components(pairs), "labels")
+    weights = sets.select("node", (F.size("hashes") + NODE).cast("long").alias("w")).join(label, "node")
+    heavy = weights.groupBy("component").agg(F.ceil(F.sum("w") / LOT).cast("int").alias("chunks")).filter("chunks > 1")
+    places = max(1, -(-(weights.agg(F.sum("w")).first()[0] or 0) // LOT))
+    own = pairs.join(label, pairs.a == label.node).join(heavy, "component", "left")
+    chunk_a, chunk_b = (F.coalesce(F.pmod(F.xxhash64(c), F.col("chunks")).cast("int"), F.lit(0)) for c in "ab")
+    home = F.when(F.col("chunks").isNull(), F.pmod(F.xxhash64("component"), F.lit(places))).otherwise(F.col("component"))
+    keys = ["home", "c1", "c2"]
+    dealt = written(own.select("a", "b", home.alias("home"), F.least(chunk_a, chunk_b).alias("c1"), F.greatest(chunk_a, chunk_b).alias("c2")), "dealt")
+    places_of = [F.col(c).alias(f"to_{c}") for c in keys]
+    sent = dealt.select(*places_of, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+
+    def compare(found: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        hashes, parent, out = dict(zip(held.node, held.hashes, strict=True)), {}, []
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for a, b in zip(found.a.tolist(), found.b.tolist(), strict=True):
+            if (x := root(a)) == (y := root(b)):
+                continue
+            m, n = hashes[a], hashes[b]
+            if 9 * len(np.intersect1d(m, n, assume_unique=True)) >= 4 * (len(m) + len(n)):
+                parent[x] = y
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    found = written(dealt.groupBy(*keys).cogroup(sent.groupBy(*[f"to_{c}" for c in keys])).applyInPandas(compare, "a long, b long"), "alike")
+    removed(label, dealt)
+    return found
+
+
 def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are alike by their whole sets, written."""
+    """Of the pairs (a, b) a forest of those that are alike by their whole sets, written."""
 
     def make(found: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
         return pd.DataFrame({"node": found, "odd": [parities(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
@@ -136,9 +181,9 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     for k in range(PARITIES):
         apart = apart + F.bit_count(F.col("a_odd")[k].bitwiseXOR(F.col("b_odd")[k]))
     near = pairs.join(of("a", "odd"), "a").join(of("b", "odd"), "b").filter(9 * apart <= F.col("m") + F.col("n"))
-    both = near.select("a", "b", "m", "n").join(of("a", "hashes"), "a").join(of("b", "hashes"), "b")
-    common = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    found = written(both.filter(_alike(common, F.col("m"), F.col("n"))).select("a", "b"), "links")
+    near = written(near.select("a", "b"), "near")
+    found = _compared(near, few.select("node", "hashes"))
+    removed(near)
     removed(pairs, few)
     shuffles_released(docs.sparkSession)
     return found
@@ -149,7 +194,8 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
 
     nodes: (node, n, first), first being one of its documents (doc_id, text_hash). found: pairs that may be alike.
     Pairs of nodes already in one component needn't be looked at. While many pairs are left, one node of each
-    key is compared with the key's others, which joins large classes by as many pairs as they have members.
+    key is compared with the key's others, which joins large classes by as many pairs as they have members; what such
+    rounds can't settle are pairs that aren't alike.
     """
     sizes = nodes.select("node", "n")
     a, b = (sizes.select(F.col("node").alias(x), F.col("n").alias(y)) for x, y in (("a", "m"), ("b", "n")))
@@ -165,19 +211,20 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
         several = rows.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("key")
         return written(rows.join(several, "key", "left_semi"), "placed")
 
-    placed, rounds, linked = labelled(), 0, -1
+    placed, rounds, before = labelled(), 0, None
     while True:
         parts = placed.groupBy("key", "comp").agg(F.count("*").cast("double").alias("k"))
         sizes = parts.groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
         state = sizes.agg(F.sum("s").alias("rows"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("rest")).first()
-        if (state.rest or 0) <= MANY * (state.rows or 0) or linked == 0:
+        rest = state.rest or 0
+        if rest <= MANY * (state.rows or 0) or (before is not None and rest > (1 - WORTH) * before):
             break
+        before = rest
         hub = F.min_by(F.struct("node", "n", "place", "comp"), F.xxhash64("node", F.lit(rounds))).alias("hub")
         hubs = placed.groupBy("key").agg(hub).select("key", "hub.*")
         one = _side(hubs, "a", "key").join(_side(placed, "b", "key"), "key").filter("a_comp <> b_comp")
         more = _counted(docs, nodes, _possible(one))
-        linked, rounds = more.count(), rounds + 1
-        edges, last = edges.unionByName(more), placed
+        rounds, edges, last = rounds + 1, edges.unionByName(more), placed
         placed = labelled()
         removed(last)
         shuffles_released(docs.sparkSession)
