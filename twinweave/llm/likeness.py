@@ -170,12 +170,15 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"node": found, "odd": [parities(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
 
     pairs = written(pairs, "pairs")
+    shuffles_released(docs.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = nodes.join(ends, "node", "left_semi").select("first.*")
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    texts = own.join(ids, ["doc_id", "text_hash"], "left_semi")
-    few = written(_read(texts, make, "node long, odd array<long>, hashes array<long>").dropDuplicates(["node"]), "ends")
+    # repeated rows go before their sets are made: the join has brought them together, and no set is moved for it
+    texts = own.join(ids, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    few = written(_read(texts, make, "node long, odd array<long>, hashes array<long>"), "ends")
+    shuffles_released(docs.sparkSession)
     of = lambda side, c: few.select(F.col("node").alias(side), F.col(c).alias(f"{side}_{c}"))
     apart = F.lit(0)
     for k in range(PARITIES):
@@ -203,6 +206,7 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     own = Window.partitionBy("key")
     keys = _keys(docs, _hot(docs)).withColumn("low", F.min("node").over(own)).withColumn("high", F.max("node").over(own))
     met = written(keys.filter("low < high").drop("low", "high").dropDuplicates(["key", "node"]), "met")
+    shuffles_released(docs.sparkSession)
 
     def labelled() -> DataFrame:
         """The rows of the keys whose nodes aren't all in one component, with their component."""
