@@ -102,8 +102,8 @@ def _learn_all(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """From (doc_id, text, toxic): the coordinates that aren't zero, their weights, and the bias."""
-    whole = labelled.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    """From (doc_id, text, toxic, n_bytes): the coordinates that aren't zero, their weights, and the bias."""
+    whole = labelled.agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes")).first()
     share = min(1.0, TRAINING_ROWS / max(1, whole.rows), TRAINING_BYTES / max(1, whole.bytes or 0))
     sample = labelled.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
@@ -143,10 +143,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Colum
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows to learn from: labelled documents outside the held-out fold."""
+    """The rows to learn from: labelled documents outside the held-out fold.
+
+    n_bytes is taken before the join, so that adding it up moves no text.
+    """
     known = labels.filter("toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), "toxic")
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(fold(F.col("doc_id"), 3) != 1)
-    return own.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("n_bytes")).filter(fold(F.col("doc_id"), 3) != 1)
+    return own.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "n_bytes")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
