@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from twinweave.llm import (
+    best_fit,
     chat,
     decontaminate,
     html_text,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_sharding": sharding.query,
     "op10_sketch": sketch.query,
+    "op13_best_fit": best_fit.query,
 }
 
 #: Those that SQL can express; the others are tested against brute force in tests/llm.
