@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from twinweave.llm import (
+    ball_tree,
     best_fit,
     chat,
+    collocations,
     decontaminate,
     html_text,
     lattice_lm,
@@ -27,8 +29,10 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_sharding": sharding.query,
     "op10_sketch": sketch.query,
+    "op11_ball_tree": ball_tree.query,
+    "op12_collocations": collocations.query,
     "op13_best_fit": best_fit.query,
 }
 
 #: Those that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES = {"op2_chat": chat.ORACLE_SQL}
+ORACLES = {"op2_chat": chat.ORACLE_SQL, "op11_ball_tree": ball_tree.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
