@@ -81,6 +81,8 @@ class Tree:
         leaf = max(leaf, -(-2 * rows * width // CENTROIDS))
         real = values.astype(np.float64)
         squares = np.add.reduceat(real * real, starts[:-1]) if rows else np.zeros(0)
+        by_row = np.lexsort((-real, np.repeat(np.arange(rows), np.diff(starts))))
+        heaviest = columns[by_row[starts[:-1]]]
         self.leaves: dict[int, np.ndarray] = {}
         self.children: dict[int, tuple[int, int]] = {}
         centroids, radii = [], []
@@ -107,8 +109,9 @@ class Tree:
             side = 2 * np.add.reduceat(vals * (pole - other)[cols], first) - (pole @ pole - other @ other)
             near, few = side > 0, max(1, len(own) // 16)
             if not few <= near.sum() <= len(own) - few:
+                # most rows are as far from both: rows with one heaviest column stay together
                 near = np.zeros(len(own), dtype=bool)
-                near[np.argsort(side, kind="stable")[len(own) // 2 :]] = True
+                near[np.argsort(heaviest[own], kind="stable")[len(own) // 2 :]] = True
             self.children[node] = ()
             todo += [(own[near], node), (own[~near], node)]
         self.centroids = np.array(centroids).reshape(-1, width)
