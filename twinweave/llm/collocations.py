@@ -8,8 +8,8 @@ away at least as many occurrences as it has counters and one more for each unit
 loses the threshold, and every phrase that has it survives. Hashes that meet can only add survivors.
 
 Each partition answers every chunk with those of the chunk's own hashes that survived. Second pass: each chunk,
-joined with its answers, counts the surviving phrases by their words; the sums over the chunks are exact. Neither
-survivors nor counts go to the driver or to all workers.
+joined with its answers, counts the surviving phrases by their words, and a phrase's partition adds up the counts of
+all chunks, which are exact. Neither survivors nor counts go to the driver or to all workers.
 
 A part of a frequent phrase is itself as frequent, so all that the scores need is among the exact counts.
 
@@ -19,6 +19,7 @@ the phrase's bytes; a very long text is cut where its pieces end; an empty table
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +37,9 @@ WIDTH = 5
 #: What a phrase's count must reach, and how many phrases of each language are listed.
 THRESHOLD, LISTED = 100, 2000
 #: Bytes of text in a chunk, occurrences in a hash partition, and counts merged at once.
-CHUNK_BYTES, PART_MASS, MERGED = 8_000_000, 4_000_000, 1_000_000
+CHUNK_BYTES, PART_MASS, MERGED = 4_000_000, 4_000_000, 1_000_000
 #: Hash partitions that one task counts, one after the other.
-TASK_PARTS = 4
+TASK_PARTS = 2
 #: Bits of a hash within its partition.
 KEY_BITS = 40
 #: Keys in one row of a summary.
@@ -264,27 +265,30 @@ def _answers(threshold: int):
 
 
 def _exact(parts: int):
-    """From chunks with their answers: (lang, phrase, n); a null phrase has the number of all words."""
+    """From chunks with their answers: (part, lang, phrases, counts), the chunk's surviving phrases by their partition;
+    a null phrase has the number of all words."""
 
-    def counts_of(row: dict) -> pd.DataFrame:
+    def counts_of(row: dict) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
         ids, langs, of_lang, words = opened(row)
-        text = [w.decode("utf-8", "surrogatepass") for w in words]
-        name = np.array([None, *text], dtype=object)
-        language = np.array(["", *(langs[k] for k in of_lang.tolist())], dtype=object)
+        name = np.array([None, *(w.decode("utf-8", "surrogatepass") for w in words)], dtype=object)
+        language = np.r_[-1, of_lang]
         mine = np.sort(np.concatenate([unpacked(x) for x in row["found"]])) if len(row["found"]) else np.zeros(0, np.uint64)
         totals = np.bincount(of_lang, np.bincount(ids, minlength=len(name))[1:], len(langs)).astype(np.int64)
-        out = [(np.array(langs, dtype=object), np.full(len(langs), None, dtype=object), totals)]
+        for lang, total in zip(langs, totals.tolist(), strict=True):
+            yield 0, lang, [None], [total]
         # a number for the phrase of n words that begins at each place, from those of n - 1; 0 if none survived
-        code, phrase, lang = np.zeros(len(ids), dtype=np.int64), None, None
+        code, phrase, lang, found = np.zeros(len(ids), dtype=np.int64), None, None, []
         for n, (at, hashes) in enumerate(phrase_hashes(ids, word_hashes(langs, of_lang, words), parts), 1):
-            place = np.searchsorted(mine, hashes)
-            at = at[mine[np.minimum(place, len(mine) - 1)] == hashes] if len(mine) else at[:0]
+            place = np.minimum(np.searchsorted(mine, hashes), len(mine) - 1)
+            kept = mine[place] == hashes if len(mine) else np.zeros(len(at), dtype=bool)
+            at, part = at[kept], (hashes[kept] >> np.uint64(KEY_BITS)).astype(np.int64)
             if n == 1:
                 pair = ids[at]
             else:
-                at = at[code[at] > 0]
+                known = code[at] > 0
+                at, part = at[known], part[known]
                 pair = code[at] * len(name) + ids[at + n - 1]
-            distinct, own, times = np.unique(pair, return_inverse=True, return_counts=True)
+            distinct, first, own, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
             if not len(distinct):
                 break
             if n == 1:
@@ -292,18 +296,43 @@ def _exact(parts: int):
             else:
                 before, last = np.divmod(distinct, len(name))
                 phrase, lang = phrase[before - 1] + " " + name[last], lang[before - 1]
-            out.append((lang, phrase, times))
+            found.append((part[first], lang, phrase, times))
             code[:] = 0
             code[at] = own + 1
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pd.DataFrame(dict(zip(("lang", "phrase", "n"), columns, strict=True)))
+        if found:
+            part, lang, phrase, times = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((lang, part))
+            part, lang, phrase, times = part[order], lang[order], phrase[order], times[order]
+            begin = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])])
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True):
+                yield int(part[a]), langs[lang[a]], phrase[a:b], times[a:b]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.to_dict("records"):
-                found = counts_of(row)
-                for k in range(0, len(found), 10_000):
-                    yield found.iloc[k : k + 10_000]
+                yield pd.DataFrame(list(counts_of(row)), columns=["part", "lang", "phrases", "counts"])
+
+    return run
+
+
+def _added(threshold: int):
+    """From the exact counts of each partition, which follow each other: (lang, phrase, n) of those that reach the
+    threshold, and of null phrases. A partition has no more phrases than its summary had counters."""
+
+    def reaching(sums: Counter) -> pd.DataFrame:
+        rows = [(lang, phrase, n) for (lang, phrase), n in sums.items() if phrase is None or n >= threshold]
+        return pd.DataFrame(rows, columns=["lang", "phrase", "n"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums = None, Counter()
+        for frame in frames:
+            for part, lang, phrases, counts in frame.itertuples(index=False):
+                if part != now:
+                    yield reaching(sums)
+                    now, sums = part, Counter()
+                for phrase, n in zip(phrases, counts.tolist(), strict=True):
+                    sums[lang, phrase] += n
+        yield reaching(sums)
 
     return run
 
@@ -319,8 +348,9 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # a chunk gets no more hashes than it sent
     answered = answers.groupBy("chunk").agg(F.collect_list("found").alias("found"))
     both = made.drop("mass").join(answered, "chunk", "left").withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
-    counts = both.mapInPandas(_exact(parts), "lang string, phrase string, n long")
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= threshold) | F.col("phrase").isNull())
+    counts = both.mapInPandas(_exact(parts), "part long, lang string, phrases array<string>, counts array<long>")
+    dealt = counts.repartition(-(-parts // TASK_PARTS), "part").sortWithinPartitions("part")
+    return dealt.mapInPandas(_added(threshold), "lang string, phrase string, n long")
 
 
 def _big(x: str | Column) -> Column:
