@@ -58,7 +58,7 @@ def made(spark, docs):
 
 @pytest.mark.parametrize("seed, threshold, listed", [(1, 5, 2000), (2, 12, 2000), (3, 2, 9)])
 def test_against_brute_force(spark, monkeypatch, seed, threshold, listed):
-    for name, value in (("CHUNK_BYTES", 700), ("PART_MASS", 900), ("MERGED", 50), ("ROW_KEYS", 7)):
+    for name, value in (("CHUNK_BYTES", 700), ("PART_MASS", 900), ("MERGED", 50), ("ROW_KEYS", 7), ("HELD", 30)):
         monkeypatch.setattr(collocations, name, value)
     docs = random_docs(seed)
     assert rows_of(collocations.ranked(made(spark, docs), threshold, listed)) == brute(docs, threshold, listed)
@@ -105,6 +105,11 @@ def test_packed_numbers():
         assert collocations.unpacked(collocations.packed(np.array(values, np.uint64))).tolist() == values
 
 
+def test_packed_text():
+    for lines in ([""], ["a b", "é 日本"], ["x"] * 1000):
+        assert collocations.unpacked_text(collocations.packed_text(lines)) == lines
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()

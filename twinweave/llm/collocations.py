@@ -19,7 +19,7 @@ the phrase's bytes; a very long text is cut where its pieces end; an empty table
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +44,8 @@ TASK_PARTS = 2
 KEY_BITS = 40
 #: Keys in one row of a summary.
 ROW_KEYS = 50_000
+#: Counted phrases that a task of the second pass holds before it sends them.
+HELD = 200_000
 #: Groups into which a language's phrases are dealt before the last step of the ranking.
 SPREAD = 64
 
@@ -64,6 +66,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).reshape(-1).view("<u8")
 
 
+def packed_text(lines: list[str]) -> bytes:
+    """Lines that hold no line end."""
+    raw = "\n".join(lines).encode("utf-8", "surrogatepass")
+    return np.array([len(raw)], "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked_text(data: bytes) -> list[str]:
+    size = int(np.frombuffer(data[:8], "<u8")[0])
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+
+
 class Chunk:
     """Texts as word numbers: 0 where a piece ends, the others stand for a word of a language."""
 
@@ -265,8 +278,8 @@ def _answers(threshold: int):
 
 
 def _exact(parts: int):
-    """From chunks with their answers: (part, lang, phrases, counts), the chunk's surviving phrases by their partition;
-    a null phrase has the number of all words."""
+    """From chunks with their answers: (part, lang, phrases, counts), the surviving phrases of a task's chunks by their
+    partition; the empty phrase has the number of all words."""
 
     def counts_of(row: dict) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
         ids, langs, of_lang, words = opened(row)
@@ -275,7 +288,7 @@ def _exact(parts: int):
         mine = np.sort(np.concatenate([unpacked(x) for x in row["found"]])) if len(row["found"]) else np.zeros(0, np.uint64)
         totals = np.bincount(of_lang, np.bincount(ids, minlength=len(name))[1:], len(langs)).astype(np.int64)
         for lang, total in zip(langs, totals.tolist(), strict=True):
-            yield 0, lang, [None], [total]
+            yield 0, lang, [""], [total]
         # a number for the phrase of n words that begins at each place, from those of n - 1; 0 if none survived
         code, phrase, lang, found = np.zeros(len(ids), dtype=np.int64), None, None, []
         for n, (at, hashes) in enumerate(phrase_hashes(ids, word_hashes(langs, of_lang, words), parts), 1):
@@ -305,12 +318,27 @@ def _exact(parts: int):
             part, lang, phrase, times = part[order], lang[order], phrase[order], times[order]
             begin = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])])
             for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)], strict=True):
-                yield int(part[a]), langs[lang[a]], phrase[a:b], times[a:b]
+                yield int(part[a]), langs[lang[a]], phrase[a:b], times[a:b].tolist()
+
+    def sent(sums: dict[tuple[int, str], Counter]) -> pd.DataFrame:
+        rows = []
+        for (part, lang), own in sums.items():
+            phrases = sorted(own)
+            rows.append((part, lang, packed_text(phrases), packed(np.array([own[x] for x in phrases]))))
+        return pd.DataFrame(rows, columns=["part", "lang", "phrases", "counts"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, str], Counter] = defaultdict(Counter)
         for frame in frames:
             for row in frame.to_dict("records"):
-                yield pd.DataFrame(list(counts_of(row)), columns=["part", "lang", "phrases", "counts"])
+                for part, lang, phrases, counts in counts_of(row):
+                    own = sums[part, lang]
+                    for phrase, n in zip(phrases, counts, strict=True):
+                        own[phrase] += n
+                if sum(map(len, sums.values())) >= HELD:
+                    yield sent(sums)
+                    sums.clear()
+        yield sent(sums)
 
     return run
 
@@ -320,7 +348,7 @@ def _added(threshold: int):
     threshold, and of null phrases. A partition has no more phrases than its summary had counters."""
 
     def reaching(sums: Counter) -> pd.DataFrame:
-        rows = [(lang, phrase, n) for (lang, phrase), n in sums.items() if phrase is None or n >= threshold]
+        rows = [(lang, phrase or None, n) for (lang, phrase), n in sums.items() if not phrase or n >= threshold]
         return pd.DataFrame(rows, columns=["lang", "phrase", "n"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,7 +358,7 @@ def _added(threshold: int):
                 if part != now:
                     yield reaching(sums)
                     now, sums = part, Counter()
-                for phrase, n in zip(phrases, counts.tolist(), strict=True):
+                for phrase, n in zip(unpacked_text(phrases), unpacked(counts).tolist(), strict=True):
                     sums[lang, phrase] += n
         yield reaching(sums)
 
@@ -348,7 +376,7 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # a chunk gets no more hashes than it sent
     answered = answers.groupBy("chunk").agg(F.collect_list("found").alias("found"))
     both = made.drop("mass").join(answered, "chunk", "left").withColumn("found", F.coalesce("found", F.array().cast("array<binary>")))
-    counts = both.mapInPandas(_exact(parts), "part long, lang string, phrases array<string>, counts array<long>")
+    counts = both.mapInPandas(_exact(parts), "part long, lang string, phrases binary, counts binary")
     dealt = counts.repartition(-(-parts // TASK_PARTS), "part").sortWithinPartitions("part")
     return dealt.mapInPandas(_added(threshold), "lang string, phrase string, n long")
 
