@@ -90,15 +90,6 @@ def test_nearest_and_walk_against_all_pairs(spark):
     pairs = nearest.name_pairs(left, right)
     got = {x.left_id: (x.dist, x.right_id) for x in nearest.best_matches(left, right, pairs).collect()}
     assert got == {i: min((d, j) for (k, j), d in dist.items() if k == i) for i, _ in dist}
-    want, free = set(), {k: d for k, d in dist.items() if d <= 0.5}
-    while free:
-        back = {j: min((d, i) for (i, k), d in free.items() if k == j)[1] for _, j in free}
-        now = {i: min((free[i, j], j) for j, b in back.items() if b == i)[1] for i in set(back.values())}
-        want |= set(now.items())
-        free = {(i, j): d for (i, j), d in free.items() if i not in now and j not in now.values()}
-    assert {(x.left_id, x.right_id) for x in nearest.walked(left, right, pairs).collect()} == want
-    own = spark.createDataFrame([(i, j, d) for (i, j), d in dist.items() if d <= 0.5], "left_id long, right_id long, dist double")
-    assert {tuple(x) for x in matchloop.walk(own).collect()} == want
 
 
 def test_code_joins_prune(spark):
@@ -185,9 +176,10 @@ def test_xml_and_sinks(spark, tmp_path):
         '<eClassifiers xsi:type="EDataType" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" name="T"/></EPackage>'
     )
     (tmp_path / "m.ecore").write_text(xml)
-    rows = {r.name: r for r in api.read_objects(spark, str(tmp_path / "m.ecore")).collect()}
-    assert set(rows) == {"A", "T"} and rows["A"].super_types == ["#//B", "//Gone"]
-    assert readers.models_in(spark, str(tmp_path), "*.ecore").count() == 1
+    rows = {r.name: r.type for r in api.read_objects(spark, str(tmp_path / "m.ecore")).collect()}
+    assert rows == {"p": "EPackage", "A": "EClass", "T": "EDataType"}
+    (text,) = readers.models_in(spark, str(tmp_path), "*.ecore").collect()
+    assert text.value == xml
     matches = spark.createDataFrame([(1, 2), (3, None)], "left_id long, right_id long")
     sinks.write_text(matches, str(tmp_path / "t"))
     assert {r.value for r in spark.read.text(str(tmp_path / "t")).collect()} == {"1 <-> 2", "3 <-> -"}

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinweave.functions import kernels, similarity
-from twinweave.operators import matching
-from twinweave.sources import readers
+from twinweave.functions import kernels
+from twinweave.operators import joins, matching, walk
+from twinweave.sources import models, readers
+from twinweave.storage import written
 
 
 def code_objects(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -29,42 +30,47 @@ def match(
     """(left_id, right_id[, origin_id]) of objects with id, type, the weighted text features and block columns.
 
     Candidates share their type (and the block columns, if any are named) and reach their type's code
-    similarity; pairs that are each other's nearest by weighted text distance match, the rest stays one-sided. With an origin, its objects
-    are matched to the left ones likewise.
+    similarity. Each object takes the first of its candidates, the nearest by weighted text distance first, whose own
+    nearest it is; matched ones leave, and the rest goes on to the end. With an origin, left objects are matched to it
+    likewise, then what is left of right and origin to each other. Every object is in one row. A null feature
+    is an empty text, a null block value is like another null one.
     """
-    spark = left.sparkSession
     names, block = list(features), block or []
-    limits = thresholds if thresholds is not None else readers.built_in_thresholds(spark)
-    l, r = code_objects(left, names), code_objects(right, names)
-    pairs = _candidates(l, r, features, block, limits)
-    out = matching.completed(matching.mutual_best(pairs), l, r)
-    if origin is None:
-        return out
-    o = code_objects(origin, names)
-    base = matching.mutual_best(_candidates(l, o, features, block, limits)).select(
-        F.col("left_id").alias("_left"), F.col("right_id").alias("origin_id")
-    )
-    both = out.join(base, F.col("left_id") == F.col("_left"), "left").drop("_left")
-    rest = o.select(F.col("id").alias("origin_id")).join(base.select("origin_id"), "origin_id", "left_anti")
-    none = F.lit(None).cast("long")
-    return both.unionByName(rest.select(none.alias("left_id"), none.alias("right_id"), "origin_id"))
+    limits = thresholds if thresholds is not None else readers.built_in_thresholds(left.sparkSession)
+    limits = written(limits.groupBy("type").agg(F.max("min_sim").alias("min_sim")), "thresholds")
+    keys = ["type", *block]
 
+    def side(rows: DataFrame) -> DataFrame:
+        texts = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in names]
+        return written(code_objects(rows.select("id", *keys, *texts), names), "side")
 
-def _candidates(l: DataFrame, r: DataFrame, features: dict[str, float], block: list[str], limits: DataFrame) -> DataFrame:
-    keys = ["type", *block]
-    own = lambda d, side: d.select(*keys, F.col("id").alias(f"{side}_id"), F.col("code").alias(f"{side}_code"),
-                                   *[F.col(f).cast("string").alias(f"{side}_{f}") for f in features])
-    met = readers.with_threshold(own(l, "left").join(own(r, "right"), keys), limits)
-    near = met.filter(similarity.cosine(F.col("left_code"), F.col("right_code")) >= F.col("min_sim"))
-    parts = [
-        (matching.text_distance(F.coalesce(f"left_{f}", F.lit("")), F.coalesce(f"right_{f}", F.lit(""))), weight)
-        for f, weight in features.items()
-    ]
-    return near.select("left_id", "right_id", matching.weighted_distance(parts).alias("dist"))
+    def find(l: DataFrame, r: DataFrame) -> DataFrame:
+        """The nearest left class of each right one, by pairs of similar codes."""
+        kind = walk.key_of(*keys)
+        codes = lambda d: d.select(F.to_json(kind).alias("type"), "code").distinct()
+        least = limits.agg(F.min("min_sim")).first()[0]
+        least = readers.DEFAULT_THRESHOLD if least is None else min(least, readers.DEFAULT_THRESHOLD)
+        near = joins.similar_codes(codes(l), codes(r), least).select(F.col("type").alias("_kind"), "left_code", "right_code", "sim")
+        own = lambda d, s: d.select(F.to_json(kind).alias("_kind"), *(["type"] if s == "right" else []),
+                                    *[F.col(c).alias(f"{s}_{c}") for c in ("code", "cls", *names)])
+        met = near.join(own(l, "left"), ["_kind", "left_code"]).join(own(r, "right"), ["_kind", "right_code"])
+        met = readers.with_threshold(met, limits).filter(F.col("sim") >= F.col("min_sim"))
+        parts = [(matching.text_distance(F.col(f"left_{f}"), F.col(f"right_{f}")), weight) for f, weight in features.items()]
+        dist = F.round(matching.weighted_distance(parts), 9)
+        best = met.withColumn("dist", dist).filter(F.col("dist") <= matching.TOO_FAR).groupBy("right_cls").agg(F.min(F.struct("dist", "left_cls")).alias("own"))
+        return best.select("own.left_cls", "right_cls", "own.dist")
+
+    def matched(a: DataFrame, b: DataFrame) -> DataFrame:
+        return written(walk.walk(a, b, (*keys, *names), find).select("left_id", "right_id"), "matches")
+
+    l, r = side(left), side(right)
+    if origin is None:
+        return matching.completed(matched(l, r), l, r)
+    return matching.three_sides(l, r, side(origin), matched)
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
-    """Objects from Parquet, or from an XML model by its suffix."""
+    """Objects from Parquet, or those of an XML model by its suffix."""
     if path.endswith((".xmi", ".ecore", ".uml")):
-        return readers.xml_objects(spark, path)
+        return models.load(spark, path).objects
     return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,22 @@ def completed(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return l.select("left_id", "right_id").unionByName(r.select(F.lit(None).cast("long").alias("left_id"), "right_id"))
 
 
+def three_sides(left: DataFrame, right: DataFrame, origin: DataFrame, matched: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(left_id, right_id, origin_id), every object in one row: left objects with their right and origin partners, then
+    what is left of both with each other. matched(a, b): (left_id, right_id) of two sides, a table that may be read often."""
+    to_right, to_origin = matched(left, right), matched(left, origin)
+    rest_r = right.join(to_right.select(F.col("right_id").alias("id")), "id", "left_anti")
+    rest_o = origin.join(to_origin.select(F.col("right_id").alias("id")), "id", "left_anti")
+    between = matched(rest_r, rest_o)
+    none = F.lit(None).cast("long")
+    l = left.select(F.col("id").alias("left_id")).join(to_right.select("left_id", "right_id"), "left_id", "left")
+    l = l.join(to_origin.select("left_id", F.col("right_id").alias("origin_id")), "left_id", "left")
+    r = rest_r.select(F.col("id").alias("right_id")).join(between.select(F.col("left_id").alias("right_id"), F.col("right_id").alias("origin_id")), "right_id", "left")
+    o = rest_o.select(F.col("id").alias("origin_id")).join(between.select(F.col("right_id").alias("origin_id")), "origin_id", "left_anti")
+    every = l.unionByName(r.withColumn("left_id", none)).unionByName(o.withColumn("left_id", none).withColumn("right_id", none))
+    return every.select("left_id", "right_id", "origin_id")
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per left object whether two match results differ on it."""
     x = a.select("left_id", F.col("right_id").alias("a_right"), F.lit(True).alias("in_a"))

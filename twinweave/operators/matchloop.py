@@ -2,84 +2,80 @@
 
 Objects have id, parent, text, code and number. A level takes the matches of the level above (left_id,
 right_id) and goes on with what is still unmatched, in three stages: identical objects under matched
-containers; under matched containers the nearest similar ones, by the candidate walk; identical objects
-whose containers don't match (they moved). Every stage is an equality join.
+containers; under matched containers the nearest similar ones, by the candidate walk to its end; identical objects
+whose containers don't match (they moved).
+
+No pair of objects is listed: the walk asks for each class of equal right objects only for the nearest left one. For that the
+left classes of a container are dealt in lists of some CHUNK, and a right class is compared with the lists of its
+container where it stands, so a large container is many tasks and each right class leaves a row for each list. (The
+comparisons within a container still grow with the product of its sides' classes that have no identical partner.)
+
+A null text is an empty one; a null number is like another null number and unlike any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinweave.functions import similarity
 from twinweave.operators import matching
-from twinweave.storage import removed, written
+from twinweave.operators.walk import identical, walk
+from twinweave.storage import written
 
 LEAST = 0.5
+#: Left classes of a container in one list.
+CHUNK = 256
 _IDS = ["left_id", "right_id"]
+_KEYS = ("text", "number")
 
 
 def _without(rows: DataFrame, done: DataFrame, side: str) -> DataFrame:
     return rows.join(done.select(F.col(f"{side}_id").alias("id")), "id", "left_anti")
 
 
-def identical(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-    """Objects with equal keys, code, text and number, the k-th of one side with the k-th of the other by id."""
-    same = [*keys, "code", "text", "number"]
-    ranked = lambda d, side: d.withColumn("k", F.row_number().over(Window.partitionBy(*same).orderBy("id"))).select(
-        *same, "k", F.col("id").alias(f"{side}_id"))
-    return ranked(left, "left").join(ranked(right, "right"), [*same, "k"]).select(*_IDS)
-
-
-def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, dist) of objects under matched containers with similar codes that aren't too far apart."""
-    own = lambda d, side: d.select("box", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "text", "code", "number")])
-    met = own(left, "left").join(own(right, "right"), "box")
-    near = met.filter(similarity.cosine(F.col("left_code"), F.col("right_code")) >= LEAST)
-    parts = [
-        (matching.text_distance(F.col("left_text"), F.col("right_text")), 50.0),
-        (matching.unlike(F.col("left_number"), F.col("right_number")), 10.0),
-    ]
-    dist = F.round(matching.weighted_distance(parts), 9)
-    return near.select(*_IDS, dist.alias("dist")).filter(F.col("dist") <= matching.TOO_FAR)
-
-
-def walk(found: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Each left object takes the first of its candidates, the nearest first, whose own nearest it is; then those
-    without a partner go on, until no one finds one, or for so many rounds."""
-    found, done, n = written(found, "candidates"), None, 0
-    while rounds is None or n < rounds:
-        now = written(matching.best(matching.best(found, "right_id", "left_id"), "left_id", "right_id").select(*_IDS), "matches")
-        if now.isEmpty():
-            removed(now)
-            break
-        done = now if done is None else done.unionByName(now)
-        last = found
-        found = found.join(now.select("left_id"), "left_id", "left_anti").join(now.select("right_id"), "right_id", "left_anti")
-        found, n = written(found, "candidates"), n + 1
-        removed(last)
-    return done if done is not None else found.select(*_IDS)
-
-
-def match_level(left: DataFrame, right: DataFrame, above: DataFrame, rounds: int | None = None) -> DataFrame:
+def plain(rows: DataFrame) -> DataFrame:
+    """With null texts as empty ones."""
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def nearest_in_box(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_cls, right_cls, dist): for each right class the nearest left one of its box whose code is similar and that isn't too far."""
+    sizes = left.groupBy("box").agg(F.count("*").alias("_classes"))
+    chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("_classes") / CHUNK))
+    lists = left.join(sizes, "box").groupBy("box", chunk.alias("_chunk")).agg(F.collect_list(F.struct("cls", "text", "code", "number")).alias("_lefts"))
+
+    def apart(x: Column) -> Column:
+        parts = [(matching.text_distance(x["text"], F.col("text")), 50.0), (matching.unlike(x["number"], F.col("number")), 10.0)]
+        return F.struct(F.round(matching.weighted_distance(parts), 9).alias("dist"), x["cls"].alias("left_cls"))
+
+    alike = F.filter("_lefts", lambda x: similarity.cosine(x["code"], F.col("code")) >= LEAST)
+    near = F.array_min(F.filter(F.transform(alike, apart), lambda x: x["dist"] <= matching.TOO_FAR))
+    found = right.join(lists, "box").select(F.col("cls").alias("right_cls"), near.alias("_near")).filter(F.col("_near").isNotNull())
+    best = found.groupBy("right_cls").agg(F.min("_near").alias("_near"))
+    return best.select("_near.left_cls", "right_cls", "_near.dist")
+
+
+def match_level(left: DataFrame, right: DataFrame, above: DataFrame) -> DataFrame:
     """(left_id, right_id) of one level, from the matches of the containers; objects whose container has no match
     wait for the last stage."""
+    left, right = plain(left), plain(right)
     l = left.join(above.select(F.col("left_id").alias("parent"), F.col("right_id").alias("box")), "parent")
-    r = right.withColumn("box", F.col("parent"))
-    done = written(identical(l, r, "box"), "identical")
-    rest_l, rest_r = _without(l, done, "left"), _without(r, done, "right")
-    done = done.unionByName(walk(candidates(rest_l, rest_r), rounds))
-    moved = identical(_without(left, done, "left"), _without(right, done, "right"))
+    r = right.filter(F.col("parent").isNotNull()).withColumn("box", F.col("parent"))
+    done = written(identical(l, r, "box", *_KEYS), "identical")
+    rest_l, rest_r = written(_without(l, done, "left"), "rest"), written(_without(r, done, "right"), "rest")
+    done = done.unionByName(walk(rest_l, rest_r, ("box", *_KEYS), nearest_in_box).select(*_IDS))
+    moved = identical(_without(left, done, "left"), _without(right, done, "right"), *_KEYS)
     return written(done.unionByName(moved), "level")
 
 
-def nested(levels: list[tuple[str, DataFrame, DataFrame]], rounds: int | None = None) -> DataFrame:
+def nested(levels: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     """(type, left_id, right_id, parent_match) of all levels (type, left, right), outermost first; objects without
     a partner have null on the other side. parent_match: the left container, for right objects without a partner
     the match of theirs, else null."""
     out, above = None, None
     for name, left, right in levels:
-        done = written(identical(left, right), name) if above is None else match_level(left, right, above, rounds)
+        done = written(identical(plain(left), plain(right), *_KEYS), name) if above is None else match_level(left, right, above)
         both = matching.completed(done, left, right)
         l = left.select(F.col("id").alias("left_id"), F.col("parent").alias("left_parent"))
         r = right.select(F.col("id").alias("right_id"), F.col("parent").alias("right_parent"))
@@ -93,3 +89,19 @@ def nested(levels: list[tuple[str, DataFrame, DataFrame]], rounds: int | None =
         out = own if out is None else out.unionByName(own)
         above = done
     return out
+
+
+def differences(found: DataFrame, levels: list[str]) -> DataFrame:
+    """Adds differs (no partner) and below (a container differs) to the rows of nested, level by level from the outermost."""
+    out, above = None, None
+    for name in levels:
+        own = found.filter(F.col("type") == name).withColumn("differs", F.col("left_id").isNull() | F.col("right_id").isNull())
+        if above is None:
+            own = own.withColumn("below", F.lit(False))
+        else:
+            # a right object whose container has no match is below a difference
+            flags = above.filter(F.col("left_id").isNotNull()).select(F.col("left_id").alias("parent_match"), (F.col("differs") | F.col("below")).alias("_below"))
+            own = own.join(flags, "parent_match", "left").withColumn("below", F.coalesce("_below", F.lit(True))).select(*found.columns, "differs", "below")
+        own = written(own, "differences")
+        out, above = own if out is None else out.unionByName(own), own
+    return out

@@ -165,7 +165,7 @@ def _sql_hashed(f: features.Feature, strengthen: bool) -> str:
     return sql.bit(f"({K.name_position(f.name) * 31} + {position}) % 64")
 
 
-def _sql_object_codes(kind: str) -> str:
+def object_codes_sql(kind: str) -> str:
     """A part for each type: the codes of its features, then their vote."""
     parts = []
     for type_, (table_, key, up) in model.TYPES.items():
@@ -201,7 +201,7 @@ below AS (
 
 def _register_object_codes(kind: str) -> None:
     QUERIES[f"object_hash_{kind}"] = lambda spark, sf_dir: features.object_codes(spark, sf_dir, kind)
-    ORACLES[f"object_hash_{kind}"] = _sql_object_codes(kind)
+    ORACLES[f"object_hash_{kind}"] = object_codes_sql(kind)
 
 
 for _kind in features.KINDS:

@@ -11,7 +11,7 @@ from twinweave import features, model
 from twinweave.functions import kernels as K
 from twinweave.functions import similarity as S
 from twinweave.model import table
-from twinweave.operators import evaluation, joins, matching, matchloop, nearest
+from twinweave.operators import evaluation, joins, matching, matchloop, nearest, walk
 from twinweave.plans import sql
 from twinweave.plans.kernel_queries import with_code
 from twinweave.storage import written
@@ -193,14 +193,14 @@ def _sql_walk(candidates: str, name: str, rounds: int) -> str:
     return ", ".join(out)
 
 
-#: Rounds of the walks below.
-ROUNDS = 3
+#: Rounds of the walks in SQL; the last ones find nothing more (tests/test_walk.py).
+ROUNDS = 9
 
 
 @query(f"WITH {_CANDIDATES}, near AS (SELECT * FROM c WHERE dist <= {matching.TOO_FAR}), {_sql_walk('near', 'w', ROUNDS)} SELECT * FROM w")
 def candidate_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each object takes the first of its candidates whose nearest it is; matched ones leave, and the rest goes on."""
-    return nearest.walked(*matching_sides(spark, sf_dir), ROUNDS)
+    return nearest.walked(*matching_sides(spark, sf_dir))
 
 
 @query(f"WITH {_MUTUAL} SELECT id FROM l WHERE id NOT IN (SELECT left_id FROM m)")
@@ -231,9 +231,9 @@ def _sql_near(a: str, b: str, name: str) -> str:
 
 _THREE = f"""{sql.CODED}, le AS (SELECT id, type, {sql.string_code("name")} AS code, name, price FROM (
   SELECT id, type, name || CASE WHEN {sql.edit_class('id')} BETWEEN 300 AND 349 THEN ' a' ELSE '' END AS name, price FROM l WHERE {sql.edit_class('id')} < 950)),
-{_sql_near("le", "r", "c1")}, {_sql_walk("c1", "w1", 1)}, {_sql_near("le", "l", "c2")}, {_sql_walk("c2", "w2", 1)},
+{_sql_near("le", "r", "c1")}, {_sql_walk("c1", "w1", ROUNDS)}, {_sql_near("le", "l", "c2")}, {_sql_walk("c2", "w2", ROUNDS)},
 rr AS (SELECT * FROM r WHERE id NOT IN (SELECT right_id FROM w1)), oo AS (SELECT * FROM l WHERE id NOT IN (SELECT right_id FROM w2)),
-{_sql_near("rr", "oo", "c3")}, {_sql_walk("c3", "w3", 1)}"""
+{_sql_near("rr", "oo", "c3")}, {_sql_walk("c3", "w3", ROUNDS)}"""
 
 
 @query(f"""WITH {_THREE}
@@ -250,18 +250,10 @@ def three_way_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def matched(a: DataFrame, b: DataFrame) -> DataFrame:
         pairs = written(nearest.name_pairs(a, b), "name_pairs")
-        return written(nearest.walked(a, b, pairs, 1).select("left_id", "right_id"), "matches")
+        return written(nearest.walked(a, b, pairs).select("left_id", "right_id"), "matches")
 
-    to_right, to_origin = matched(left, right), matched(left, origin)
-    rest_r = right.join(to_right.select(F.col("right_id").alias("id")), "id", "left_anti")
-    rest_o = origin.join(to_origin.select(F.col("right_id").alias("id")), "id", "left_anti")
-    between = matched(rest_r, rest_o)
-    none = F.lit(-1).cast("long")
-    l = left.select(F.col("id").alias("left_id")).join(to_right, "left_id", "left").join(to_origin.withColumnRenamed("right_id", "origin_id"), "left_id", "left")
-    r = rest_r.select(F.col("id").alias("right_id")).join(between.select(F.col("left_id").alias("right_id"), F.col("right_id").alias("origin_id")), "right_id", "left")
-    o = rest_o.select(F.col("id").alias("origin_id")).join(between.select(F.col("right_id").alias("origin_id")), "origin_id", "left_anti")
-    every = l.unionByName(r.withColumn("left_id", none)).unionByName(o.withColumn("left_id", none).withColumn("right_id", none))
-    return every.select(*[F.coalesce(c, none).alias(c) for c in ("left_id", "right_id", "origin_id")])
+    every = matching.three_sides(left, right, origin, matched)
+    return every.select(*[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("left_id", "right_id", "origin_id")])
 
 
 @query(f"""WITH {_MUTUAL}, x AS (SELECT left_id, right_id FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY dist, right_id) AS k FROM c) WHERE k = 1)
@@ -336,15 +328,15 @@ _NESTED = f"""{_TREE_SIDES}, {_sql_identical("nation_l", "nation_r", "m_nation")
 def identical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first stage: customers that are the same on both sides under matched nations."""
     (_, nl, nr), (_, cl, cr), _ = tree_sides(spark, sf_dir)
-    above = matchloop.identical(nl, nr).select(F.col("left_id").alias("parent"), F.col("right_id").alias("box"))
-    return matchloop.identical(cl.join(above, "parent"), cr.withColumn("box", F.col("parent")), "box")
+    above = walk.identical(nl, nr, "text", "number").select(F.col("left_id").alias("parent"), F.col("right_id").alias("box"))
+    return walk.identical(cl.join(above, "parent"), cr.withColumn("box", F.col("parent")), "box", "text", "number")
 
 
 @query(f"WITH {_NESTED} SELECT left_id, right_id FROM m_customer")
 def match_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of one level: customers under matched nations, then those that moved."""
     (_, nl, nr), (_, cl, cr), _ = tree_sides(spark, sf_dir)
-    return matchloop.match_level(cl, cr, written(matchloop.identical(nl, nr), "nations"), ROUNDS)
+    return matchloop.match_level(cl, cr, written(walk.identical(nl, nr, "text", "number"), "nations"))
 
 
 def _sql_nested(t: str, above: str | None) -> str:
@@ -354,10 +346,13 @@ FROM (SELECT l.id AS left_id, m.right_id FROM {t}_l l LEFT JOIN m_{t} m ON m.lef
 LEFT JOIN {t}_l l ON l.id = p.left_id LEFT JOIN {t}_r r ON r.id = p.right_id {turned}"""
 
 
-@query(f"WITH {_NESTED} {_sql_nested('nation', None)} UNION ALL {_sql_nested('customer', 'm_nation')} UNION ALL {_sql_nested('orders', 'm_customer')}")
+NESTED_SQL = f"{_sql_nested('nation', None)} UNION ALL {_sql_nested('customer', 'm_nation')} UNION ALL {_sql_nested('orders', 'm_customer')}"
+
+
+@query(f"WITH {_NESTED} {NESTED_SQL}")
 def nested_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations, customers and orders, level by level, each under the match of its container; -1 for none."""
-    found = matchloop.nested(tree_sides(spark, sf_dir), ROUNDS)
+    found = matchloop.nested(tree_sides(spark, sf_dir))
     return found.select("type", *[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("left_id", "right_id", "parent_match")])
 
 

@@ -1,4 +1,4 @@
-"""Sources: XML models, threshold tables, evaluation logs."""
+"""Sources: threshold tables and evaluation logs."""
 
 from __future__ import annotations
 
@@ -96,18 +96,6 @@ def with_threshold(rows: DataFrame, thresholds: DataFrame, default: float = DEFA
     return out.withColumn("min_sim", F.coalesce("min_sim", "_default", F.lit(default))).drop("_default")
 
 
-def xml_elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """The elements of one name in an XML model, an attribute a column with an underscore before it."""
-    return spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "_").load(path)
-
-
-def xml_objects(spark: SparkSession, path: str) -> DataFrame:
-    """(name, type, super_types) of a model's classifiers; references that don't resolve stay as text."""
-    rows = xml_elements(spark, path, "eClassifiers")
-    has = lambda c: F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string")
-    return rows.select(has("_name").alias("name"), has("_xsi:type").alias("type"), F.split(has("_eSuperTypes"), " ").alias("super_types"))
-
-
 #: Fixed formats of evaluation logs: the lines of an estimation (by a code's hash and similarity, or by word sets),
 #: the line of a comparison's run, and the two lines of its summary.
 _NUMBER = r"(\d+\.\d+)"
@@ -165,4 +153,4 @@ def summaries(lines: DataFrame, by: list[str], column: str = "value") -> DataFra
 
 def models_in(spark: SparkSession, folder: str, pattern: str = "*.xmi") -> DataFrame:
     """The text files of a folder, one row each."""
-    return spark.read.option("pathGlobFilter", pattern).option("wholetext", True).text(folder).withColumn("file", F.input_file_name())
+    return spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).withColumn("file", F.input_file_name())
