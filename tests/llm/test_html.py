@@ -65,11 +65,24 @@ def test_time_grows_with_the_page_only():
         H.main_text(make)
         return time.perf_counter() - began
 
-    for make in (lambda n: "<div>word " * n, lambda n: "<ul><li>a" * n, lambda n: "<div>" * n + "</section>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<div class='ad'>" * n + "<main>x"):
+    for make in (lambda n: "<div>word " * n, lambda n: "<ul><li>a" * n, lambda n: "<div>" * n + "</section>" * n, lambda n: "<b>" * n + "<p>x" * n, lambda n: "<div class='ad'>" * n + "<main>x", lambda n: "<b><div>" + "<i>" * n + "</b>" * n, lambda n: "<div>" + "<ul><li><a href=x>y</a></ul>" * n):
         small = min(took(make(1000)) for _ in range(3))
         assert took(make(8000)) < 8 * 4 * small + 0.2
 
 
+def test_names_within_the_article():
+    """Inside an article a word or a paragraph stays whatever it is called; readers' posts in containers go."""
+    page = """<body><article><h1>T</h1><pre>x = 1 <span class="comment"># explain</span> y</pre><blockquote class="comment">quoted, twice</blockquote>
+      <p class="reply">answered</p><p id="comments">noted</p><div class="comments"><p>first!</p></div><ul class="comment-list"><li>me too</ul></article></body>"""
+    assert H.main_text(page) == "T\nx = 1 # explain y\nquoted, twice\nanswered\nnoted"
+
+
+def test_end_tags_behind_a_block():
+    assert H.main_text("<p>a <b>b<p>c</b> d</p>") == "a b\nc d"
+    root = H.parse("<b><div><i>x</b>y</i>z</div>w</b>v")
+    assert [x if isinstance(x, str) else x.tag for x in root.children] == ["b", "v"]
+
+
 def plain_article(page):
     """The article of a page as the table's pages have it: an advert, then one article element."""
     own = page[page.index("<article>") + 9 : page.index("</article>")]

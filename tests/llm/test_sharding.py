@@ -37,8 +37,27 @@ def test_hot_group_is_cut_and_others_stay_together(spark, docs):
     assert sum(shard[k] != shard[k + 1] for k in range(900, 2700, 2)) == 0
 
 
-def brute_tree(points, shards):
+def test_groups_that_fit_stay_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.partition(docs, 16).collect()
+    sizes, groups = {}, {}
+    for r in rows:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+        groups.setdefault((r.text_crc32, r.size), []).append(r.shard)
+    mean = sum(sizes.values()) / 16
+    several = [g for g in groups.values() if len(g) > 1]
+    assert len(several) > 50 and all(len(set(g)) == 1 for g in several)
+    assert max(sizes.values()) < 1.05 * mean and min(sizes.values()) > 0.95 * mean
+
+
+def test_heaviest_first():
+    got, loads = sharding.lightest_first([(5, ("a",)), (9, ("b",)), (4, ("c",)), (4, ("d",))], 3)
+    assert got == {("b",): 0, ("a",): 1, ("c",): 2, ("d",): 2} and loads == [9, 5, 8]
+
+
+def brute_tree(points, shards, room=None):
     """The k-d tree in plain Python: points are (bytes, tie, values); the leaf's first shard for each."""
+    room = room or [1] * shards
     whole = [max(p[2][d] for p in points) - min(p[2][d] for p in points) or 1.0 for d in range(3)]
 
     def split(own, n, first):
@@ -52,7 +71,9 @@ def brute_tree(points, shards):
             place = int((p[2][d] - low[d]) / (high[d] - low[d]) * scale) if high[d] > low[d] else 0
             return place << sharding.TIE_BITS | (p[1] % (1 << 64)) >> (64 - sharding.TIE_BITS)
 
-        order, asked, upto, cut = sorted(own, key=key), max(1, sum(p[0] for p in own) * (n // 2) // n), 0, None
+        if not sum(room[first : first + n // 2]):
+            return split(own, n - n // 2, first + n // 2)
+        order, asked, upto, cut = sorted(own, key=key), max(1, sum(p[0] for p in own) * sum(room[first : first + n // 2]) // sum(room[first : first + n])), 0, None
         for k, p in enumerate(order):
             before, upto = upto, upto + p[0]
             if upto >= asked:
@@ -70,6 +91,9 @@ def test_tree_equals_the_plain_one(spark, monkeypatch):
     frame = spark.createDataFrame(points, "bytes long, tie long, values array<double>")
     got = {r.tie: r.node for r in sharding.tree_shards(frame, 7).collect()}
     assert got == brute_tree(points, 7)
+    room = [0, 1, 9, 4, 4, 0, 2]
+    got = {r.tie: r.node for r in sharding.tree_shards(frame, 7, room).collect()}
+    assert got == brute_tree(points, 7, room)
 
 
 def test_odd_rows(spark, odd, docs):

@@ -135,7 +135,7 @@ def measured(root: Node) -> None:
 def parse(page: str) -> Node:
     root = Node("root")
     now, at = root, 0
-    open_: Counter[str] = Counter()
+    open_ = Open()
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
@@ -158,31 +158,58 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else len(page)
         elif tag not in _VOID and not (m[3] or m[6] or "").endswith("/"):
             now = node
-            open_[tag] += 1
+            open_.enter(tag)
     return root
 
 
-def _left(now: Node, place: Node, open_: Counter[str]) -> Node:
+class Open:
+    """How many elements of each name are open, in all and since the innermost open block began."""
+
+    def __init__(self):
+        self.counts: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]
+
+    def enter(self, tag: str) -> None:
+        self.counts[tag] += 1
+        if tag in _BLOCK:
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][tag] += 1
+
+    def leave(self, tag: str) -> None:
+        self.counts[tag] -= 1
+        if tag in _BLOCK:
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
+
+    def __getitem__(self, tag: str) -> int:
+        return self.counts[tag]
+
+    def closes(self, tag: str) -> bool:
+        """Whether an end tag closes something: a block's wherever one is open, another's within the innermost block."""
+        return (self.counts if tag in _BLOCK else self.inline[-1])[tag] > 0
+
+
+def _left(now: Node, place: Node, open_: Open) -> Node:
     """Goes up to the place; what lies below it is no longer open."""
     while now is not place:
-        open_[now.tag] -= 1
+        open_.leave(now.tag)
         now = now.parent
     return place
 
 
-def _close(now: Node, tag: str, open_: Counter[str]) -> Node:
+def _close(now: Node, tag: str, open_: Open) -> Node:
     """The place after an end tag; one that closes nothing changes nothing."""
-    if not open_[tag]:
+    if not open_.closes(tag):
         return now
-    node: Node | None = now
-    while node and node.tag != tag:
-        if tag not in _BLOCK and node.tag in _BLOCK:
-            return now
+    node = now
+    while node.tag != tag:  # all that is passed is left
         node = node.parent
-    return _left(now, node.parent, open_) if node and node.parent else now
+    return _left(now, node.parent, open_)
 
 
-def _open_place(now: Node, tag: str, open_: Counter[str]) -> Node:
+def _open_place(now: Node, tag: str, open_: Open) -> Node:
     """Where a new element goes, after what it closes."""
     closed, bound = _CLOSES.get(tag, (set(), set()))
     if tag in _BLOCK:
@@ -226,6 +253,9 @@ def _is_dropped(node: Node, in_article: bool) -> bool:
     style = attrs.get("style", "").replace(" ", "").lower()
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in style:
         return True
+    if in_article and (node.tag in _TEXTS or node.tag not in _BLOCK):
+        # a word or paragraph of the article, whatever it is called; readers' posts stand in containers
+        kinds -= {"comment"}
     if "comment" in kinds:
         return True
     named = kinds if node.tag not in _TEXTS else kinds & {"strong"}
@@ -313,9 +343,9 @@ def best_nodes(root: Node) -> list[Node]:
 
 def _without_menus(node: Node) -> None:
     """Lists that consist of links, where no article or main element says what is the text."""
-    for x in list(node.nodes()):
-        if x.tag in ("ul", "ol") and x.parent and x is not node and x.link_density >= 0.9:
-            x.parent.children = [y for y in x.parent.children if y is not x]
+    menus = {id(x): x for x in node.nodes() if x.tag in ("ul", "ol") and x.parent and x is not node and x.link_density >= 0.9}
+    for above in {id(x.parent): x.parent for x in menus.values()}.values():
+        above.children = [y for y in above.children if id(y) not in menus]
 
 
 def main_text(page: str) -> str:

@@ -5,8 +5,10 @@ weighted median of its bytes, or at the share that its two sides' shard counts a
 one shard. The medians come from histograms that Spark sums: bins of the sort key, then bins of the bin
 that holds the median, until that bin is too light to matter. Only the split points reach the driver.
 
-Points are groups of equal texts, so copies share a shard. A group heavier than GROUP_SHARE of a shard is
-cut into several points by a hash of doc_id, since it would tip a shard over.
+Points are groups of equal texts, so copies share a shard. Only a group heavier than a whole shard is cut, into
+as many points as shards it would fill, by a hash of doc_id. Points above GROUP_SHARE of a shard would tip it over wherever
+the tree put them: they are placed first, the heaviest first to the lightest shard, and the tree splits all others by
+the bytes that this leaves to each shard. There are at most 1 / GROUP_SHARE of them for each shard.
 
 Slots are numbered in two steps, within (shard, bucket) and by the buckets' running counts, so that no
 task sorts a whole shard.
@@ -18,6 +20,7 @@ ignored; shards without rows occur only if there are fewer points than shards.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from twinweave.llm.common import table, written
 
 SHARDS = 16
-#: A group of copies above this share of a shard's bytes is cut.
+#: A group of copies above this share of a shard's bytes is placed before the others.
 GROUP_SHARE = 0.02
 #: The median is searched until the bin around it has at most this share of the node's bytes.
 TOLERANCE = 0.0005
@@ -76,8 +79,20 @@ def _cuts(keyed: DataFrame, asked: dict[int, int]) -> dict[int, int]:
     return cuts
 
 
-def tree_shards(points: DataFrame, shards: int) -> DataFrame:
-    """Adds node, the number of a point's leaf from left to right: points have bytes, tie and values (an array)."""
+def lightest_first(weights: list[tuple], shards: int) -> tuple[dict, list[int]]:
+    """Of (bytes, name) a shard for each name, the heaviest first to the lightest shard; and the shards' bytes."""
+    loads, out = [(0, k) for k in range(shards)], {}
+    for weight, name in sorted(weights, key=lambda x: (-x[0], x[1])):
+        load, k = heapq.heappop(loads)
+        out[name] = k
+        heapq.heappush(loads, (load + weight, k))
+    return out, [load for load, _ in sorted(loads, key=lambda x: x[1])]
+
+
+def tree_shards(points: DataFrame, shards: int, room: list[int] | None = None) -> DataFrame:
+    """Adds node, the number of a point's leaf from left to right: points have bytes, tie and values (an array). room: what
+    the leaves shall get of all bytes, in proportion; by default the same."""
+    room = room if room and sum(room) else [1] * shards
     spark = points.sparkSession
     placed = points.withColumn("node", F.lit(0))
     dimensions = len(DIMENSIONS)
@@ -87,20 +102,25 @@ def tree_shards(points: DataFrame, shards: int) -> DataFrame:
         spread = [f(F.element_at("values", d + 1)).alias(f"{f.__name__}{d}") for d in range(dimensions) for f in (F.min, F.max)]
         # a row for each node
         held = placed.groupBy("node").agg(F.sum("bytes").alias("total"), *spread).filter(F.col("node").isin(*open_))
-        plan, asked = [], {}
+        plan, asked, cuts = [], {}, {}
         for r in held.collect():
             width = [r[f"max{d}"] - r[f"min{d}"] for d in range(dimensions)]
             whole = whole or [x or 1.0 for x in width]
             d = max(range(dimensions), key=lambda k: width[k] / whole[k])
             n = open_[r.node]
             plan.append((r.node, d, float(r[f"min{d}"]), float(r[f"max{d}"])))
-            asked[r.node] = max(1, r.total * (n // 2) // n)  # a cut at 0 bytes is never reached
+            left, both = sum(room[r.node : r.node + n // 2]), sum(room[r.node : r.node + n])
+            left, both = (left, both) if both else (n // 2, n)
+            if left:
+                asked[r.node] = max(1, r.total * left // both)  # a cut at 0 bytes is never reached
+            else:
+                cuts[r.node] = 0
         if not plan:
             break
         splits = spark.createDataFrame(plan, "node int, dimension int, low double, high double")
         keyed = placed.join(F.broadcast(splits), "node", "left").withColumn("key", _key())
         keyed = written(keyed.select(*points.columns, "node", "key"), "level")
-        found = [(k, cut, k + open_[k] // 2) for k, cut in _cuts(keyed, asked).items()]
+        found = [(k, cut, k + open_[k] // 2) for k, cut in (cuts | _cuts(keyed, asked)).items()]
         sides = spark.createDataFrame(found, "node int, cut long, right int")
         node = F.when(F.col("key") >= F.col("cut"), F.col("right")).otherwise(F.col("node"))
         placed = keyed.join(F.broadcast(sides), "node", "left").select(*points.columns, node.alias("node"))
@@ -129,11 +149,11 @@ def partition(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     whole = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     total = whole.bytes or 0
     shards = shards or shards_for(total, target_bytes or 1 << 30)
-    most = max(1, int(GROUP_SHARE * total / shards))
+    share = max(1, total // shards)
     group = ["text_hash", "text_crc32", "size"]
-    heavy = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > most)
-    # at most shards / GROUP_SHARE groups are heavy
-    parts = heavy.select(*group, F.ceil(F.col("bytes") / most).cast("int").alias("parts"))
+    # fewer groups than shards are heavier than one
+    heavy = rows.groupBy(*group).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > share)
+    parts = heavy.select(*group, F.ceil(F.col("bytes") / share).cast("int").alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int")
     cut = rows.join(F.broadcast(parts) if shards <= 4096 else parts, group, "left").withColumn("part", part)
     member = [*group, "part"]
@@ -142,7 +162,15 @@ def partition(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     )
     values = F.array(F.log2(F.col("size").cast("double")), "source_code", "lang_code")
     points = written(points.select(*member, "bytes", F.xxhash64(*member).alias("tie"), values.alias("values")), "points")
-    placed = tree_shards(points, shards).select(*member, F.col("node").alias("shard"))
+    large = F.col("bytes") > max(1, int(GROUP_SHARE * share))
+    # at most shards / GROUP_SHARE rows
+    found = [(r.bytes, tuple(r)[:-1]) for r in points.filter(large).select(*member, "bytes").collect()]
+    first, loads = lightest_first(found, shards)
+    by_hand = docs.sparkSession.createDataFrame(
+        [(*name, k) for name, k in first.items()], "text_hash long, text_crc32 long, size long, part int, shard int"
+    )
+    rest = tree_shards(points.filter(~large), shards, [max(0, share - load) for load in loads])
+    placed = rest.select(*member, F.col("node").alias("shard")).unionByName(by_hand)
     joined = cut.select("doc_id", *member).join(placed, member)
     return numbered(joined, shards, whole.rows).select("doc_id", "size", "text_crc32", "shard", "slot")
 
