@@ -151,3 +151,16 @@ def test_api_walks_to_the_end(spark):
     right = spark.createDataFrame([(11, "EClass", "abcdefgh"), (12, "EClass", "abcdefgy"), (13, "EClass", ""), (14, "EClass", "zzz")], schema)
     got = {(r.left_id, r.right_id) for r in api.match(left, right, {"name": 50.0}).collect()}
     assert got == {(1, 11), (2, 12), (3, 13), (4, None), (None, 14)}
+
+
+def test_estimate_and_compare(spark):
+    rows = spark.createDataFrame([("EClass", n) for n in ("customer order", "order line", "address book", "invoice", None)] + [("EEnum", "color")], "type string, name string")
+    found = api.estimate(rows, "name", 3).collect()
+    assert {(r.type, r.method) for r in found} == {(t, m) for t in ("EClass", "EEnum") for m in ("LSH_Cos", "LSH_Jac", "LSH_Sor", "OneHot")}
+    assert all(10 <= r.threshold <= 80 and 0 < r.f2 <= 1 for r in found)
+    limits = api.thresholds_of(api.estimate(rows, "name", 3))
+    left = rows.withColumn("id", F.monotonically_increasing_id())
+    right = left.withColumn("id", F.col("id") + 1000).withColumn("name", F.concat("name", F.lit("s")))
+    (r,) = api.compare(left, right, {"name": 50.0}, thresholds=limits).collect()
+    assert r.total == 6 and 0 <= r.diffs <= 2
+    assert api.estimate(rows.limit(0), "name").count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinweave.plans import graph_queries, kernel_queries, log_queries, match_queries, model_queries
+from twinweave.plans import estimation_queries, graph_queries, kernel_queries, log_queries, match_queries, model_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **kernel_queries.QUERIES,
@@ -14,5 +14,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **log_queries.QUERIES,
     **model_queries.QUERIES,
     **graph_queries.QUERIES,
+    **estimation_queries.QUERIES,
 }
-ORACLES: dict[str, str] = {**kernel_queries.ORACLES, **match_queries.ORACLES, **log_queries.ORACLES, **model_queries.ORACLES, **graph_queries.ORACLES}
+ORACLES: dict[str, str] = {**kernel_queries.ORACLES, **match_queries.ORACLES, **log_queries.ORACLES, **model_queries.ORACLES, **graph_queries.ORACLES, **estimation_queries.ORACLES}
