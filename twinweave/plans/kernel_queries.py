@@ -12,6 +12,7 @@ from twinweave.functions import kernels as K
 from twinweave.functions import similarity as S
 from twinweave.model import table
 from twinweave.plans import sql
+from twinweave.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -374,8 +375,11 @@ won AS (SELECT type, key, list(b) AS bits FROM bits WHERE k > n // 2 GROUP BY AL
 SELECT loc.type, loc.key, {sql.or_positions("coalesce(bits, [])")} AS code FROM loc LEFT JOIN won USING (type, key)""")
 def location_majority_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits that more than half of a location's fragments have in their whole hash."""
-    codes = F.transform("location", K.string_hash)
-    return model.locations(spark, sf_dir).select("type", "key", K.majority(codes, small_or=False).alias("code"))
+    rows = written(model.locations(spark, sf_dir).select("type", "key", F.explode("location").alias("x")), "fragments")
+    # a fragment is hashed once, wherever it stands
+    hashes = rows.select("x").distinct().withColumn("h", K.string_hash(F.col("x")))
+    votes = rows.join(hashes, "x").groupBy("type", "key").agg(F.count("*").alias("n"), *lanes("h"))
+    return votes.select("type", "key", from_lanes(lambda k: k > F.floor(F.col("n") / 2)).alias("code"))
 
 
 @query(f"""WITH o AS (SELECT o_custkey, list(o_orderkey % 97 ORDER BY o_orderkey) AS v, list_distinct(list(o_orderkey % 256)) AS s FROM orders GROUP BY 1),
