@@ -127,7 +127,6 @@ def test_features():
     assert features.hasher(by["customer", "orders"]) == "locations" and not features.one_hot(by["customer", "orders"])
     assert features.weights(by["part", "p_name"], "default") == (50, 10) and features.weights(by["part", "p_name"], "structural") == (0, 0)
     assert features.weights(by["customer", "nation"], "structural") == (5, 1) and features.container_ratio("part") == 0.1
-    assert features.ignored("a", {"a": {"b"}, "b": {"c"}}, {"c"}) and not features.ignored("a", {}, {"c"})
 
 
 def test_ordinals(spark, monkeypatch):

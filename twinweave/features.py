@@ -134,11 +134,6 @@ def feature_table(spark: SparkSession) -> DataFrame:
     )
 
 
-def ignored(f_type: str, supertypes: dict[str, set[str]], types: set[str]) -> bool:
-    """Whether a type or any of those above it is among the types."""
-    return f_type in types or any(ignored(x, supertypes, types) for x in supertypes.get(f_type, ()))
-
-
 def hashed(f: Feature) -> Column:
     """The code of an attribute's column: strings by their byte pairs, a single other value by its name and hash."""
     value = F.col(f.name)

@@ -124,10 +124,6 @@ def boolean_hash(value: Column) -> Column:
     return F.when(value.isNull(), 0).when(value, 1231).otherwise(1237).cast("long")
 
 
-def number_position(value: Column, double: bool = False) -> Column:
-    return long_position(double_bits(value.cast("double")) if double else value)
-
-
 def boolean_position(value: Column) -> Column:
     return F.when(value, 1231 % 64).otherwise(1237 % 64)
 

@@ -26,12 +26,6 @@ def distinct_codes(rows: DataFrame, side: str) -> DataFrame:
     return counted.select("type", F.col("code").alias(f"{side}_code"), F.bit_count("code").alias(f"{side}_bits"), f"{side}_n")
 
 
-def exact_codes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Objects with the same type and code: (left_id, right_id, type)."""
-    r = right.select(F.col("id").alias("right_id"), "type", "code")
-    return left.select(F.col("id").alias("left_id"), "type", "code").join(r, ["type", "code"]).drop("code")
-
-
 def band(bits: Column, least: float) -> Column:
     """The popcounts that a code can have to be cosine-similar: the smaller is at least least squared of the larger."""
     low = F.ceil(bits * (least * least) - 1e-9).cast("int")

@@ -96,19 +96,20 @@ def with_threshold(rows: DataFrame, thresholds: DataFrame, default: float = DEFA
     return out.withColumn("min_sim", F.coalesce("min_sim", "_default", F.lit(default))).drop("_default")
 
 
-#: Fixed formats of evaluation logs: the lines of an estimation (by a code's hash and similarity, or by word sets),
-#: the line of a comparison's run, and the two lines of its summary.
-_NUMBER = r"(\d+\.\d+)"
-_SCORES = "    ".join(f"{x}={_NUMBER}" for x in ("threshold", "TPR", "FPR", "Prec", "Recall", "Acc", "F2"))
-ESTIMATION = rf"^\[([^\]]+)\]    \[(\w+?)(?:_(\w+))?\]    {_SCORES}$"
-RUN = r"^\w+\s\[numOfEdits=(\d+),.+\sdiffs=(\d+),\stotal=(\d+),\scriticalMiss=(\d+)\]$"
-TIMES = r"^Time:    Avg\(\w+\)=([.0-9]+)    Avg\(\w+\)=([.0-9]+)$"
-RATES = r"^Diff Rate:    Total=([.0-9]+)%    Critical=([.0-9]+)%$"
+#: How lines of evaluation logs mark a summary and its end, and how the summary's two lines begin.
 SUMMARY, CONFIG = "[SUMMARY]", "[CONFIG]"
+TIME_LINE, RATE_LINE = "Time:", "Diff Rate:"
 
 
-def _fields(line: str, shape: str, names: dict[str, str]) -> list[Column]:
-    return [F.regexp_extract(line, shape, k).cast(t).alias(n) for k, (n, t) in enumerate(names.items(), 1)]
+def fields(line: str) -> Column:
+    """All ``name=number`` within a line, in order, as (name, value)."""
+    part = lambda k: F.regexp_extract_all(F.col(line), F.lit(r"([A-Za-z]\w*(?:\(\w+\))?)=([0-9]+(?:\.[0-9]+)?)"), F.lit(k))
+    return F.arrays_zip(part(1).alias("name"), part(2).cast("array<double>").alias("value"))
+
+
+def _value(found: Column, name: str) -> Column:
+    """The first value of a name; null if the line has none."""
+    return F.get(F.filter(found, lambda x: x["name"] == name), F.lit(0))["value"]
 
 
 def _others(lines: DataFrame, column: str) -> list[str]:
@@ -128,27 +129,37 @@ def log_lines(files: DataFrame, column: str = "value", place: str = "line") -> D
 
 def estimations(lines: DataFrame, column: str = "value") -> DataFrame:
     """(type, hash, sim, threshold, tpr, fpr, prec, recall, acc, f2); word sets have hash OHR and sim Jac."""
-    names = dict.fromkeys(("threshold", "tpr", "fpr", "prec", "recall", "acc", "f2"), "double")
-    found = lines.filter(F.col(column).rlike(ESTIMATION)).select(
-        *_others(lines, column), *_fields(column, ESTIMATION, {"type": "string", "hash": "string", "sim": "string", **names})
-    )
-    words = F.col("hash") == "OneHot"
-    found = found.withColumn("sim", F.when(words, "Jac").otherwise(F.col("sim")))
-    return found.withColumn("hash", F.when(words, "OHR").otherwise(F.col("hash"))).filter("sim <> ''")
+    names = {"threshold": "threshold", "tpr": "TPR", "fpr": "FPR", "prec": "Prec", "recall": "Recall", "acc": "Acc", "f2": "F2"}
+    others = _others(lines, column)
+    heads = F.regexp_extract_all(column, F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    read = lines.select(*others, heads.alias("_heads"), fields(column).alias("_fields")).filter(F.size("_heads") == 2)
+    head = lambda k: F.get(F.col("_heads"), F.lit(k))
+    method, words = F.split(head(1), "_"), head(1) == "OneHot"
+    found = read.select(
+        *others, head(0).alias("type"), F.when(words, "OHR").otherwise(F.get(method, F.lit(0))).alias("hash"), F.when(words, "Jac").otherwise(F.get(method, F.lit(1))).alias("sim"),
+        *[_value(F.col("_fields"), name).alias(c) for c, name in names.items()],
+    )
+    return found.dropna(subset=["sim", *names])
 
 
 def comparisons(lines: DataFrame, column: str = "value") -> DataFrame:
     """(edits, diffs, total, critical) of each run."""
-    fields = _fields(column, RUN, dict.fromkeys(("edits", "diffs", "total", "critical"), "long"))
-    return lines.filter(F.col(column).rlike(RUN)).select(*_others(lines, column), *fields)
+    names = {"edits": "numOfEdits", "diffs": "diffs", "total": "total", "critical": "criticalMiss"}
+    read = lines.select(*_others(lines, column), fields(column).alias("_fields"))
+    found = read.select(*_others(lines, column), *[_value(F.col("_fields"), name).cast("long").alias(c) for c, name in names.items()])
+    return found.dropna(subset=list(names))
 
 
 def summaries(lines: DataFrame, by: list[str], column: str = "value") -> DataFrame:
     """(own_time, base_time, diff_rate, critical_rate) of each log's summary."""
-    cells = {"own_time": (TIMES, 1), "base_time": (TIMES, 2), "diff_rate": (RATES, 1), "critical_rate": (RATES, 2)}
-    inside = lines.filter("in_summary")
-    values = [F.max(F.when(F.col(column).rlike(shape), F.regexp_extract(column, shape, k)).cast("double")).alias(name) for name, (shape, k) in cells.items()]
-    return inside.groupBy(*by).agg(*values)
+    inside = lines.filter("in_summary").withColumn("_fields", fields(column))
+    times = F.when(F.col(column).startswith(TIME_LINE), F.col("_fields"))
+    rates = F.when(F.col(column).startswith(RATE_LINE), F.col("_fields"))
+    cells = {
+        "own_time": F.get(times, F.lit(0))["value"], "base_time": F.get(times, F.lit(1))["value"],
+        "diff_rate": _value(rates, "Total"), "critical_rate": _value(rates, "Critical"),
+    }
+    return inside.groupBy(*by).agg(*[F.max(cell).alias(name) for name, cell in cells.items()])
 
 
 def models_in(spark: SparkSession, folder: str, pattern: str = "*.xmi") -> DataFrame:
