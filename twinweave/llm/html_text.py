@@ -12,7 +12,8 @@ leaves to the root.
 Defined cases: a null or empty page gives an empty text; broken or cut markup is read as browsers do for
 unclosed paragraphs, items and cells, and a reference that is cut stays as it is; a page without any
 paragraph gives all its text that isn't dropped; a null page_id or url stays null; repeated rows are read
-each; an empty table gives no rows; further columns are ignored.
+each; of equally good containers the first one counts; a very long page is read whole, in time that grows
+with its length; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,6 +15,10 @@ is told from a share of the texts, and at most HOT shingles are sent to the work
 
 Texts with equal sets are one node from the start. A text shorter than WIDTH words is one shingle. Texts
 without words (and null ones) have the empty set and are copies of each other.
+
+Defined cases: a very long text is one set, held whole by the task that compares it; ties need no rule, since
+links depend on the sets alone (which document of a class stays is deduplicate's rule); repeated rows are one
+node; an empty table has no links; columns besides doc_id and text aren't looked at.
 """
 
 from __future__ import annotations

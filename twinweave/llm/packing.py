@@ -10,7 +10,8 @@ two that add up to it, so nothing is padded. Sequence ids hold the partition in
 
 Defined cases: a null text is empty and gives just the end id; a null doc_id stays null; repeated rows
 are packed each; an empty table gives no rows; further columns are ignored; a document longer than a
-sequence is cut into full sequences and a rest.
+sequence is cut into full sequences and a rest; pieces of equal length go in the order in which their
+documents were read, equally cheap sequences in the order of their numbers.
 """
 
 from __future__ import annotations

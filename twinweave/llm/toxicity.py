@@ -11,8 +11,8 @@ order that the hashes give. Rows with the same text count each.
 
 Defined cases: a null text is empty and gets the score of the bias alone, as has any text without known
 words; rows with a null label aren't learned from; without any labelled row all scores are 0.5; a null
-doc_id is in fold crc32('') mod 3; repeated rows are scored each; an empty table gives no rows; further
-columns are ignored.
+doc_id is in fold crc32('') mod 3; repeated rows are scored each, equal texts alike; a very long text is read
+whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
