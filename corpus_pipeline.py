@@ -3,7 +3,8 @@
 Every stage returns the columns of documents (the last one its pieces), whatever further columns the
 table has; a null text passes each stage as an empty one. An empty table passes all stages. Rows that
 repeat an id and its text are copies of each other, of which one stays; rows that share an id but are no
-near copies both stay, as do rows without an id. Ties go to the smallest doc_id.
+near copies both stay, as do rows without an id. Ties go to the smallest doc_id. A very long text is worked
+on whole in each stage, and packing cuts it into sequences.
 """
 
 from __future__ import annotations
