@@ -158,7 +158,7 @@ def object_hash_weighted_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- object hashes of all types, by the feature table
 
 
-def _sql_hashed(f: features.Feature, strengthen: bool) -> str:
+def object_attribute_sql(f: features.Feature, strengthen: bool = False) -> str:
     if f.value == "string":
         code = sql.string_code(f.name)
         return _sql_rotated3(code) + f" | {code}" if strengthen else code
@@ -183,7 +183,7 @@ def object_codes_sql(kind: str) -> str:
                 columns.append(f"r_{f.name}.code AS {name}")
                 joins.append(f"LEFT JOIN lc r_{f.name} ON r_{f.name}.type = '{f.value}' AND r_{f.name}.key = {model.REFERENCES[type_, f.name]}")
             else:
-                columns.append(f"{_sql_hashed(f, p > 50)} AS {name}")
+                columns.append(f"{object_attribute_sql(f, p > 50)} AS {name}")
             votes.append((p, q))
         names = [f"coalesce(f{k}, 0)" for k in range(len(votes))]
         code = _sql_vote(names, votes) if votes else "0::BIGINT"
@@ -441,3 +441,26 @@ def conv_hash_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = with_code(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority")
     joined = own.join(around, own.o_orderkey == around.l_orderkey, "left")
     return joined.select("o_orderkey", F.col("code").bitwiseOR(F.coalesce("around", F.lit(0).cast("long"))).alias("code"))
+
+
+_ATTRIBUTES = [f for f in features.FEATURES if not f.reference and features.hashable(f) and features.hasher(f)]
+
+
+@query(" UNION ALL ".join(
+    f"""SELECT '{f.type}' AS type, '{f.name}' AS feature, count(*) AS n, round(avg(bit_count(code)::DOUBLE) / 64, 6) AS width, bit_count(bit_or(code))::BIGINT AS bits
+FROM (SELECT {object_attribute_sql(f)} AS code FROM {model.TYPES[f.type][0]} WHERE {f.name} IS NOT NULL) WHERE code <> 0"""
+    for f in _ATTRIBUTES
+))
+def feature_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each attribute of the feature table how many values have a code, how full it is, and how many bits are used."""
+    out = None
+    for f in _ATTRIBUTES:
+        # equal values are hashed once
+        rows = table(spark, sf_dir, model.TYPES[f.type][0]).groupBy(f.name).agg(F.count("*").alias("k")).filter(F.col(f.name).isNotNull())
+        rows = K.with_double_bits(rows, [f.name] if f.value == "number" and f.name not in features.WHOLE else [])
+        codes = rows.select("k", features.hashed(f).alias("code")).filter("code <> 0")
+        width = F.sum(F.bit_count("code") * F.col("k")) / F.sum("k").cast("double") / 64
+        own = codes.agg(F.sum("k").alias("n"), F.round(width, 6).alias("width"), F.bit_count(F.bit_or("code")).cast("long").alias("bits"))
+        own = own.select(F.lit(f.type).alias("type"), F.lit(f.name).alias("feature"), "n", "width", "bits")
+        out = own if out is None else out.unionByName(own)
+    return out
