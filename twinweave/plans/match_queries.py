@@ -250,7 +250,7 @@ def three_way_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def matched(a: DataFrame, b: DataFrame) -> DataFrame:
         pairs = written(nearest.name_pairs(a, b), "name_pairs")
-        return written(nearest.walked(a, b, pairs).select("left_id", "right_id"), "matches")
+        return written(nearest.walked(a, b, pairs, singly=True).select("left_id", "right_id"), "matches")
 
     every = matching.three_sides(left, right, origin, matched)
     return every.select(*[F.coalesce(c, F.lit(-1).cast("long")).alias(c) for c in ("left_id", "right_id", "origin_id")])
