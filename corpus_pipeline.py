@@ -16,10 +16,21 @@ from twinweave.llm import decontaminate, likeness, packing, pii, toxicity
 from twinweave.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Rows that go to a Python worker at once, in batches whose buffers the executor and its workers hold and keep
+#: (Spark's default is 10,000, which at 2 KB of text is 20 MB in each of several copies).
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS for the session, unless it has a smaller number. (0 and less: Spark doesn't limit the rows.)"""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold stay."""
+    small_batches(spark)
     scored = toxicity.scored(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
     return scored.filter(F.col("toxicity_score") < toxicity.THRESHOLD).select(*COLUMNS)
 
@@ -27,11 +38,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays: SimHash links, checked and
     completed by the likeness of 5-word shingles (0.8 and more)."""
+    small_batches(spark)
     return likeness.near_copies_removed(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage stay."""
+    small_batches(spark)
     return decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -44,6 +57,7 @@ def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -68,3 +68,24 @@ def test_odd_rows(odd, docs):
     assert likeness.near_copies_removed(docs([(5, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "x")])).count() == 2
     assert likeness.near_copies_removed(docs([(1, "a b c d e f"), (1, "x y z w v u"), (2, "x y z w v u")])).count() == 2
     assert likeness.near_copies_removed(odd).count() == 4 and likeness.near_copies_removed(odd).columns == odd.columns
+
+
+def test_only_wanted_texts_are_moved(docs, monkeypatch):
+    rows = [(k, None if k == 7 else f"text {k}") for k in range(3000)] + [(7, None), (9, "text 9")]
+    own = docs(rows).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    wanted = own.filter("doc_id % 100 IN (7, 9)").distinct()
+    ids = {r.doc_id for r in wanted.collect()}
+    found = [r.doc_id for r in likeness._likely(docs(rows), wanted).collect()]
+    assert ids <= set(found) and found.count(9) == 2 and len(found) < len(ids) + 10
+    monkeypatch.setattr(likeness, "BITMAP", 8)  # so few bits let all pass
+    assert len(likeness._likely(docs(rows), wanted).collect()) == len(rows)
+    assert likeness._likely(docs(rows), wanted.limit(0)).count() == 0
+
+
+def test_frequent_shingles_are_found():
+    rng = np.random.default_rng(8)
+    hot = np.unique(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    for part in (hot, hot[:1], hot[:0]):
+        x = np.unique(np.concatenate((hot[::7], rng.integers(0, 1 << 63, 50).astype(np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64))))
+        assert (likeness._among(x, part) == np.isin(x, part)).all()
+    assert not len(likeness._among(hot[:0], hot))

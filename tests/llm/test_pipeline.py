@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,19 @@ def test_odd_rows(spark, odd, sf, empty):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
     ids = sorted((str(r.doc_id) for r in docs.select("doc_id").distinct().collect()))
     assert ids == ([] if empty else ["1", "3", "4", "None"])
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "simhash", "decontamination", "packing"])
+def test_batches_that_go_to_python(spark, docs, sf, stage):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 10_000)
+        dict(P.STAGES)[stage](spark, docs([]), sf)
+        seen = spark.range(0, 9000, 1, 1).mapInPandas(lambda frames: (pd.DataFrame({"n": [len(x)]}) for x in frames), "n long")
+        assert max(r.n for r in seen.collect()) <= P.BATCH_ROWS
+        spark.conf.set(name, 100)
+        P.small_batches(spark)
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)

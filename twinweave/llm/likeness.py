@@ -47,6 +47,8 @@ WORTH = 0.25
 LOT, NODE = 1 << 21, 1000
 #: Words of 64 parities for each set.
 PARITIES = 8
+#: Bits that tell which texts are wanted (4 MB for each executor, whatever the input).
+BITMAP = 1 << 25
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -92,13 +94,18 @@ def _hot(docs: DataFrame) -> np.ndarray:
     return np.sort(top.h.to_numpy(np.int64).view(np.uint64))
 
 
+def _among(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of x are in hot, which is sorted and much the larger one."""
+    return hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x if len(hot) else np.zeros(len(x), dtype=bool)
+
+
 def _keys(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(key, node, n, place): the first shingles of each set in the common order; a node may come from several tasks."""
 
     def make(nodes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
         keys, taken = [], []
         for x in sets:
-            late = np.isin(x, hot, assume_unique=True)
+            late = _among(x, hot)
             taken.append(len(x) - -(-4 * len(x) // 5) + 1 if len(x) else 0)
             keys.append(np.concatenate((x[~late], x[late]))[: taken[-1]].view(np.int64))
         return pd.DataFrame({
@@ -167,6 +174,21 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text) of the texts whose hash has its bit set by ids: all that ids names and few others.
+
+    Nothing is moved but the bits. Their number is fixed: the more ids there are, the more other texts pass.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    place = F.pmod("text_hash", F.lit(BITMAP)) + 1  # the functions for bitmaps count from 1
+    at = F.bitmap_bit_position(place)
+    bits = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = own.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("bucket"))
+    return met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select("doc_id", "text_hash", "text")
+
+
 def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) a forest of those that are alike by their whole sets, written."""
 
@@ -176,11 +198,9 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     shuffles_released(docs.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = nodes.join(ends, "node", "left_semi").select("first.*")
-    text = F.coalesce("text", F.lit(""))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    ids = written(nodes.join(ends, "node", "left_semi").select("first.*"), "ids")
     # repeated rows go before their sets are made: the join has brought them together, and no set is moved for it
-    texts = own.join(ids, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    texts = _likely(docs, ids).join(ids, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     few = written(_read(texts, make, "node long, odd array<long>, hashes array<long>"), "ends")
     shuffles_released(docs.sparkSession)
     of = lambda side, c: few.select(F.col("node").alias(side), F.col(c).alias(f"{side}_{c}"))
@@ -191,7 +211,7 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     near = written(near.select("a", "b"), "near")
     found = _compared(near, few.select("node", "hashes"))
     removed(near)
-    removed(pairs, few)
+    removed(pairs, few, ids)
     shuffles_released(docs.sparkSession)
     return found
 
