@@ -18,7 +18,7 @@ from twinweave.llm.common import table, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows that go to a Python worker at once, in batches whose buffers the executor and its workers hold and keep
 #: (Spark's default is 10,000, which at 2 KB of text is 20 MB in each of several copies).
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:

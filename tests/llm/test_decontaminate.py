@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -108,3 +109,15 @@ def test_slices_find_the_same(spark, sf, monkeypatch):
     assert any(whole.values())
     monkeypatch.setattr(D, "SLICE_CHARS", 2000)
     assert {r.doc_id: r.item_ids for r in D.query(spark, sf).collect()} == whole
+
+
+def test_many_texts_are_searched_within_little_memory():
+    rng = random.Random(5)
+    index = D.Index([(k, prose(rng, 200)) for k in range(5)])
+    texts = [prose(rng, 2000) for _ in range(600)]
+    index.search(texts[:1])
+    tracemalloc.start()
+    index.search(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000

@@ -42,8 +42,8 @@ SHORT = 24
 SKIPPED = 4
 #: Folded characters of benchmark in one index, which takes some 150 bytes for each.
 SLICE_CHARS = 500_000
-#: Characters of documents searched at once.
-LOT_CHARS = 1_000_000
+#: Characters of documents searched at once, which takes some 120 bytes for each in several arrays of numbers.
+LOT_CHARS = 125_000
 
 #: Stands between texts that are searched together, as a letter that no text has.
 _NONE = chr(0x10FFFF)
