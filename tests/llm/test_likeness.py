@@ -89,3 +89,32 @@ def test_frequent_shingles_are_found():
         x = np.unique(np.concatenate((hot[::7], rng.integers(0, 1 << 63, 50).astype(np.uint64), np.array([0, 2**64 - 1], dtype=np.uint64))))
         assert (likeness._among(x, part) == np.isin(x, part)).all()
     assert not len(likeness._among(hot[:0], hot))
+
+
+def test_pairs_that_cannot_be_alike_are_not_listed(spark):
+    """All alike pairs of different components under a key are listed, and few of the others."""
+    rng = np.random.default_rng(9)
+    texts = [x for _ in range(8) for x in family(rng, 12, 60)] + [" ".join(f"w{k}" for k in rng.integers(0, 1 << 30, size)) for size in rng.integers(20, 300, 100)]
+    sets = [likeness.shingle_set(x) for x in texts]
+    odd = [simhash.parities(x, 2).tolist() for x in sets]
+    comp = [k - k % 3 if k < 48 else k for k in range(len(sets))]
+    rows = [(7, comp[k], k, len(x), k % 2, *odd[k]) for k, x in enumerate(sets)]
+    placed = spark.createDataFrame(rows, "key long, comp long, node long, n int, place int, odd_0 long, odd_1 long")
+    found = {(r.a, r.b) for r in likeness._apart(placed).select("a", "b").collect()}
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if comp[a] != comp[b]]
+    alike = {(a, b) for a, b in pairs if 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert alike and alike <= found and len(found) < len(pairs) / 4
+
+
+def test_texts_that_are_not_wanted_are_not_moved_before_they_are_left_out(spark, docs, monkeypatch):
+    """No text is shuffled below the bitmaps' join, whatever the size of the other side."""
+    rng = np.random.default_rng(10)
+    before, plans = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    monkeypatch.setattr(likeness, "_read", lambda frame, *a, f=likeness._read: plans.append(frame._jdf.queryExecution().optimizedPlan().toString()) or f(frame, *a))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert likeness.near_copies_removed(docs(list(enumerate(family(rng, 4, 2))))).count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    own = [x for x in plans if "bitmap" in x.lower()]
+    assert own and not any("LeftSemi" in x.split("strategy=broadcast")[-1] for x in own)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinweave.llm.common import lots, removed, shuffles_released, written
-from twinweave.llm.simhash import components, deduplicate, hashes_of, node_of, shingles
+from twinweave.llm.simhash import components, deduplicate, hashes_of, node_of, parities, shingles
 
 WIDTH = 5
 #: The share of texts whose shingles are counted, one in so many.
@@ -56,14 +56,8 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(hashes_of(shingles(text, WIDTH)))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """For each of so many bins whether it holds an odd number of the hashes: two sets differ in at least as many."""
-    odd = np.bincount((hashes % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray]], pd.DataFrame], schema: str) -> DataFrame:
-    """make(nodes, sets) of the texts: texts with equal sets have the same node, and a task makes each node once.
+def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray], list[str]], pd.DataFrame], schema: str) -> DataFrame:
+    """make(nodes, sets, texts): texts with equal sets have the same node, and a task makes each node once.
 
     Sets are larger than their texts, so they are made anew where they are needed instead of being stored.
     """
@@ -71,7 +65,7 @@ def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray]], pd.Data
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for frame in lots(frames):
-            nodes, sets = [], []
+            nodes, sets, texts = [], [], []
             for text in frame.text:
                 found = shingle_set(text)
                 node = node_of(found)
@@ -79,8 +73,9 @@ def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray]], pd.Data
                     seen.add(node)
                     nodes.append(node)
                     sets.append(found)
+                    texts.append(text)
             if nodes:
-                yield make(nodes, sets)
+                yield make(nodes, sets, texts)
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
 
@@ -88,7 +83,7 @@ def _read(docs: DataFrame, make: Callable[[list[int], list[np.ndarray]], pd.Data
 def _hot(docs: DataFrame) -> np.ndarray:
     """Of the shingles that a sample of the texts shares the most frequent ones, at most HOT."""
     sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    found = _read(sample, lambda _, sets: pd.DataFrame({"h": np.concatenate(sets).view(np.int64)}), "h long")
+    found = _read(sample, lambda _, sets, texts: pd.DataFrame({"h": np.concatenate(sets).view(np.int64)}), "h long")
     shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     top = shared.orderBy(F.desc("n"), "h").limit(HOT).select("h").toPandas()
     return np.sort(top.h.to_numpy(np.int64).view(np.uint64))
@@ -102,7 +97,7 @@ def _among(x: np.ndarray, hot: np.ndarray) -> np.ndarray:
 def _keys(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(key, node, n, place): the first shingles of each set in the common order; a node may come from several tasks."""
 
-    def make(nodes: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+    def make(nodes: list[int], sets: list[np.ndarray], texts: list[str]) -> pd.DataFrame:
         keys, taken = [], []
         for x in sets:
             late = _among(x, hot)
@@ -122,7 +117,7 @@ def _alike(common: Column, m: Column, n: Column) -> Column:
 
 
 def _side(rows: DataFrame, side: str, *keys: str) -> DataFrame:
-    return rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "place", "comp")])
+    return rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in keys])
 
 
 def _possible(met: DataFrame) -> DataFrame:
@@ -134,14 +129,47 @@ def _possible(met: DataFrame) -> DataFrame:
     return near.select(a, b, F.when(turned, n).otherwise(m).alias("m"), F.when(turned, m).otherwise(n).alias("n")).distinct()
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """The pairs (a, b, m, n) of different components under a key that can be alike by sizes, places and parities.
+
+    placed: (key, comp, node, n, place, odd_0, odd_1). Components meet before their members do, if any two of
+    them can be alike: low is their smallest n, reach the largest 5 n - 9 place, which 4 times the other's size
+    must not pass. One of a single member has that member's parities.
+    """
+    alone = lambda c: F.when(F.count("*") == 1, F.min(c)).alias(c)
+    reach = 5 * F.col("n") - 9 * F.col("place")
+    rows = placed.withColumn("reach", reach)
+    comps = rows.groupBy("key", "comp").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"), alone("odd_0"), alone("odd_1")
+    )
+
+    def near(a: str, b: str, high_a: str, high_b: str) -> Column:
+        """Parities of a and b, where both are known, differ in as many bins at most as sets of these sizes may."""
+        bits = sum((F.bit_count(F.col(f"{a}_odd_{k}").bitwiseXOR(F.col(f"{b}_odd_{k}"))) for k in (0, 1)), F.lit(0))
+        return F.coalesce(9 * bits <= F.col(high_a) + F.col(high_b), F.lit(True))
+
+    def meet(low_a: str, reach_a: str, low_b: str, reach_b: str) -> Column:
+        return (F.col(reach_a) >= 4 * F.col(low_b)) & (F.col(reach_b) >= 4 * F.col(low_a))
+
+    of_c, of_d = _side(comps, "c", "key"), _side(comps, "d", "key")
+    twos = of_c.join(of_d, "key").filter(F.col("c_comp") < F.col("d_comp"))
+    twos = twos.filter(meet("c_low", "c_reach", "d_low", "d_reach") & near("c", "d", "c_high", "d_high")).drop("c_odd_0", "c_odd_1", "c_low", "c_reach", "c_high")
+    one = _side(rows, "a", "key").withColumnRenamed("a_comp", "c_comp")
+    half = twos.join(one, ["key", "c_comp"]).filter(meet("a_n", "a_reach", "d_low", "d_reach") & near("a", "d", "a_n", "d_high"))
+    half = half.select("key", "d_comp", "a_node", "a_n", "a_place", "a_odd_0", "a_odd_1")
+    other = _side(rows, "b", "key").withColumnRenamed("b_comp", "d_comp")
+    return _possible(half.join(other, ["key", "d_comp"]).filter(near("a", "b", "a_n", "b_n")))
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """A forest of those pairs (a, b) that are alike, for each task's pairs.
+    """A forest of those pairs (a, b) that are alike, for each task's pairs. sets: (node, n, text).
 
     Pairs that hang together are compared in one place, so that a set is sent once and not with each of its
     pairs; what is heavier than LOT is cut into chunks that meet in twos, and a set goes where it has a pair.
+    What is sent is the text, a third of its set's size; the set is made where it is compared.
     """
     label = written(components(pairs), "labels")
-    weights = sets.select("node", (F.size("hashes") + NODE).cast("long").alias("w")).join(label, "node")
+    weights = sets.select("node", (F.col("n") + NODE).cast("long").alias("w")).join(label, "node")
     heavy = weights.groupBy("component").agg(F.ceil(F.sum("w") / LOT).cast("int").alias("chunks")).filter("chunks > 1")
     places = max(1, -(-(weights.agg(F.sum("w")).first()[0] or 0) // LOT))
     own = pairs.join(label, pairs.a == label.node).join(heavy, "component", "left")
@@ -150,10 +178,10 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     keys = ["home", "c1", "c2"]
     dealt = written(own.select("a", "b", home.alias("home"), F.least(chunk_a, chunk_b).alias("c1"), F.greatest(chunk_a, chunk_b).alias("c2")), "dealt")
     places_of = [F.col(c).alias(f"to_{c}") for c in keys]
-    sent = dealt.select(*places_of, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    sent = dealt.select(*places_of, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "text"), "node")
 
     def compare(found: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        hashes, parent, out = dict(zip(held.node, held.hashes, strict=True)), {}, []
+        hashes, parent, out = {k: shingle_set(x) for k, x in zip(held.node, held.text, strict=True)}, {}, []
 
         def root(x: int) -> int:
             while (up := parent.get(x, x)) != x:
@@ -192,16 +220,17 @@ def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of the pairs (a, b) a forest of those that are alike by their whole sets, written."""
 
-    def make(found: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"node": found, "odd": [parities(x) for x in sets], "hashes": [x.view(np.int64) for x in sets]})
+    def make(found: list[int], sets: list[np.ndarray], texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"node": found, "odd": [parities(x, PARITIES) for x in sets], "n": [len(x) for x in sets], "text": texts})
 
     pairs = written(pairs, "pairs")
     shuffles_released(docs.sparkSession)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = written(nodes.join(ends, "node", "left_semi").select("first.*"), "ids")
-    # repeated rows go before their sets are made: the join has brought them together, and no set is moved for it
-    texts = _likely(docs, ids).join(ids, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    few = written(_read(texts, make, "node long, odd array<long>, hashes array<long>"), "ends")
+    # repeated rows go before their sets are made: the join has brought them together. It is an inner one (ids are
+    # distinct), since Spark does a left semi join first, which would move all texts
+    texts = _likely(docs, ids).join(ids, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    few = written(_read(texts, make, "node long, odd array<long>, n int, text string"), "ends")
     shuffles_released(docs.sparkSession)
     of = lambda side, c: few.select(F.col("node").alias(side), F.col(c).alias(f"{side}_{c}"))
     apart = F.lit(0)
@@ -209,7 +238,7 @@ def _counted(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         apart = apart + F.bit_count(F.col("a_odd")[k].bitwiseXOR(F.col("b_odd")[k]))
     near = pairs.join(of("a", "odd"), "a").join(of("b", "odd"), "b").filter(9 * apart <= F.col("m") + F.col("n"))
     near = written(near.select("a", "b"), "near")
-    found = _compared(near, few.select("node", "hashes"))
+    found = _compared(near, few.select("node", "n", "text"))
     removed(near)
     removed(pairs, few, ids)
     shuffles_released(docs.sparkSession)
@@ -257,10 +286,7 @@ def links(docs: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
         removed(last)
         shuffles_released(docs.sparkSession)
     removed(met)
-    comps = placed.select("key", "comp").distinct()
-    twos = comps.withColumnRenamed("comp", "a_comp").join(comps.withColumnRenamed("comp", "b_comp"), "key").filter("a_comp < b_comp")
-    left = twos.join(_side(placed, "a", "key"), ["key", "a_comp"]).join(_side(placed, "b", "key"), ["key", "b_comp"])
-    rest = _counted(docs, nodes, _possible(left))
+    rest = _counted(docs, nodes, _apart(placed.join(nodes.select("node", "odd_0", "odd_1"), "node")))
     removed(placed)
     return edges.unionByName(rest)
 

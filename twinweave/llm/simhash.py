@@ -262,21 +262,29 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
+def parities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """For each of 64 bins a word whether it holds an odd number of the hashes: two sets differ in at least as many."""
+    odd = np.bincount((hashes % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def described(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text_hash, node, n, fp): node stands for the set of a text's shingles, n is the set's size."""
+    """(doc_id, text_hash, node, n, fp, odd_0, odd_1): node stands for the set of a text's shingles, n is the set's
+    size, odd its parities."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in lots(frames):
             found = [hashes_of(shingles(x, width)) for x in frame.text]
             sets, bits = [np.unique(x) for x in found], np.array([fingerprint_of(x) for x in found], dtype=np.uint64)
+            odd = np.array([parities(x, 2) for x in sets], dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({
                 "doc_id": frame.doc_id, "text_hash": frame.text_hash, "node": [node_of(x) for x in sets],
-                "n": [len(x) for x in sets], "fp": bits.view(np.int64),
+                "n": [len(x) for x in sets], "fp": bits.view(np.int64), "odd_0": odd[:, 0], "odd_1": odd[:, 1],
             })
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, node long, n int, fp long")
+    return rows.mapInPandas(run, "doc_id long, text_hash long, node long, n int, fp long, odd_0 long, odd_1 long")
 
 
 def deduplicate(docs: DataFrame, width: int = WIDTH, refine: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -287,7 +295,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, refine: Callable[[DataFrame
     """
     named = docs.filter(F.col("doc_id").isNotNull())
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    nodes = written(described(named, width).groupBy("node").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
+    own = [F.first(c).alias(c) for c in ("n", "fp", "odd_0", "odd_1")]
+    nodes = written(described(named, width).groupBy("node").agg(first, *own), "nodes")
     least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     found = links(least.select("fp"))
     a, b = (least.select(F.col("fp").alias(x), F.col("least").alias(f"node_{x}")) for x in "ab")
