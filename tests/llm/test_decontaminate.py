@@ -120,4 +120,4 @@ def test_many_texts_are_searched_within_little_memory():
     index.search(texts)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 40_000_000
+    assert peak < 15_000_000

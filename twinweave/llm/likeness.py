@@ -166,7 +166,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Pairs that hang together are compared in one place, so that a set is sent once and not with each of its
     pairs; what is heavier than LOT is cut into chunks that meet in twos, and a set goes where it has a pair.
-    What is sent is the text, a third of its set's size; the set is made where it is compared.
+    What is sent is the text, about half its set's size; the set is made where it is compared.
     """
     label = written(components(pairs), "labels")
     weights = sets.select("node", (F.col("n") + NODE).cast("long").alias("w")).join(label, "node")
