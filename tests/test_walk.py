@@ -114,6 +114,53 @@ def test_match_level(spark, monkeypatch, chunk):
     assert matchloop.match_level(left.limit(0), right, above).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [16, 256])
+def test_closest_first_finds_the_nearest(spark, monkeypatch, chunk):
+    """Texts that settle it by their number, by few edits or not at all, ties, wide characters and nulls: as by comparing all."""
+    monkeypatch.setattr(matchloop, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    word = lambda: rng.choice(["", "a", "é", "名前", "name#0", "name#00"]) + "".join(rng.choice("0123é") for _ in range(rng.choice([0, 1, 3, 9])))
+    make = lambda base: [(base + k, rng.choice([1, 1, 1, 2, None]), word(), rng.choice([None, 0.0, 1.0, 2.0, 3.0])) for k in range(300)]
+    frame = lambda base: walk.classes(with_code(spark.createDataFrame(make(base), "id long, box long, text string, number double"), "text"), "box", "text", "number")
+    l, r = frame(0).filter("box IS NOT NULL").cache(), frame(1000).filter("box IS NOT NULL").cache()
+    every = {(x.right_cls, x.left_cls, x.dist) for x in matchloop.nearest_in_box(l, r).collect()}
+    asked = []
+    in_lists = matchloop._in_lists
+    monkeypatch.setattr(matchloop, "FEW", 1000)
+    monkeypatch.setattr(matchloop, "_in_lists", lambda left, right, tasks: asked.append(right.count()) or in_lists(left, right, tasks))
+    assert {(x.right_cls, x.left_cls, x.dist) for x in matchloop.nearest_in_box(l, r).collect()} == every
+    assert len(every) > 100 and 0 < asked[0] < r.count() / 2
+
+
+def test_a_large_container_compares_few(spark, monkeypatch):
+    """Of 1,500 and 1,500 objects of one container all are settled before the lists: no one is compared with all."""
+    make = lambda base, end: with_code(spark.createDataFrame([(base + k, 1, f"object {k:06d}{end}", float(k)) for k in range(1500)], "id long, box long, text string, number double"), "text")
+    l, r = (walk.classes(make(b, end), "box", "text", "number") for b, end in ((0, ""), (5000, " v2")))
+    monkeypatch.setattr(matchloop, "_in_lists", None)
+    assert {(x.left_cls, x.right_cls) for x in matchloop.nearest_in_box(l, r).collect()} == {(k, 5000 + k) for k in range(1500)}
+
+
+def test_codes_only_of_what_is_left(spark):
+    """Codes are made of the texts that reach the walk: a level whose objects have none gives the same matches."""
+    rows = [(k, k % 2, f"text {k}", float(k)) for k in range(40)]
+    left = spark.createDataFrame(rows, "id long, parent long, text string, number double")
+    right = left.withColumn("text", F.when(F.col("id") % 5 == 0, F.concat("text", F.lit(" v2"))).otherwise(F.col("text"))).withColumn("id", F.col("id") + 100)
+    above = spark.createDataFrame([(0, 0), (1, 1)], "left_id long, right_id long")
+    want = {tuple(x) for x in matchloop.match_level(with_code(left, "text"), with_code(right, "text"), above).collect()}
+    assert {tuple(x) for x in matchloop.match_level(left, right, above).collect()} == want == {(k, k + 100) for k in range(40)}
+
+
+@pytest.mark.parametrize("large", [2, 200_000])
+def test_identical_several(spark, monkeypatch, large):
+    """Classes of unlike sizes, one with an object on one side, and ids far apart."""
+    monkeypatch.setattr(walk, "LARGE", large)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    left = frame([(k * 70_000, "a") for k in range(5)] + [(1, "b"), (2, "c"), (3, None), (4, None)])
+    right = frame([(k * 90_000 + 7, "a") for k in range(3)] + [(8, "b"), (9, "b"), (10, "d"), (11, None), (12, None), (13, None)])
+    want = {(k * 70_000, k * 90_000 + 7) for k in range(3)} | {(1, 8), (3, 11), (4, 12)}
+    assert {tuple(x) for x in walk.identical(left, right, "text").collect()} == want
+
+
 def test_identical_nulls(spark):
     rows = [(1, None, 2.0), (2, "a", None), (3, "a", None), (4, "a", float("nan"))]
     frame = spark.createDataFrame(rows, "id long, text string, number double")

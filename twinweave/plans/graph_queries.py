@@ -11,7 +11,7 @@ from twinweave import features, model
 from twinweave.model import table
 from twinweave.operators import closure, convolution, draws, matchloop
 from twinweave.plans import match_queries, model_queries, sql
-from twinweave.plans.kernel_queries import object_codes_sql
+from twinweave.plans.kernel_queries import object_codes_sql, with_code
 from twinweave.storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +96,7 @@ def tree_final_codes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     for side in (1, 2):
         codes = edges = None
         for level in levels:
-            own = level[side].select(F.lit(level[0]).alias("type"), F.col("id").alias("key"), "code")
+            own = with_code(level[side], "text").select(F.lit(level[0]).alias("type"), F.col("id").alias("key"), "code")
             codes = own if codes is None else codes.unionByName(own)
             if level[0] in above:
                 inside = level[side].select(F.lit(above[level[0]]).alias("type"), F.col("parent").alias("key"), F.lit(level[0]).alias("to_type"), F.col("id").alias("to_key"))
