@@ -31,6 +31,29 @@ def test_closure(spark):
     assert {tuple(r) for r in closure.marked_from_above(nodes, frame, marks).collect()} == {("c0", True), ("c69", False), ("lone", True), ("c3", False)}
 
 
+def test_marks_go_down_without_paths(spark, monkeypatch):
+    """Trees as deep as the models' are marked without the pairs of their closure; chains and cycles to their end."""
+    tree = [(f"n{k}", f"n{(k - 1) // 2}") for k in range(1, 300)]
+    frame = spark.createDataFrame(tree, "node string, above string")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(300)], "node string")
+    marks = spark.createDataFrame([("n2",), ("n2",), ("n9",), (None,)], "node string")
+    up, want = dict(tree), {}
+    for k in range(300):
+        n, way = f"n{k}", []
+        while n:
+            way, n = [*way, n], up.get(n)
+        want[f"n{k}"] = bool({"n2", "n9"} & set(way))
+    with monkeypatch.context() as m:
+        m.setattr(closure, "above", None)
+        assert {r.node: r.marked for r in closure.marked_from_above(nodes, frame, marks).collect()} == want
+    monkeypatch.setattr(closure, "STEPS", 2)
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(12)] + [("n12", "n5"), ("n20", "n21")]
+    frame = spark.createDataFrame(chain, "node string, above string")
+    marks = spark.createDataFrame([("n9",)], "node string")
+    got = {r.node for r in closure.marked_from_above(nodes, frame, marks).filter("marked").collect()}
+    assert got == {f"n{k}" for k in range(13)}
+
+
 def test_draws(spark):
     weights = {"a": 5, "b": 0, "c": 1, "d": 1000, "e": 3, "f": -2}
     items = spark.createDataFrame(list(weights.items()), "item string, w long")

@@ -31,8 +31,27 @@ def above(edges: DataFrame) -> DataFrame:
     return now
 
 
+#: Steps that marks are handed down one at a time; what is further down is reached by doubled paths.
+STEPS = 32
+
+
 def marked_from_above(nodes: DataFrame, edges: DataFrame, marked: DataFrame) -> DataFrame:
-    """(node, marked): whether a node itself or any above it is among the marked (node)."""
-    reached = above(edges).join(marked.select(F.col("node").alias("above")), "above", "left_semi").select("node")
-    every = reached.unionByName(marked.select("node")).distinct().withColumn("_marked", F.lit(True))
-    return nodes.select("node").join(every, "node", "left").select("node", F.coalesce("_marked", F.lit(False)).alias("marked"))
+    """(node, marked): whether a node itself or any above it is among the marked (node).
+
+    Marks go down a step a round and only from nodes that are newly marked, so that no paths are kept: a row for each
+    marked node. Chains of over STEPS nodes end with the closure of the edges between nodes that have no mark yet.
+    """
+    up = written(edges.select("node", "above").filter("node IS NOT NULL AND above IS NOT NULL").distinct(), "edges")
+    new = written(marked.select("node").filter("node IS NOT NULL").distinct(), "marked")
+    known, n = new, 0
+    while not new.isEmpty():
+        below = up.join(new.select(F.col("node").alias("above")), "above", "left_semi").select("node").distinct()
+        if n == STEPS:
+            open_ = up.join(known, "node", "left_anti")
+            starts = below.join(known, "node", "left_anti")
+            further = above(open_).join(starts.select(F.col("node").alias("above")), "above", "left_semi").select("node")
+            known = known.unionByName(written(further.unionByName(starts).distinct(), "marked"))
+            break
+        new, n = written(below.join(known, "node", "left_anti"), "marked"), n + 1
+        known = known.unionByName(new)
+    return nodes.select("node").join(known.withColumn("_marked", F.lit(True)), "node", "left").select("node", F.coalesce("_marked", F.lit(False)).alias("marked"))
