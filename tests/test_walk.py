@@ -161,6 +161,17 @@ def test_identical_several(spark, monkeypatch, large):
     assert {tuple(x) for x in walk.identical(left, right, "text").collect()} == want
 
 
+def test_the_last_level_of_differences_is_not_written(spark, monkeypatch):
+    """Only levels that the next one asks for become tables."""
+    names, written = [], matchloop.written
+    monkeypatch.setattr(matchloop, "written", lambda d, name: names.append(name) or written(d, name))
+    rows = [("a", 1, 1, None), ("a", 2, None, None), ("b", 5, None, 1), ("b", None, 6, 2)]
+    found = spark.createDataFrame(rows, "type string, left_id long, right_id long, parent_match long")
+    got = {(r.left_id, r.right_id, r.differs, r.below) for r in matchloop.differences(found, ["a", "b"]).collect()}
+    assert got == {(1, 1, False, False), (2, None, True, False), (5, None, True, False), (None, 6, True, True)}
+    assert names == ["differences"]
+
+
 def test_identical_nulls(spark):
     rows = [(1, None, 2.0), (2, "a", None), (3, "a", None), (4, "a", float("nan"))]
     frame = spark.createDataFrame(rows, "id long, text string, number double")

@@ -208,6 +208,7 @@ def differences(found: DataFrame, levels: list[str]) -> DataFrame:
             # a right object whose container has no match is below a difference
             flags = above.filter(F.col("left_id").isNotNull()).select(F.col("left_id").alias("parent_match"), (F.col("differs") | F.col("below")).alias("_below"))
             own = own.join(flags, "parent_match", "left").withColumn("below", F.coalesce("_below", F.lit(True))).select(*found.columns, "differs", "below")
-        own = written(own, "differences")
+        if name != levels[-1]:  # what the next level asks for; the last one is read once
+            own = written(own, "differences")
         out, above = own if out is None else out.unionByName(own), own
     return out
